@@ -209,9 +209,20 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
+def _learned(stats: DataFrame, labels: DataFrame, doc_id: str, quality: str) -> list[Rule]:
+    marks = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.min(quality) == 0).alias("bad"))
+    return learn(kept(stats.where(~base_failed()).join(marks, "doc_id"), "quality-labelled"))
+
+
 def flagged(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
     """One row for each document: doc_id, STATS, base_failed, rule (0: none), kept. Labels 0 are bad, 1 good."""
     stats = kept(with_stats(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"), "quality-stats")
-    marks = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.min(quality) == 0).alias("bad"))
-    rules = learn(kept(stats.where(~base_failed()).join(marks, "doc_id"), "quality-labelled"))
+    rules = _learned(stats, labels, doc_id, quality)
     return stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that flagged() keeps, with their columns. Texts are read twice and never shuffled."""
+    rules = _learned(with_stats(docs.select("doc_id", "text")).drop("text"), labels, "doc_id", "quality")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
+    return with_stats(whole).where(~base_failed() & (verdict(rules) == 0)).select("_row.*")

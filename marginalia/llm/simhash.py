@@ -178,13 +178,30 @@ def links(prints: DataFrame, budget: int = 3, group_limit: int = 4096, shard_row
         rows = rows.join(big, "key", "left_semi").select("fp", "key", "rest")
 
 
+def _named(nodes: DataFrame, budget: int, group_limit: int) -> DataFrame:
+    """(fp, least): for each fingerprint of nodes (fp, first) the least `first` of its component."""
+    rooted = components(links(nodes, budget, group_limit))
+    known = nodes.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = known.join(rooted.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
+    return known.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, group_limit: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each document."""
-    each = kept(fingerprints(docs, width), "simhash")
+    each = kept(fingerprints(docs.select("doc_id", "text"), width), "simhash")
     nodes = kept(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    rooted = components(links(nodes, budget, group_limit))
-    known = nodes.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = rooted.select("root").distinct()
-    least = known.join(linked, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
-    named = known.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _named(nodes, budget, group_limit)
+    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 3, budget: int = 3, group_limit: int = 4096) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (null ids last; between repeated rows, any one)."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rid"))
+    keyed = docs.select(own.alias("doc_id"), "text")
+    each = kept(fingerprints(keyed, width), "simhash")
+    nodes = kept(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
+    chosen = kept(_named(nodes.drop("n"), budget, group_limit).select("least.rid").distinct().withColumnRenamed("rid", "_rid"), "simhash-chosen")
+    left = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(chosen, "_rid", "left_semi")
+    if each.groupBy("doc_id").count().where("count > 1").isEmpty():  # no repeated rows, so nothing to drop
+        return left.select(docs.columns)
+    return left.dropDuplicates(["_rid"]).select(docs.columns)
