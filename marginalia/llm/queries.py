@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality_rules, secrets, simhash
+from . import decontaminate, packing, quality_rules, secrets, simhash, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_mixture_packing": op4_mixture_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
