@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, packing, quality_rules, secrets, simhash, suffix_tree, token_counts, toxicity
+from . import decontaminate, kneser_ney, packing, quality_rules, repeats, secrets, simhash, suffix_tree, token_counts, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scored(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_kneser_ney_quality": op3_kneser_ney_quality,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_suffix_tree_scoring": op5_suffix_tree_scoring,
+    "op6_suffix_repeats": op6_suffix_repeats,
     "op7_toxicity": op7_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
