@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from marginalia.plans import views  # noqa: F401
+from marginalia.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
