@@ -93,7 +93,7 @@ def option_of(options: Column, letter: Column) -> Column:
 
 def inferred_answer(blocks: Column) -> Column:
     """The first block after the first that is just a letter A to D."""
-    return F.get(F.filter(F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), F.trim), lambda b: b.rlike("^[A-D]$")), F.lit(0))
+    return F.get(F.filter(F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), lambda t: F.trim(t)), lambda b: b.rlike("^[A-D]$")), F.lit(0))
 
 
 def question_type(text: Column) -> Column:
@@ -116,7 +116,7 @@ def options_of(text: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"```(json)?\s*", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"```(json)?\s*", ""), r"(?U)\A\s+|\s+\z", "")
 
 
 def marked(mark: Column, found: Column) -> Column:
