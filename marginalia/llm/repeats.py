@@ -25,7 +25,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, text_batches
+from .common import arrays, kept, text_batches
 
 WIDTH, GRAM = 100, 32
 GRAMS = WIDTH - GRAM + 1
@@ -156,9 +156,9 @@ def _bitmap(anchors: DataFrame, bits: int):
 
     mask = (1 << bits) - 1
     at = F.explode(F.array(F.col("a").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("a", 64 - bits)))
-    words = anchors.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    words = anchors.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("bits"))
+    got, out = arrays(words), np.zeros(1 << (bits - 6), np.uint64)
+    out[got["word"]] = got["bits"].view(np.uint64)
     return out
 
 
