@@ -12,7 +12,7 @@ or kept by `flagged` where they don't clash with the names added.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +160,13 @@ def _best(hist: dict, cuts: dict, p0: int, n0: int) -> tuple[float, Condition, i
     return found
 
 
+def _centred(condition: Condition, rows: DataFrame) -> Condition:
+    """The condition with its cut halfway to the next value seen above it, so that it decides alike here and leaves room elsewhere."""
+    f = features()[condition.feature]
+    above = rows.where(f > condition.cut).agg(F.min(f)).first()[0]
+    return condition if above is None else replace(condition, cut=(condition.cut + above) / 2)
+
+
 def learn(labelled: DataFrame, *, bins: int = 32, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.95, min_support: int = 8) -> list[Rule]:
     """Sequential covering over rows with doc_id, STATS and a boolean `bad`.
 
@@ -182,7 +189,7 @@ def learn(labelled: DataFrame, *, bins: int = 32, max_rules: int = 8, max_condit
             break
         while len(got) < max_conditions and n and (best := _best(hist, cuts, p, n)):
             _, condition, p, n = best
-            got.append(condition)
+            got.append(_centred(condition, left))
             if n and len(got) < max_conditions:
                 hist = _histogram(grow.where(Rule(tuple(got)).column()), cuts)
         if not got:
