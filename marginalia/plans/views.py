@@ -74,9 +74,9 @@ def error_tags(d: Domain) -> DataFrame:
     UNION ALL SELECT user_id, count(*), 0, 'type', error_type FROM errors WHERE error_type <> '' GROUP BY 1, error_type"""))
 def error_stats(d: Domain) -> DataFrame:
     errors = d.errors()
-    as_of = errors.agg(F.max("created_at").alias("as_of"))
-    recent = F.col("created_at") >= F.col("as_of") - F.expr("interval 30 days")
-    total = errors.join(F.broadcast(as_of)).groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(recent).alias("recent")).withColumns({"kind": F.lit("all"), "value": F.lit("")})
+    as_of = errors.agg(F.max("created_at")).first()[0]
+    recent = F.col("created_at") >= F.lit(as_of).cast("timestamp") - F.expr("interval 30 days")
+    total = errors.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(recent).alias("recent")).withColumns({"kind": F.lit("all"), "value": F.lit("")})
     part = lambda kind, c, rows: rows.groupBy("user_id", F.col(c).alias("value")).agg(F.count("*").alias("total")).withColumns({"recent": F.lit(0).cast("long"), "kind": F.lit(kind)})
     return total.unionByName(part("subject", "subject", errors)).unionByName(part("type", "error_type", errors.where("error_type <> ''")))
 
@@ -85,10 +85,10 @@ def error_stats(d: Domain) -> DataFrame:
     count(*) FILTER (created_at >= date_trunc('day', (SELECT max(created_at) FROM records))) AS today FROM records GROUP BY 1"""))
 def grading_stats(d: Domain) -> DataFrame:
     rows = d.records().drop("essay_text")
-    day = rows.agg(F.date_trunc("day", F.max("created_at")).alias("day"))
+    day = F.date_trunc("day", F.lit(rows.agg(F.max("created_at")).first()[0]).cast("timestamp"))
     done = F.col("status") == "done"
-    return rows.join(F.broadcast(day)).groupBy("user_id").agg(
-        F.count_if(done).alias("done"), F.coalesce(F.round(F.avg(F.when(done & (F.col("total_score") > 0), F.col("total_score"))), 1), F.lit(0.0)).alias("avg_score"), F.count_if(F.col("created_at") >= F.col("day")).alias("today")
+    return rows.groupBy("user_id").agg(
+        F.count_if(done).alias("done"), F.coalesce(F.round(F.avg(F.when(done & (F.col("total_score") > 0), F.col("total_score"))), 1), F.lit(0.0)).alias("avg_score"), F.count_if(F.col("created_at") >= day).alias("today")
     )
 
 
