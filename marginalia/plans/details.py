@@ -64,3 +64,27 @@ def failed_runs(d: Domain) -> DataFrame:
     return done.unionByName(failed)
 
 
+
+
+@query(sql("""SELECT session_id AS paper, number, page, part FROM (SELECT *, supplier % 3 + 1 AS page, row_number() OVER (PARTITION BY session_id, number ORDER BY supplier % 3 + 1, created_at, part, supplier, price) AS n FROM versions) WHERE n = 1"""))
+def dedup_pages(d: Domain) -> DataFrame:
+    """A question scanned on several pages counts once, where it comes first."""
+    rows = d.versions().select(F.col("session_id").alias("paper"), "number", (F.col("supplier") % 3 + 1).alias("page"), "created_at", "part", "supplier", "price")
+    first = F.min(F.struct("page", "created_at", "part", "supplier", "price")).alias("f")
+    return rows.groupBy("paper", "number").agg(first).select("paper", "number", "f.page", "f.part")
+
+
+@query(sql("SELECT id, email, region, role = 'admin' AS is_admin, id % 2 <> 0 AS must_change_password, place FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY id DESC) AS place FROM users) WHERE place <= 20"))
+def user_list(d: Domain) -> DataFrame:
+    """The newest 20 accounts of each region without what is secret in them."""
+    rows = d.users().withColumns({"password_hash": F.sha2("email", 256), "flag": F.col("id") % 2})
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("id"))).cast("long")).where("place <= 20")
+    return ranked.select("id", "email", "region", (F.col("role") == "admin").alias("is_admin"), (F.col("flag") != 0).alias("must_change_password"), "place")
+
+
+@query(sql("SELECT paper, number, '{\"vl\":{\"page\":' || page || '},\"analysis\":{\"number\":' || number || '}}' AS ai_raw, page AS vl_page FROM (SELECT session_id AS paper, number, supplier % 3 + 1 AS page FROM errors)"))
+def provenance(d: Domain) -> DataFrame:
+    """Where a stored mistake came from, as one JSON document, and a field read back from it."""
+    raw = F.to_json(F.struct(F.struct("page").alias("vl"), F.struct("number").alias("analysis")))
+    rows = questions(d).select("paper", "number", raw.alias("ai_raw"))
+    return rows.withColumn("vl_page", F.get_json_object("ai_raw", "$.vl.page").cast("long"))
