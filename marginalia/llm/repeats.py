@@ -227,12 +227,16 @@ def common(prefix: Prefix, p, q, most: int = WIDTH):
     """Bytes that the strings at p and q have in common, by binary search on their prefixes' hashes."""
     import numpy as np
 
-    low, high = np.zeros(len(p), np.int64), np.full(len(p), most, np.int64)
+    out = np.full(len(p), most, np.int64)
+    open_ = np.flatnonzero(prefix(p, p + most) != prefix(q, q + most))  # most comparisons here are of equal strings
+    p, q = p[open_], q[open_]
+    low, high = np.zeros(len(p), np.int64), np.full(len(p), most - 1, np.int64)
     while (low < high).any():
         mid = (low + high + 1) // 2
         same = prefix(p, p + mid) == prefix(q, q + mid)
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+    out[open_] = low
+    return out
 
 
 def before(buffer, prefix: Prefix, p, q):
@@ -302,13 +306,18 @@ def repeats_of(a, s, doc, start, last, place, content):
         j = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
         own, at, string = keep[span], base[span] + j, start[keep][span] + j
         distance = place[own] - string
-        o2 = np.lexsort((distance, a[own]))
-        span, own, at, string, distance = (x[o2] for x in (span, own, at, string, distance))
-        group = np.cumsum(np.r_[0, (a[own][1:] != a[own][:-1]) | (distance[1:] != distance[:-1])])
         prefix = Prefix(buffer)
+        h = prefix(at, at + WIDTH)
+        o2 = np.lexsort((h, distance, a[own]))
+        own, at, string, distance, h = (x[o2] for x in (own, at, string, distance, h))
+        fresh = np.r_[True, (a[own][1:] != a[own][:-1]) | (distance[1:] != distance[:-1])]
+        twin = ~fresh[1:] & (h[1:] == h[:-1])
+        some = np.r_[twin, False] | np.r_[False, twin]  # a string whose hash stands alone equals no other
+        group = np.cumsum(fresh)[some]
+        own, at, string = own[some], at[some], string[some]
         order = suffix_sort(buffer, prefix, at, group)
         own, at, string, group = own[order], at[order], string[order], group[order]
-        equal = np.r_[False, (group[1:] == group[:-1]) & (common(prefix, at[1:], at[:-1]) == WIDTH)]
+        equal = np.r_[False, (group[1:] == group[:-1]) & (common(prefix, at[1:], at[:-1]) == WIDTH)][: len(at)]
         check = np.flatnonzero(equal)
         window = np.arange(WIDTH)
         for lo in range(0, len(check), 100_000):  # collision verification
@@ -344,7 +353,7 @@ def _sorted(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod("a", F.lit(shards))).groupBy("shard").applyInArrow(run, "rid long, start int, last int")
 
 
-def repeats(docs: DataFrame, hot: int = 1000, bits: int = 26, shard_rows: int = 25_000) -> DataFrame:
+def repeats(docs: DataFrame, hot: int = 20_000, bits: int = 26, shard_rows: int = 25_000) -> DataFrame:
     """(rid, start, last): runs of strings that also start earlier; rid is the row's hash of id and text."""
     spark = docs.sparkSession
     anchors = kept(_anchors(docs).groupBy("a").agg(F.sum("occurs").alias("occurs"), F.sum("spans").alias("spans")).where("occurs > 1"), "repeat-anchors")

@@ -46,7 +46,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
+@pytest.mark.parametrize("hot", [20_000, 3])
 def test_equals_brute_force(spark, hot):
     df = spark.createDataFrame([(*x, 0) for x in rows()], "doc_id long, text string, n_bytes int").repartition(3)
     got = D.without_repeats(df, hot=hot, bits=16).collect()
