@@ -31,6 +31,7 @@ WIDTH, GRAM = 100, 32
 GRAMS = WIDTH - GRAM + 1
 CHUNK = 1 << 19  # positions worked on at once; their numbers fit in the low 20 bits of a key
 LAST = (1 << 63) - 1
+SOME = 2000
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 WORD = (1 << 64) - 1
 
@@ -188,37 +189,42 @@ def _met(docs: DataFrame, repeated, hot) -> DataFrame:
         import pyarrow as pa
 
         repeated, hot = shared.value
-        for batch, texts in text_batches(batches):
-            doc, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts = []
-            for buffer, valid, text, at in chunks(texts):
-                first, last, place, a, s = spans(buffer, valid)
-                own = marked(a, repeated)
-                if own.any():
-                    first, last, place, a, s = (x[own] for x in (first, last, place, a, s))
-                    raw = buffer.tobytes()
-                    content = np.array([raw[f : e + WIDTH] for f, e in zip(first.tolist(), last.tolist())], object)
-                    parts.append((a, s, text[first], at[first], at[last], at[place], content))
-            if not parts:
-                continue
-            a, s, text, start, last, place, content = (np.concatenate(x) for x in zip(*parts))
-            o = np.lexsort((start, doc[text], s, a))
-            a, s, text, start, last, place, content = (x[o] for x in (a, s, text, start, last, place, content))
-            lead = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
-            lead = np.repeat(lead, np.diff(np.r_[lead, len(a)]))
-            later = (doc[text] != doc[text[lead]]) | (start != start[lead])
-            later &= content == content[lead]
-            wide = marked(a, hot) & ~later
-            kind = np.where(later, 0, 1)
-            rows = [(kind[k], a[k], s[k], doc[text[k]], rid[text[k]], start[k], last[k], place[k], None if later[k] else content[k]) for k in np.flatnonzero(~wide)]
-            for k in np.flatnonzero(wide):
-                piece = np.frombuffer(content[k], np.uint8)
-                j = np.arange(last[k] - start[k] + 1)
-                h1, h2 = (mix(Prefix(piece, b)(j, j + WIDTH)).view(np.int64) for b in BASES)
-                rows += [(2, x, y, doc[text[k]], rid[text[k]], start[k] + t, start[k] + t, 0, None) for t, x, y in zip(j.tolist(), h1.tolist(), h2.tolist())]
-            columns = list(zip(*rows)) or [()] * 9
-            kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "a", "s", "doc", "rid", "start", "last", "place", "bytes"])
+        names, kinds = ["kind", "a", "s", "doc", "rid", "start", "last", "place", "bytes"], [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary()]
+        for whole, raws in text_batches(batches):
+            for lo in range(0, len(raws), SOME):  # few texts at a time: the spans' bytes are several times the texts
+                batch, texts = whole.slice(lo, SOME), raws[lo : lo + SOME]
+                doc, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                parts = []
+                for buffer, valid, text, at in chunks(texts):
+                    first, last, place, a, s = spans(buffer, valid)
+                    own = marked(a, repeated)
+                    if own.any():
+                        first, last, place, a, s = (x[own] for x in (first, last, place, a, s))
+                        raw = buffer.tobytes()
+                        content = np.empty(len(first), object)
+                        content[:] = [raw[f : e + WIDTH] for f, e in zip(first.tolist(), last.tolist())]
+                        parts.append((a, s, text[first], at[first], at[last], at[place], content))
+                if not parts:
+                    continue
+                a, s, text, start, last, place, content = (np.concatenate(x) for x in zip(*parts))
+                o = np.lexsort((start, doc[text], s, a))
+                a, s, text, start, last, place, content = (x[o] for x in (a, s, text, start, last, place, content))
+                lead = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
+                lead = np.repeat(lead, np.diff(np.r_[lead, len(a)]))
+                later = (doc[text] != doc[text[lead]]) | (start != start[lead])
+                later &= content == content[lead]
+                content[later] = None
+                wide = marked(a, hot) & ~later
+                n = ~wide
+                columns = [np.where(later, 0, 1)[n], a[n], s[n], doc[text[n]], rid[text[n]], start[n], last[n], place[n], content[n]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(columns, kinds)], names)
+                for k in np.flatnonzero(wide):
+                    piece = np.frombuffer(content[k], np.uint8)
+                    j = np.arange(last[k] - start[k] + 1)
+                    h1, h2 = (mix(Prefix(piece, b)(j, j + WIDTH)).view(np.int64) for b in BASES)
+                    each = [np.full(len(j), v) for v in (2, doc[text[k]], rid[text[k]])]
+                    columns = [each[0], h1, h2, each[1], each[2], start[k] + j, start[k] + j, j * 0, [None] * len(j)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return docs.select(order.alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text").mapInArrow(run, MET)
 
