@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, packing, quality_rules, secrets, simhash
+from marginalia.llm import decontaminate, near_copies, packing, quality_rules, secrets
 from marginalia.llm.common import kept, table
 
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the least doc_id."""
-    return simhash.representatives(docs)
+    """One document of each group whose five-word shingles overlap by 0.8 or more, that of the least doc_id."""
+    return near_copies.representatives(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
