@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders. Every window of `width` template words with enough plain words is
 hashed; items shorter than a window are one window of their own length. Windows of documents that miss a bitmap of the
 benchmark's hashes (its size is a parameter, whatever the tables' sizes) stop in the scan; the rest meet the items in
-an equi-join of hash and template. What a placeholder stood for must be consistent along one alignment of a document
-and an item: each value of the item always the same value of the document, and the other way round.
+an equi-join of hash and template. What a placeholder stood for is judged along one alignment of a document and an
+item: a value of the item stands for the document's value at most of its places. A window counts if its values are
+such, or the item's own, or if it has no placeholder.
 
 Defined cases: a null or blank text matches nothing. Documents are told apart by id and text together, so rows of null
 id are judged each on its own and come out with a null doc_id; repeated rows come out once. A null item text is
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,11 +116,11 @@ def in_bitmap(h, bitmap, bits: int):
     return ok
 
 
-MATCH = "h long, pos long, words string, slots array<string>"
+MATCH = "h long, pos long, words string, slots array<string>, places array<long>"
 
 
 def _scan(rows: DataFrame, key: str, widths: list[int], bitmap=None, bits: int = 0, whole: int = 0) -> DataFrame:
-    """(key, h, pos, words, slots) of the informative windows, of those in the bitmap if there is one.
+    """(key, h, pos, words, slots, places of the slots) of the informative windows, of those in the bitmap if there is one.
 
     whole: also one window of its own length for texts of fewer words (two at least) than so many.
     """
@@ -132,7 +134,7 @@ def _scan(rows: DataFrame, key: str, widths: list[int], bitmap=None, bits: int =
             seen = Words()
             numbers = [seen.numbers(x) for x in texts]
             tables = seen.tables()
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for k, ids in enumerate(numbers):
                 own = widths
                 if whole:
@@ -146,21 +148,52 @@ def _scan(rows: DataFrame, key: str, widths: list[int], bitmap=None, bits: int =
                     words = texts[k].split()
                     for p in take.tolist():
                         pairs = [template(words[place[j]], not later[j]) for j in range(p, p + width)]
-                        for column, value in zip(out, (k, int(h[p]) - (1 << 64) * (int(h[p]) >> 63), p, " ".join(t for t, _ in pairs), [f"{t}{v}" for t, v in pairs if t in PLACEHOLDERS])):
+                        for column, value in zip(out, (k, int(h[p]) - (1 << 64) * (int(h[p]) >> 63), p, " ".join(t for t, _ in pairs), [f"{t}{v}" for t, v in pairs if t in PLACEHOLDERS], [p + j for j, (t, _) in enumerate(pairs) if t in PLACEHOLDERS])):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.string()))],
-                [key, "h", "pos", "words", "slots"],
+                [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.string())), pa.array(out[5], pa.list_(pa.int64()))],
+                [key, "h", "pos", "words", "slots", "places"],
             )
 
     return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {MATCH}")
 
 
+def agreeing(line: list[dict]) -> tuple[int, int]:
+    """How many windows (pos, own, slots, places) of an alignment count, and how many of them are verbatim.
+
+    A value of the item stands for what it meets at more than half of its places, for none if there is no such value.
+    """
+    met = {at: pair for w in line for at, *pair in zip(w["places"], w["own"], w["slots"])}
+    places, pairs = Counter(own for own, _ in met.values()), Counter(map(tuple, met.values()))
+    count, verbatim = set(), set()
+    for w in line:
+        if w["own"] == w["slots"]:
+            verbatim.add(w["pos"])
+        if all(a == b or 2 * pairs[a, b] > places[a] for a, b in zip(w["own"], w["slots"])):
+            count.add(w["pos"])
+    return len(count), len(verbatim)
+
+
+def _judged(met: DataFrame) -> DataFrame:
+    """(key, item_id, n, verbatim) of each alignment; it has no more windows than the item."""
+    lines = met.groupBy("key", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_list(F.struct("pos", "own", "slots", "places")).alias("line"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counts = [agreeing(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(2))], ["key", "item_id", "n", "verbatim"])
+
+    kinds = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in ("key", "item_id"))
+    return lines.select("key", "item_id", "line").mapInArrow(run, f"{kinds}, n long, verbatim long")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least_windows: int = 6, share: float = 0.5, bits: int = 22) -> DataFrame:
     """(rid, doc_id, item_id, n_windows, item_windows, verbatim) of the documents that hold an item.
 
-    An item is held if its consistent windows number least_windows, or `share` of all it has if that is fewer. rid is
-    the row's hash of id and text. bits: 2 ** bits is the size of the bitmap.
+    An item is held if its agreeing windows number least_windows, or `share` of all it has if that is fewer; verbatim if
+    its verbatim windows alone do. rid is the row's hash of id and text. bits: 2 ** bits is the size of the bitmap.
     """
     import numpy as np
 
@@ -178,20 +211,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least
 
     with_rid = docs.select("doc_id", "text", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("rid")).alias("key"))
     found = kept(_scan_shared(with_rid, sorted(lengths), shared, bits).distinct(), "benchmark-hits")
-    size = items.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    size = items.groupBy(F.col("item_id").alias("of_item")).agg(F.count("*").alias("item_windows"))
     wanted = items.select("item_id", "h", "words", F.col("pos").alias("at"), F.col("slots").alias("own"))
-    met = found.join(wanted, ["h", "words"]).withColumn("pair", F.arrays_zip(F.col("own").alias("own"), F.col("slots").alias("slots")))
-    lines = met.groupBy("key", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("pair"))).alias("pairs")
-    )
-    own, theirs = F.array_distinct(F.col("pairs.own")), F.array_distinct(F.col("pairs.slots"))
-    same = (F.size(own) == F.size("pairs")) & (F.size(theirs) == F.size("pairs"))
-    lines = lines.where(same).withColumn("verbatim", ~F.exists("pairs", lambda p: p["own"] != p["slots"]))
-    sums = lines.groupBy("key", "item_id").agg(F.sum("n").alias("n_windows"), F.max(F.col("verbatim").cast("int")).alias("verbatim"))
+    lines = _judged(found.join(wanted, ["h", "words"]))
+    sums = lines.groupBy("key", "item_id").agg(F.sum("n").alias("n_windows"), F.sum("verbatim").alias("verbatim"))
     need = F.least(F.lit(least_windows), F.ceil(F.col("item_windows") * share))
     return (
-        sums.join(size, sums.item_id.eqNullSafe(size.item_id)).drop(size.item_id).where(F.col("n_windows") >= need)
-        .select("key.rid", "key.doc_id", "item_id", "n_windows", "item_windows", (F.col("verbatim") == 1).alias("verbatim"))
+        sums.join(size, F.col("item_id").eqNullSafe(F.col("of_item"))).where(F.col("n_windows") >= need)
+        .select("key.rid", "key.doc_id", "item_id", "n_windows", "item_windows", (F.col("verbatim") >= need).alias("verbatim"))
     )
 
 
