@@ -1,7 +1,9 @@
 """Benchmark decontamination: template windows of benchmark items found in documents, re-parameterised ones too.
 
-Numbers, names and units become typed placeholders. Every window of `width` template words with enough plain words is
-hashed; items shorter than a window are one window of their own length. Windows of documents that miss a bitmap of the
+Numbers, names and units become typed placeholders. Every window of `width` template words is hashed, as a template if
+at least half of them are plain words. Other windows are hashed by their actual words, so that they are found verbatim,
+and once more as the template that goes on from there until it holds as many plain words as a window needs, if the text
+has them. Items shorter than a window are one window of their own length; those of fewer than two words have none. Windows of documents that miss a bitmap of the
 benchmark's hashes (its size is a parameter, whatever the tables' sizes) stop in the scan; the rest meet the items in
 an equi-join of hash and template. What a placeholder stood for is judged along one alignment of a document and an
 item: a value of the item stands for the document's value at most of its places. A window counts if its values are
@@ -66,17 +68,18 @@ class Words:
         return np.array([number.setdefault(w, len(number)) for w in text.split()], np.int64)
 
     def tables(self):
-        """hash when first, hash when later, plain when first, plain when later, empty, ends a sentence."""
+        """hashes (when first, when later, of the word itself), plain when first, plain when later, empty, ends a sentence."""
         import numpy as np
         import xxhash
 
         n = len(self.number)
-        hashes, plain = np.zeros((2, n), np.uint64), np.zeros((2, n), bool)
+        hashes, plain = np.zeros((3, n), np.uint64), np.zeros((2, n), bool)
         empty, ends = np.zeros(n, bool), np.zeros(n, bool)
         for w, i in self.number.items():
-            later = template(w, False)[0]
+            later, low = template(w, False)
             first = template(w, True)[0] if later == NAME else later
             empty[i] = not later
+            hashes[2, i] = xxhash.xxh64_intdigest(low)
             ends[i] = w.rstrip("\"'”’»)")[-1:] in (".", "!", "?", ":")
             for k, t in enumerate((first, later)):
                 hashes[k, i] = xxhash.xxh64_intdigest(t)
@@ -84,8 +87,18 @@ class Words:
         return hashes, plain, empty, ends
 
 
-def windows(ids, tables, width: int):
-    """(hash, is informative) of each window of so many template words, and the places of the words that aren't empty."""
+def _mixed(h):
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(PRIME)
+    return h ^ (h >> np.uint64(29))
+
+
+def windows(ids, tables, width: int, wide: int):
+    """(hash, begin, size, is exact) of each window of so many template words, and the places of the words that aren't empty.
+
+    Windows with too few plain words are exact, those of `wide` words also go on to enough plain words if there are some.
+    """
     import numpy as np
 
     hashes, plain, empty, ends = tables
@@ -94,16 +107,30 @@ def windows(ids, tables, width: int):
     later, own = (~first[place]).astype(np.int64), ids[place]
     n = len(own) - width + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool), place, later
+        none = np.zeros(0, np.int64)
+        return (none.astype(np.uint64), none, none, none.astype(bool)), place, later
     h, ok = hashes[later, own], plain[later, own]
     out, told = np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for j in range(width):
         out = out * np.uint64(PRIME) + h[j : j + n]
         told += ok[j : j + n]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(PRIME)
-    out ^= out >> np.uint64(29)
-    return out, 2 * told >= width, place, later
+    begin, size, exact = np.arange(n), np.full(n, width), 2 * told < width
+    low = np.flatnonzero(exact)
+    if len(low):
+        actual, k = np.zeros(len(low), np.uint64), (width + 1) // 2
+        for j in range(width):
+            actual = actual * np.uint64(PRIME) + hashes[2, own[low + j]]
+        out[low] = actual
+        at = np.flatnonzero(ok)
+        if width == wide and len(at) >= k:
+            last = np.r_[0, np.cumsum(ok)][low] + k - 1
+            low, last = low[last < len(at)], last[last < len(at)]
+            # sums of h[j] * PRIME ** (q - j): differences of sums of h[j] * PRIME ** -j, whatever the length
+            up, down = (np.cumprod(np.r_[np.uint64(1), np.full(len(h) - 1, x, np.uint64)], dtype=np.uint64) for x in (PRIME, pow(PRIME, -1, 1 << 64)))
+            sums, q = np.r_[np.uint64(0), np.cumsum(h * down, dtype=np.uint64)], at[last]
+            out = np.r_[out, (sums[q + 1] - sums[low]) * up[q]]
+            begin, size, exact = np.r_[begin, low], np.r_[size, q + 1 - low], np.r_[exact, np.zeros(len(low), bool)]
+    return (_mixed(out), begin, size, exact), place, later
 
 
 def in_bitmap(h, bitmap, bits: int):
@@ -116,11 +143,11 @@ def in_bitmap(h, bitmap, bits: int):
     return ok
 
 
-MATCH = "h long, pos long, words string, slots array<string>, places array<long>"
+MATCH = "h long, pos long, words string, slots array<string>, places array<long>, exact boolean"
 
 
-def _scan(rows: DataFrame, key: str, widths: list[int], bitmap=None, bits: int = 0, whole: int = 0) -> DataFrame:
-    """(key, h, pos, words, slots, places of the slots) of the informative windows, of those in the bitmap if there is one.
+def _scan(rows: DataFrame, key: str, widths: list[int], bitmap=None, bits: int = 0, whole: int = 0, wide: int = 8) -> DataFrame:
+    """(key, h, pos, words, slots, places of the slots, is exact) of the windows, of those in the bitmap if there is one.
 
     whole: also one window of its own length for texts of fewer words (two at least) than so many.
     """
@@ -134,25 +161,28 @@ def _scan(rows: DataFrame, key: str, widths: list[int], bitmap=None, bits: int =
             seen = Words()
             numbers = [seen.numbers(x) for x in texts]
             tables = seen.tables()
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for k, ids in enumerate(numbers):
                 own = widths
                 if whole:
                     n = int((~tables[2][ids]).sum())
                     own = [n] if 2 <= n < whole else widths
                 for width in own:
-                    h, told, place, later = windows(ids, tables, width)
-                    take = np.flatnonzero(told if bitmap is None else told & in_bitmap(h, bitmap, bits))
+                    (h, begin, size, exact), place, later = windows(ids, tables, width, wide)
+                    take = np.arange(len(h)) if bitmap is None else np.flatnonzero(in_bitmap(h, bitmap, bits))
                     if not len(take):
                         continue
                     words = texts[k].split()
-                    for p in take.tolist():
-                        pairs = [template(words[place[j]], not later[j]) for j in range(p, p + width)]
-                        for column, value in zip(out, (k, int(h[p]) - (1 << 64) * (int(h[p]) >> 63), p, " ".join(t for t, _ in pairs), [f"{t}{v}" for t, v in pairs if t in PLACEHOLDERS], [p + j for j, (t, _) in enumerate(pairs) if t in PLACEHOLDERS])):
+                    for i in take.tolist():
+                        p, value = int(begin[i]), int(h[i])
+                        pairs = [template(words[place[j]], not later[j]) for j in range(p, p + int(size[i]))]
+                        slots = [] if exact[i] else [(p + j, t + v) for j, (t, v) in enumerate(pairs) if t in PLACEHOLDERS]
+                        said = " ".join(pair[int(exact[i])] for pair in pairs)
+                        for column, value in zip(out, (k, value - (1 << 64) * (value >> 63), p, said, [v for _, v in slots], [at for at, _ in slots], bool(exact[i]))):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.string())), pa.array(out[5], pa.list_(pa.int64()))],
-                [key, "h", "pos", "words", "slots", "places"],
+                [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.string())), pa.array(out[5], pa.list_(pa.int64())), pa.array(out[6], pa.bool_())],
+                [key, "h", "pos", "words", "slots", "places", "exact"],
             )
 
     return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {MATCH}")
@@ -192,13 +222,13 @@ def _judged(met: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least_windows: int = 6, share: float = 0.5, bits: int = 22) -> DataFrame:
     """(rid, doc_id, item_id, n_windows, item_windows, verbatim) of the documents that hold an item.
 
-    An item is held if its agreeing windows number least_windows, or `share` of all it has if that is fewer; verbatim if
-    its verbatim windows alone do. rid is the row's hash of id and text. bits: 2 ** bits is the size of the bitmap.
+    An item is held if its agreeing windows number least_windows, or `share` of its templates (of its exact windows if it
+    has none) if that is fewer; verbatim if its verbatim windows alone do. rid is the row's hash of id and text. bits: 2 ** bits is the size of the bitmap.
     """
     import numpy as np
 
     spark = docs.sparkSession
-    items = kept(_scan(benchmark.where("text is not null").select("item_id", "text"), "item_id", [width], whole=width), "benchmark-windows")
+    items = kept(_scan(benchmark.where("text is not null").select("item_id", "text"), "item_id", [width], whole=width, wide=width), "benchmark-windows")
     lengths = [r[0] for r in items.select(F.size(F.split("words", " ")).alias("n")).distinct().where(F.col("n") <= width).collect()]  # width of them at most
     mask = (1 << bits) - 1
     at = F.explode(F.array(F.col("h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("h", 64 - bits)))
@@ -210,26 +240,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least
     shared = spark.sparkContext.broadcast(bitmap)
 
     with_rid = docs.select("doc_id", "text", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("rid")).alias("key"))
-    found = kept(_scan_shared(with_rid, sorted(lengths), shared, bits).distinct(), "benchmark-hits")
-    size = items.groupBy(F.col("item_id").alias("of_item")).agg(F.count("*").alias("item_windows"))
+    found = kept(_scan_shared(with_rid, sorted(lengths), shared, bits, width).distinct(), "benchmark-hits")
+    size = items.groupBy(F.col("item_id").alias("of_item")).agg(F.countDistinct("pos").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("told"))
     wanted = items.select("item_id", "h", "words", F.col("pos").alias("at"), F.col("slots").alias("own"))
     lines = _judged(found.join(wanted, ["h", "words"]))
     sums = lines.groupBy("key", "item_id").agg(F.sum("n").alias("n_windows"), F.sum("verbatim").alias("verbatim"))
-    need = F.least(F.lit(least_windows), F.ceil(F.col("item_windows") * share))
+    need = F.least(F.lit(least_windows), F.ceil(F.when(F.col("told") > 0, F.col("told")).otherwise(F.col("item_windows")) * share))
     return (
         sums.join(size, F.col("item_id").eqNullSafe(F.col("of_item"))).where(F.col("n_windows") >= need)
         .select("key.rid", "key.doc_id", "item_id", "n_windows", "item_windows", (F.col("verbatim") >= need).alias("verbatim"))
     )
 
 
-def _scan_shared(rows: DataFrame, widths: list[int], shared, bits: int) -> DataFrame:
+def _scan_shared(rows: DataFrame, widths: list[int], shared, bits: int, wide: int) -> DataFrame:
     """_scan with the bitmap taken from a broadcast within each task."""
 
     class Lazy:
         def __getitem__(self, at):
             return shared.value[at]
 
-    return _scan(rows, "key", widths, Lazy(), bits)
+    return _scan(rows, "key", widths, Lazy(), bits, wide=wide)
+
+
+def without_window(benchmark: DataFrame, width: int = 8) -> DataFrame:
+    """Items (item_id, text) that can't be found: texts of fewer than two words."""
+    rows = benchmark.select("item_id", "text").where("text is not null").withColumn("key", F.xxhash64("item_id", "text"))
+    return rows.join(_scan(rows, "key", [width], whole=width, wide=width).select("key").distinct(), "key", "left_anti").select("item_id", "text")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
