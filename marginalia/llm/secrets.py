@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for keys that no pattern names.
 
-Candidates are whole runs of key characters. For each one the encoding is inferred (the smallest alphabet that holds its
+Candidates are whole runs of key characters, and the parts of a run between =, /, _ and - (a key that a name or a path is
+joined to). For each one the encoding is inferred (the smallest alphabet that holds its
 characters) and three tests ask whether it looks drawn uniformly from that alphabet: chi-squared over the symbols, runs
 above and below the alphabet's middle, serial correlation of neighbours. Fisher's method combines them; a candidate
 must not be rejected as random. The other way round, the likelihood ratio of the uniform source to a fixed model of
@@ -29,6 +30,7 @@ ASSIGN_HINT = re.compile("pass|secret|token|api")
 ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 HEX = re.compile("[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile("[A-Za-z0-9+]+")
 
 #: Encodings by growing size of alphabet; decimal numbers are no keys.
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -138,12 +140,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
+def parts(text: str):
+    """(start, end) of whole runs, each followed by its parts of 20 characters or more, if it falls into parts."""
+    for m in CANDIDATE.finditer(text):
+        yield m.span()
+        inner = [(m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m[0])]
+        yield from (x for x in inner if x[1] - x[0] >= 20 and x != (m.start(), m.start() + len(m[0].rstrip("="))))
+
+
 def candidates(text: str, base: list[tuple[int, int, int]], alpha: float) -> list[tuple[int, int, int, int]]:
     """(start, end, length class, step of the bound on p) of tokens outside base spans that pass for random."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        token = m[0].rstrip("=")
+    for s, e in parts(text):
+        token = text[s:e].rstrip("=")
         if len(token) < 20 or any(a < e and s < b for _, a, b in base):
             continue
         name = encoding(token)
@@ -154,8 +163,11 @@ def candidates(text: str, base: list[tuple[int, int, int]], alpha: float) -> lis
 
 def found(text: str, alpha: float, least: dict[int, int]) -> list[tuple[int, int, int]]:
     """All spans of a text where a candidate of class c must reach step least[c]."""
-    base = base_spans(text)
-    return sorted(base + [(3, s, e) for s, e, c, step in candidates(text, base, alpha) if step >= least.get(c, TOP + 1)], key=lambda s: (s[1], s[0]))
+    base, more = base_spans(text), []
+    for s, e, c, step in candidates(text, base, alpha):
+        if step >= least.get(c, TOP + 1) and not (more and s < more[-1][2]):  # a part of a found run is found with it
+            more.append((3, s, e))
+    return sorted(base + more, key=lambda s: (s[1], s[0]))
 
 
 def said(spans: list[tuple[int, int, int]]) -> str:
@@ -207,6 +219,7 @@ def secrets(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
     least = thresholds(scans, q)
     bar = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else None
     passed = F.filter("more", lambda x: x["step"] >= F.coalesce(F.element_at(bar, x["c"]), F.lit(TOP + 1))) if least else F.slice("more", 1, 0)
+    passed = F.filter(passed, lambda x: ~F.exists(passed, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (x["e"] - x["s"] < y["e"] - y["s"])))  # a part of a found run is found with it
     every = F.sort_array(
         F.concat(
             F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))),
