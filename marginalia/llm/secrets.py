@@ -7,7 +7,8 @@ above and below the alphabet's middle, serial correlation of neighbours. Fisher'
 must not be rejected as random. The other way round, the likelihood ratio of the uniform source to a fixed model of
 ordinary writing is an e-value, so 1 / ratio bounds the p-value of "this is ordinary writing", and it shrinks only
 as fast as length allows. Benjamini-Hochberg over all candidates of the corpus, one family for each length class,
-keeps the expected share of false finds under q: where many short tokens were looked at, a short one must show more.
+keeps the expected share of false finds under q. All tokens that were looked at are in the family, with p = 1 where
+a test has screened them out: where many short tokens were looked at, a short one must show more.
 
 Defined cases: a null text is empty and has no spans. A null doc_id passes through. Repeated rows come out once each
 and count as candidates once each. Ties at a threshold are found together. Only doc_id and text are read.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,13 +150,18 @@ def parts(text: str):
         yield from (x for x in inner if x[1] - x[0] >= 20 and x != (m.start(), m.start() + len(m[0].rstrip("="))))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]], alpha: float) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, step of the bound on p) of tokens outside base spans that pass for random."""
+def candidates(text: str, base: list[tuple[int, int, int]], alpha: float, tried: Counter | None = None) -> list[tuple[int, int, int, int]]:
+    """(start, end, length class, step of the bound on p) of tokens outside base spans that pass for random.
+
+    tried: counts the tokens that were looked at, by length class.
+    """
     out = []
     for s, e in parts(text):
         token = text[s:e].rstrip("=")
         if len(token) < 20 or any(a < e and s < b for _, a, b in base):
             continue
+        if tried is not None:
+            tried[length_class(len(token))] += 1
         name = encoding(token)
         if name != "decimal" and (high := surprise(token, ENCODINGS[name])) > 0 and fisher(battery(token, ENCODINGS[name])) >= alpha:
             out.append((s, e, length_class(len(token)), min(TOP, int(high / STEP))))
@@ -174,38 +181,40 @@ def said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-RAW = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<k:int,s:long,e:long>>, more array<struct<s:long,e:long,c:int,step:int>>"
+RAW = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<k:int,s:long,e:long>>, more array<struct<s:long,e:long,c:int,step:int>>, tried array<struct<c:int,n:long>>"
 
 
 def scanned(docs: DataFrame, alpha: float = 1e-3) -> DataFrame:
-    """doc_id and what one pass over each text shows: base spans and candidates."""
+    """doc_id and what one pass over each text shows: base spans, candidates, and how many tokens were looked at by length class."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("c", pa.int32()), ("step", pa.int32())]))]
-        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more"]
+        types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("c", pa.int32()), ("step", pa.int32())])), pa.list_(pa.struct([("c", pa.int32()), ("n", pa.int64())]))]
+        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more", "tried"]
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
                 n = [sum(k == i for k, _, _ in base) for i in range(3)]
-                rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), [dict(zip("kse", x)) for x in base], [dict(zip(("s", "e", "c", "step"), x)) for x in candidates(text, base, alpha)]))
-            columns = list(zip(*rows)) or [()] * 6
+                more = candidates(text, base, alpha, tried := Counter())
+                rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), [dict(zip("kse", x)) for x in base], [dict(zip(("s", "e", "c", "step"), x)) for x in more], [{"c": c, "n": m} for c, m in tried.items()]))
+            columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {RAW}")
 
 
 def thresholds(scans: DataFrame, q: float = 0.01) -> dict[int, int]:
-    """By length class, the least step that Benjamini-Hochberg accepts: classes x steps counts reach the driver."""
+    """By length class, the least step that Benjamini-Hochberg accepts among all tokens tried: classes x steps counts reach the driver."""
+    tests = {r["c"]: r["n"] for r in scans.select(F.explode("tried").alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n")).collect()}
     counts = scans.select(F.explode("more").alias("x")).groupBy("x.c", "x.step").count().collect()
     least: dict[int, int] = {}
     for c in {r["c"] for r in counts}:
         own = sorted(((r["step"], r["count"]) for r in counts if r["c"] == c), reverse=True)
-        tried, rank = sum(n for _, n in own), 0
+        tried, rank = tests[c], 0
         for step, n in own:
             rank += n
             if 10 ** (-step * STEP) <= q * rank / tried:
@@ -233,7 +242,7 @@ def secrets(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
     """docs, each found span of text (overlapping ones joined) replaced by mark; a null text stays null."""
-    least = thresholds(kept(scanned(docs, alpha).select("more"), "secret-candidates"), q)
+    least = thresholds(kept(scanned(docs, alpha).select("more", "tried"), "secret-candidates"), q)
     at = docs.columns.index("text")
 
     def clean(text: str) -> str:

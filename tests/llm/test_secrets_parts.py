@@ -28,3 +28,17 @@ def test_joined_keys_are_redacted(spark):
     df = spark.createDataFrame([(i, f"see /services/hooks/incoming/{k} there") for i, k in enumerate(keys)], "doc_id long, text string")
     text = {x.doc_id: x.text for x in S.redacted(df).collect()}
     assert all(k not in text[i] for i, k in enumerate(keys))
+
+
+def test_tokens_screened_out_count_as_tests(spark):
+    kind = "more array<struct<s:long,e:long,c:int,step:int>>, tried array<struct<c:int,n:long>>"
+    weak, strong = [(0, 20, 17, 8)] * 10, [(0, 20, 17, 60)]
+    assert S.thresholds(spark.createDataFrame([(weak, [(17, 10)])], kind)) == {17: 8}
+    assert S.thresholds(spark.createDataFrame([(weak, [(17, 10)]), ([], [(17, 10**6)])], kind)) == {}
+    assert S.thresholds(spark.createDataFrame([(weak + strong, [(17, 10**6)])], kind)) == {17: 60}
+
+
+def test_ordinary_words_are_looked_at(spark):
+    text = "usr/local/lib/python/site-packages electroencephalographically 123456789012345678901234 password=abcdefghijklmnopqrstuvwxyz"
+    (row,) = S.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(x.n for x in row.tried) == 3 and not row.more
