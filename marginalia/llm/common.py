@@ -36,7 +36,65 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what kept() wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bitmap(keys: DataFrame, most: int = 30):
+    """A Bloom filter over the long column of keys, about 16 bits a key, at most 2 ** most bits (128 MB); for marked().
+
+    Beyond that bound more keys are marked that aren't there. Every use therefore settles the marked rows by a join.
+    """
+    import numpy as np
+
+    bits = min(most, max(16, (16 * keys.count()).bit_length()))
+    key, mask = F.col(keys.columns[0]), (1 << bits) - 1
+    at = keys.select(F.explode(F.array(key.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(key, 64 - bits))).alias("at"))
+    chunk = F.shiftright("at", 20).alias("chunk")
+
+    def run(table):
+        import pyarrow as pa
+
+        ones = np.zeros(1 << 20, np.uint8)
+        ones[table.column("at").to_numpy() & ((1 << 20) - 1)] = 1
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "words": pa.array([np.packbits(ones, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(max(1 << bits, 1 << 20) >> 6, np.uint64)
+    for r in at.distinct().select("at", chunk).groupBy("chunk").applyInArrow(run, "chunk long, words binary").collect():
+        out[r["chunk"] << 14 : (r["chunk"] + 1) << 14] = np.frombuffer(r["words"], np.uint64)
+    return out[: 1 << (bits - 6)]
+
+
+def marked(key, words):
+    """Which of the longs in key are in the bitmap, or look as if they were."""
+    import numpy as np
+
+    h, bits = key.view(np.uint64), int(len(words)).bit_length() + 5
+    out = np.ones(len(h), bool)
+    for shift in (0, 64 - bits):
+        at = (h >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def rank(column):
+    """Ranks of an Arrow column's values, equal values alike, nulls after all others: for sorts by ids of any type."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return pc.rank(column, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -269,6 +269,8 @@ def without_window(benchmark: DataFrame, width: int = 8) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    bad = kept(contaminated(docs, benchmark, **settings).select("rid").distinct(), "contaminated")
-    return docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(bad.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").drop("_rid").select(docs.columns)
+    """docs without those that hold a benchmark item; columns pass through, whatever their names."""
+    bad = kept(contaminated(docs, benchmark, **settings).select("rid", "doc_id").distinct(), "contaminated")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rid"))
+    same = (F.col("a.rid") == F.col("b.rid")) & F.col("a.id").eqNullSafe(F.col("b.doc_id"))
+    return whole.alias("a").join(bad.alias("b"), same, "left_anti").select("row.*")

@@ -1,17 +1,19 @@
-"""Near copies by word shingles: all pairs of texts whose sets of shingles overlap by a given per cent, and none but these.
+"""Near copies by word shingles: SimHash trie self-join first, then an exact way for all that its budget leaves out.
 
-SimHash fingerprints of pairs that overlap by 0.8 differ in up to 22 of 64 bits, more than a Hamming budget can deal
-out, so candidates meet by shingles instead. Sets are put in one order, common shingles last; two sets that overlap
+The fingerprints of five-word shingles meet in simhash's trie self-join; a link it proposes counts if the sets themselves
+overlap by the given per cent. Pairs that overlap by 0.8 differ in up to 22 of 64 bits, more than any Hamming budget can
+deal out, so the rest is found by shingles. Sets are put in one order, common shingles last; two sets that overlap
 enough share a shingle of their prefixes (n - ceil(share * n) + 1 shingles), so an equi-join of prefixes loses no pair.
-The order is taken from a sample and decides only how many candidates there are. A candidate is a link only if the
-sets themselves overlap enough.
+The order is taken from a sample and decides only how many candidates there are. Prefix shingles that no other set's
+prefix has are dropped early, by a bitmap; what it lets through meets no partner in the join.
 
-A shingle of very many near copies would make a pair of each two: a first round therefore tries only the text whose
-fingerprint is nearest to the group's majority and the neighbour in order of fingerprints; a second one tries all pairs
-that the first has left in different components.
+A shingle of very many near copies would make a pair of each two: besides the trie's, a first round therefore tries only
+the text whose fingerprint is nearest to the group's majority and the neighbour in order of fingerprints; a second one
+tries all pairs that the first has left in different components.
 
 Defined cases: texts of equal sets are one node; a text of fewer words than a shingle is one shingle; null and blank
-texts have the empty set. Only doc_id and text are read.
+texts have the empty set and stay together. Very long texts are whole: a set is one row. Only doc_id and text are read;
+other columns pass through, whatever their names. Sets are told apart by XXH64 of their hashes, rows by id and text.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, text_batches
+from . import simhash
+from .common import bitmap, forget, kept, marked, text_batches
 from .components import components
 
 
@@ -137,9 +140,54 @@ def all_pairs(group, label):
         yield apart, apart + d
 
 
-def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 200_000) -> DataFrame:
-    """(u, v): pairs of nodes that share a shingle of their prefixes and whose sizes allow the overlap; u > v."""
-    rows = nodes.select("node", "n", "fp", "label", F.explode("prefix").alias("h"))
+def live_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes with only those prefix shingles that another node's prefix has too (or seems to have), if there are any."""
+    h = kept(nodes.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h"), "near-shingles")
+    words = nodes.sparkSession.sparkContext.broadcast(bitmap(h))
+    forget(h)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            own = batch.column(0)
+            flat, length = own.values.to_numpy()[own.offsets[0].as_py() :], np.diff(own.offsets.to_numpy())
+            flat = flat[: int(length.sum())]
+            row, keep = np.repeat(np.arange(len(length)), length), marked(np.ascontiguousarray(flat), words.value)
+            size = np.bincount(row[keep], minlength=len(length))
+            prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat[keep]))
+            yield pa.RecordBatch.from_arrays([prefix, *batch.columns[1:]], batch.schema.names).filter(pa.array(size > 0))
+
+    columns = ["prefix", *(c for c in nodes.columns if c != "prefix")]
+    rows = nodes.select(columns)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def trie_pairs(live: DataFrame, budget: int) -> DataFrame:
+    """(u, v): nodes that the trie self-join of fingerprints links, nodes of one fingerprint by their least."""
+    same = live.groupBy("fp").agg(F.min("node").alias("head"))
+    stars = live.join(same, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    found = simhash.links(same.select("fp"), budget)
+    left, right = (same.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_node")) for c in "uv")
+    across = found.join(left, "u").join(right, "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    return stars.union(across).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 200_000, hot: int = 50_000) -> DataFrame:
+    """(u, v): pairs of nodes that share a shingle of their prefixes and whose sizes allow the overlap; u > v.
+
+    In the first round a shingle of more than `hot` nodes is dealt out at random; the second one has only shingles whose
+    nodes are in several components by then, and tries all pairs across these.
+    """
+    rows, salt = nodes.select("node", "n", "fp", "label", F.explode("prefix").alias("h")), F.lit(0)
+    sizes = rows.groupBy("h").agg(F.count("*").alias("of_h"), F.min("label").alias("low"), F.max("label").alias("high"))
+    if not first:
+        rows = rows.join(sizes.where("low <> high").select("h"), "h", "left_semi")
+    elif not (wide := kept(sizes.where(F.col("of_h") > hot).select("h", "of_h"), "near-hot")).isEmpty():
+        rows = rows.join(wide, "h", "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("h", "node"), F.floor(F.col("of_h") / hot) + 1), F.lit(0))
+    rows = rows.withColumn("h", F.when(salt == 0, F.col("h")).otherwise(F.xxhash64("h", salt))).select("node", "n", "fp", "label", "h")
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shards = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // shard_rows + 1)
 
@@ -168,44 +216,51 @@ def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 20
     return rows.select("*", shard).groupBy("shard").applyInArrow(run, "u long, v long").distinct()
 
 
-def overlapping(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (u, v) whose sets overlap enough; docs: rid and text."""
+def sets_of(docs: DataFrame, rids: DataFrame, width: int) -> DataFrame:
+    """(node, own): the sets of the texts whose rid is in rids (or seems to be); docs: rid and text."""
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(rids))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch, texts in text_batches(batches):
-            sets = [shingles(x, width) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([node_of(h) for h in sets], np.uint64).view(np.int64)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "own"])
+        for batch in batches:
+            some = batch.filter(pa.array(marked(batch.column(0).to_numpy(), words.value)))
+            for _, texts in text_batches([some]):
+                sets = [shingles(x, width) for x in texts]
+                node = np.array([node_of(h) for h in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "own"])
+
+    return docs.select("rid", "text").mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
+
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", F.col("first.rid").alias("rid")), "node").select("rid")
-    sets = kept(docs.join(asked, "rid", "left_semi").select("text").mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"]), "near-sets")
+def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (u, v) whose sets overlap enough."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     same = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("same"), (F.size("a") + F.size("b")).alias("sum"))
     return same.where((100 + percent) * F.col("same") >= percent * F.col("sum")).select("u", "v")
 
 
-def representatives(docs: DataFrame, width: int = 5, percent: int = 80, one_in: int = 16, most_common: int = 1 << 18) -> DataFrame:
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, budget: int = 3, one_in: int = 16, most_common: int = 1 << 18) -> DataFrame:
     """docs with one row of each component of texts that overlap by percent: that of the least doc_id (null ids last; between repeated rows, any one)."""
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rid"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text")
+    rid = F.xxhash64("doc_id", "text").alias("rid")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), rid)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, one_in, most_common))
     each = kept(sketches(docs.select(own.alias("doc_id"), "text"), common, width, percent), "near-sketches")
     nodes = kept(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "near-nodes")
+    live = kept(live_nodes(nodes), "near-live")
+    sets = kept(sets_of(docs.select(rid, "text"), live.select("first.rid"), width), "near-sets")
 
-    pairs = kept(candidates(nodes.withColumn("label", F.lit(0).cast("long")), percent, True), "near-pairs")
-    links = kept(overlapping(pairs, nodes, texts, width, percent), "near-links")
-    rooted = components(links)
-    labelled = nodes.join(rooted, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    pairs = kept(candidates(labelled, percent, False), "near-pairs")
-    links = links.union(kept(overlapping(pairs, nodes, texts, width, percent), "near-links"))
-    rooted = components(links)
+    pairs = candidates(live.withColumn("label", F.lit(0).cast("long")), percent, True).union(trie_pairs(live, budget)).distinct()
+    links = kept(overlapping(pairs, sets, percent), "near-links")
+    labelled = live.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    more = kept(overlapping(candidates(labelled, percent, False), sets, percent), "near-links")
+    rooted = kept(components(links.union(more)), "near-roots")
+    forget(live, sets, links, more)
 
     root = F.coalesce("root", "node").alias("root")
     chosen = nodes.select("node", "first").join(rooted, "node", "left").groupBy(root).agg(F.min("first").alias("least"))
-    chosen = kept(chosen.select(F.col("least.rid").alias("_rid")).distinct(), "near-chosen")
-    left = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(chosen, "_rid", "left_semi")
-    if each.groupBy("doc_id").count().where("count > 1").isEmpty():  # no repeated rows, so nothing to drop
-        return left.select(docs.columns)
-    return left.dropDuplicates(["_rid"]).select(docs.columns)
+    chosen = kept(chosen.select("least.id", "least.rid").distinct(), "near-chosen")
+    repeated = not each.groupBy("doc_id").count().where("count > 1").isEmpty()
+    forget(each, nodes, rooted)
+    return simhash.only(docs, chosen, repeated)

@@ -229,7 +229,11 @@ def flagged(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that flagged() keeps, with their columns. Texts are read twice and never shuffled."""
-    rules = _learned(with_stats(docs.select("doc_id", "text")).drop("text"), labels, "doc_id", "quality")
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    return with_stats(whole).where(~base_failed() & (verdict(rules) == 0)).select("_row.*")
+    """The documents that flagged() keeps, with their columns, whatever their names.
+
+    Statistics are taken once: the rows that pass the base rules are written beside them, and texts are never shuffled.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    passed = kept(with_stats(whole).where(~base_failed()).drop("text"), "quality-passed")
+    rules = _learned(passed.drop("row"), labels, "doc_id", "quality")
+    return passed.where(verdict(rules) == 0).select("row.*")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, text_batches
+from .common import forget, kept, text_batches
 from .components import components
 
 
@@ -194,14 +194,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, group_limi
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
+def only(docs: DataFrame, chosen: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of docs whose doc_id and hash of id and text are in chosen (id, rid), one of each if there are repeated rows."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rid"))
+    same = (F.col("a.rid") == F.col("b.rid")) & F.col("a.id").eqNullSafe(F.col("b.id"))
+    left = whole.alias("a").join(chosen.alias("b"), same, "left_semi")
+    return (left.dropDuplicates(["id", "rid"]) if repeated else left).select("row.*")
+
+
 def representatives(docs: DataFrame, width: int = 3, budget: int = 3, group_limit: int = 4096) -> DataFrame:
     """docs with one row of each component: that of the least doc_id (null ids last; between repeated rows, any one)."""
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rid"))
-    keyed = docs.select(own.alias("doc_id"), "text")
-    each = kept(fingerprints(keyed, width), "simhash")
-    nodes = kept(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    chosen = kept(_named(nodes.drop("n"), budget, group_limit).select("least.rid").distinct().withColumnRenamed("rid", "_rid"), "simhash-chosen")
-    left = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(chosen, "_rid", "left_semi")
-    if each.groupBy("doc_id").count().where("count > 1").isEmpty():  # no repeated rows, so nothing to drop
-        return left.select(docs.columns)
-    return left.dropDuplicates(["_rid"]).select(docs.columns)
+    each = kept(fingerprints(docs.select(own.alias("doc_id"), "text"), width), "simhash")
+    nodes = kept(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    chosen = kept(_named(nodes, budget, group_limit).select("least.id", "least.rid").distinct(), "simhash-chosen")
+    repeated = not each.groupBy("doc_id").count().where("count > 1").isEmpty()
+    forget(each, nodes)
+    return only(docs, chosen, repeated)

@@ -64,3 +64,27 @@ def test_stage_equals_brute_force_on_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == brute([tuple(r) for r in docs.collect()])
+
+
+def test_hot_shingles_lose_no_link(spark):
+    import functools
+
+    rows = texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = N.candidates
+    N.candidates = functools.partial(whole, hot=3, shard_rows=50)
+    try:
+        assert sorted(r.doc_id for r in N.representatives(df).collect()) == brute(rows)
+    finally:
+        N.candidates = whole
+
+
+def test_columns_with_the_names_used_inside(spark):
+    rows = [(1, "a b c d e f", 7, "x", 1), (2, "a b c d e f", 8, "y", 2), (3, "g", 9, "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid long, node string, _rid long")
+    assert sorted(map(tuple, N.representatives(df).collect())) == [rows[0], rows[2]]
+
+
+def test_ids_of_text(spark):
+    rows = [("b", "a b c d e f"), ("a", "a b c d e f"), ("c", "g h")]
+    assert sorted(r.doc_id for r in N.representatives(spark.createDataFrame(rows, "doc_id string, text string")).collect()) == ["a", "c"]
