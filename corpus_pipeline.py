@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame; all but
 the last return the columns of documents. Between stages the rows are written as Parquet and read again.
+
+Defined cases, the same in every stage: a null text is an empty one, fails the base rules of quality and goes there; a
+null doc_id stays a row of its own; of repeated rows the near-duplicate stage keeps one; of equals the least doc_id
+stays, nulls last; very long texts are read whole; an empty table gives an empty one; further columns pass through all
+stages but packing, whatever their names. Each stage reads doc_id and text, packing also source; n_chars is optional.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark and n_chars counted anew."""
-    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, their secrets replaced by a mark and n_chars, if there is such a column, counted anew."""
+    out = secrets.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned rules, fingerprints and token ids are beyond SQL; tests/llm/test_pipeline.py holds run() against plain Python.
+#: Learned rules, fingerprints and token ids are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
