@@ -141,10 +141,9 @@ def all_pairs(group, label):
 
 
 def live_nodes(nodes: DataFrame) -> DataFrame:
-    """nodes with only those prefix shingles that another node's prefix has too (or seems to have), if there are any."""
-    h = kept(nodes.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h"), "near-shingles")
-    words = nodes.sparkSession.sparkContext.broadcast(bitmap(h))
-    forget(h)
+    """nodes with only those prefix shingles that another node's prefix has too, if there are any: a bitmap first, then a join."""
+    shared = kept(nodes.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h"), "near-shingles")
+    words = nodes.sparkSession.sparkContext.broadcast(bitmap(shared))
 
     def run(batches):
         import numpy as np
@@ -159,9 +158,9 @@ def live_nodes(nodes: DataFrame) -> DataFrame:
             prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat[keep]))
             yield pa.RecordBatch.from_arrays([prefix, *batch.columns[1:]], batch.schema.names).filter(pa.array(size > 0))
 
-    columns = ["prefix", *(c for c in nodes.columns if c != "prefix")]
-    rows = nodes.select(columns)
-    return rows.mapInArrow(run, rows.schema)
+    some = nodes.select("prefix", "node").mapInArrow(run, "prefix array<long>, node long")
+    rows = some.select("node", F.explode("prefix").alias("h")).join(shared, "h", "left_semi")
+    return nodes.drop("prefix").join(rows.groupBy("node").agg(F.collect_list("h").alias("prefix")), "node")  # of one text
 
 
 def trie_pairs(live: DataFrame, budget: int) -> DataFrame:

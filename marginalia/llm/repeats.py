@@ -2,35 +2,39 @@
 
 Comparing all strings takes a row for each byte. Instead each 100-byte string is filed under its anchor, the 32-byte
 gram in it of the least hash (leftmost of equals): equal strings have equal anchors, and neighbouring strings share one,
-so a span of strings is one row. Spans whose anchor occurs once hold no repeat and stop in the scan.
-
-Spans of repeated anchors meet, by anchor, with their bytes. Equal spans collapse to the first. Of the rest, strings at the
-same distance from the same anchor are suffixes to sort: a mergesort whose comparisons find the common extension by binary
-search on prefix polynomial hashes, seven steps for 100 bytes. Neighbours that come out equal are compared byte by byte,
-so a hash collision can't remove anything. An anchor of more than `hot` different spans (the rim of a passage that very
-many documents share) isn't gathered: its strings go out one by one under two independent 64-bit hashes, and the first
-of each is a minimum by key.
-
-Which anchors repeat reaches the scan as a bitmap of fixed size; a false mark costs a row and changes nothing.
-
-Order is by doc_id, then start; defined cases: a null text is empty; null doc_ids come after all others and count as one
-document, as do rows that share a doc_id, so between such rows only the start decides; repeated rows come out alike, once
-each. Texts under 100 bytes lose nothing. Extra columns are ignored.
+so a span of strings is one row. Three passes over the texts, each sending less than the one before:
+
+1. anchors are counted; those that occur once hold no repeat.
+2. Spans of repeated anchors go out as hashes. Equal spans (by polynomial hash and an independent 128-bit digest of their
+   bytes) are ranked by place, all but the first are repeats.
+3. Anchors that are left with several different spans are what must be sorted. These spans go out with their bytes, and
+   strings at the same distance from the same anchor are suffixes to sort: a mergesort whose comparisons find the common
+   extension by binary search on prefix polynomial hashes, seven steps for 100 bytes. Neighbours that come out equal are
+   compared byte by byte, so a hash collision can't remove anything. An anchor of more than `hot` different spans
+   (the rim of a passage that very many documents share) is dealt out string by string instead of span by span; its
+   strings are sorted and compared alike, in as many shards as there are different strings.
+
+Which anchors pass reaches the scans as bitmaps whose size goes with the number of anchors up to a bound; a false mark
+costs a row and changes nothing. Only texts in which something is removed meet the repeats in a join.
+
+Order is by doc_id (of any type that sorts), then start; defined cases: a null text is empty; null doc_ids come after all
+others and count as one document, as do rows that share a doc_id, so between such rows only the start decides; repeated
+rows come out alike, once each. Texts under 100 bytes lose nothing; very long ones are worked on in parts that overlap.
+Extra columns are ignored. Repeats are put down to rows by doc_id and a hash of id and text.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrays, kept, text_batches
+from .common import bitmap, forget, kept, marked, rank, text_batches
 
 WIDTH, GRAM = 100, 32
 GRAMS = WIDTH - GRAM + 1
 CHUNK = 1 << 19  # positions worked on at once; their numbers fit in the low 20 bits of a key
-LAST = (1 << 63) - 1
 SOME = 2000
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 WORD = (1 << 64) - 1
@@ -129,104 +133,157 @@ def chunks(texts: list[bytes]):
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(a, occurs, spans): each distinct anchor of a batch."""
+    """(a, occurs): each distinct anchor of a batch."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for _, texts in text_batches(batches):
-            got = [spans(buffer, valid)[3:] for buffer, valid, _, _ in chunks(texts)]
-            if not got:
-                continue
-            a, s = (np.concatenate(x) for x in zip(*got))
-            order = np.lexsort((s, a))
-            a, s = a[order], s[order]
-            begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            fresh = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[begin]), pa.array(np.diff(np.r_[begin, len(a)]).astype(np.int32)), pa.array(np.add.reduceat(fresh, begin, dtype=np.int32))], ["a", "occurs", "spans"]
-            )
+            got = [spans(buffer, valid)[3] for buffer, valid, _, _ in chunks(texts)]
+            if got:
+                a, n = np.unique(np.concatenate(got), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n.astype(np.int32))], ["a", "occurs"])
 
-    return docs.select("text").mapInArrow(run, "a long, occurs int, spans int")
+    return docs.select("text").mapInArrow(run, "a long, occurs int")
 
 
-def _bitmap(anchors: DataFrame, bits: int):
-    """Two bits for each anchor among 2 ** bits; at most 2 ** (bits - 6) rows reach the driver."""
-    import numpy as np
+class Spans:
+    """The spans of some texts whose anchors are in a bitmap, by anchor, hash and place; `later`: a repeat of another one here."""
 
-    mask = (1 << bits) - 1
-    at = F.explode(F.array(F.col("a").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("a", 64 - bits)))
-    words = anchors.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("bits"))
-    got, out = arrays(words), np.zeros(1 << (bits - 6), np.uint64)
-    out[got["word"]] = got["bits"].view(np.uint64)
-    return out
+    def __init__(self, texts: list[bytes], doc, words):
+        import numpy as np
+
+        parts = []
+        for buffer, valid, text, at in chunks(texts):
+            first, last, place, a, s = spans(buffer, valid)
+            own = marked(a, words)
+            if own.any():
+                first, last, place, a, s = (x[own] for x in (first, last, place, a, s))
+                raw, content = buffer.tobytes(), np.empty(len(first), object)
+                content[:] = [raw[f : e + WIDTH] for f, e in zip(first.tolist(), last.tolist())]
+                parts.append((a, s, text[first], at[first], at[last], at[place], content))
+        self.columns = tuple(np.concatenate(x) for x in zip(*parts)) if parts else None
+        if parts:
+            self.collapse(doc)
+
+    def collapse(self, doc):
+        """Sort, and mark what repeats another one."""
+        import numpy as np
 
+        a, s, text, start, *_ = self.columns
+        order = np.lexsort((start, doc[text], s, a))
+        self.columns = a, s, text, start, _, _, content = tuple(x[order] for x in self.columns)
+        lead = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
+        lead = np.repeat(lead, np.diff(np.r_[lead, len(a)]))
+        self.later = ((doc[text] != doc[text[lead]]) | (start != start[lead])) & (content == content[lead])
 
-def marked(a, bitmap):
+    def take(self, which):
+        self.columns, self.later = tuple(x[which] for x in self.columns), self.later[which]
+
+    def singly(self, hot, doc):
+        """Deal the spans of hot anchors out as strings, each its own anchor; (text, first, last) of those that repeat one here."""
+        import numpy as np
+
+        wide = np.flatnonzero(marked(self.columns[0], hot))
+        if not len(wide):
+            return (np.zeros(0, np.int64),) * 3
+        a, s, text, start, last, place, content = (x[wide] for x in self.columns)
+        n = last - start + 1
+        span = np.repeat(np.arange(len(wide)), n)
+        j = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n)
+        length = np.array([len(x) for x in content])
+        raw = b"".join(content)
+        at = np.repeat(np.cumsum(length) - length, n) + j
+        h = mix(Prefix(np.frombuffer(raw, np.uint8))(at, at + WIDTH))
+        distance = (place[span] - start[span] - j).astype(np.uint64)
+        anchor = mix(h + a[span].view(np.uint64) * np.uint64(BASES[0]) + distance * np.uint64(BASES[1])).view(np.int64)
+        each = np.empty(len(span), object)
+        each[:] = [raw[k : k + WIDTH] for k in at.tolist()]
+        string = start[span] + j
+        self.take(np.setdiff1d(np.arange(len(self.later)), wide))
+        more = anchor, h.view(np.int64), text[span], string, string, string, each
+        self.columns = tuple(np.concatenate(x) for x in zip(self.columns, more))
+        self.collapse(doc)
+        text, string = self.columns[2][self.later], self.columns[3][self.later]
+        self.take(~self.later)
+        return runs_of(text, string)
+
+
+def runs_of(text, string):
+    """(text, first, last) of the runs of neighbouring strings."""
     import numpy as np
 
-    h, bits = a.view(np.uint64), int(len(bitmap)).bit_length() + 5
-    out = np.ones(len(a), bool)
-    for shift in (0, 64 - bits):
-        at = (h >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-        out &= (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return out
+    order = np.lexsort((string, text))
+    text, string = text[order], string[order]
+    cut = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (string[1:] != string[:-1] + 1)]) if len(text) else np.zeros(0, np.int64)
+    return text[cut], string[cut], string[np.r_[cut[1:], len(text)] - 1] if len(text) else string
 
 
-MET = "kind int, a long, s long, doc long, rid long, start int, last int, place int, bytes binary"
+def _batches(batches):
+    """(batch, texts, ranks of the ids) of few texts at a time: the spans' bytes are several times the texts."""
+    for whole, raws in text_batches(batches):
+        for lo in range(0, len(raws), SOME):
+            batch = whole.slice(lo, SOME)
+            yield batch, raws[lo : lo + SOME], rank(batch.column(0))
 
 
-def _met(docs: DataFrame, repeated, hot) -> DataFrame:
-    """Rows of repeated anchors. kind 0: strings start .. last of a text are repeats of its batch; 1: a span with its bytes;
-    2: one string, a and s being its two hashes."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((repeated, hot))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+
+
+def _hashed(docs: DataFrame, repeated) -> DataFrame:
+    """Spans of repeated anchors as hashes (a, s, v, w), those that repeat one of their batch marked `later`."""
+    kind, shared = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        repeated, hot = shared.value
-        names, kinds = ["kind", "a", "s", "doc", "rid", "start", "last", "place", "bytes"], [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary()]
-        for whole, raws in text_batches(batches):
-            for lo in range(0, len(raws), SOME):  # few texts at a time: the spans' bytes are several times the texts
-                batch, texts = whole.slice(lo, SOME), raws[lo : lo + SOME]
-                doc, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                parts = []
-                for buffer, valid, text, at in chunks(texts):
-                    first, last, place, a, s = spans(buffer, valid)
-                    own = marked(a, repeated)
-                    if own.any():
-                        first, last, place, a, s = (x[own] for x in (first, last, place, a, s))
-                        raw = buffer.tobytes()
-                        content = np.empty(len(first), object)
-                        content[:] = [raw[f : e + WIDTH] for f, e in zip(first.tolist(), last.tolist())]
-                        parts.append((a, s, text[first], at[first], at[last], at[place], content))
-                if not parts:
-                    continue
-                a, s, text, start, last, place, content = (np.concatenate(x) for x in zip(*parts))
-                o = np.lexsort((start, doc[text], s, a))
-                a, s, text, start, last, place, content = (x[o] for x in (a, s, text, start, last, place, content))
-                lead = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
-                lead = np.repeat(lead, np.diff(np.r_[lead, len(a)]))
-                later = (doc[text] != doc[text[lead]]) | (start != start[lead])
-                later &= content == content[lead]
-                content[later] = None
-                wide = marked(a, hot) & ~later
-                n = ~wide
-                columns = [np.where(later, 0, 1)[n], a[n], s[n], doc[text[n]], rid[text[n]], start[n], last[n], place[n], content[n]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(columns, kinds)], names)
-                for k in np.flatnonzero(wide):
-                    piece = np.frombuffer(content[k], np.uint8)
-                    j = np.arange(last[k] - start[k] + 1)
-                    h1, h2 = (mix(Prefix(piece, b)(j, j + WIDTH)).view(np.int64) for b in BASES)
-                    each = [np.full(len(j), v) for v in (2, doc[text[k]], rid[text[k]])]
-                    columns = [each[0], h1, h2, each[1], each[2], start[k] + j, start[k] + j, j * 0, [None] * len(j)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-    return docs.select(order.alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text").mapInArrow(run, MET)
+        for batch, texts, doc in _batches(batches):
+            got = Spans(texts, doc, shared.value)
+            if not got.columns:
+                continue
+            a, s, text, start, last, _, content = got.columns
+            digest = b"".join(b"\0" * 16 if late else xxhash.xxh3_128_digest(c) for late, c in zip(got.later.tolist(), content))
+            v = np.frombuffer(digest, "<i8").reshape(-1, 2)
+            own = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(own), batch.column(1).take(own), *map(pa.array, (a, s, v[:, 0].copy(), v[:, 1].copy(), start.astype(np.int32), last.astype(np.int32), got.later))],
+                ["doc_id", "rid", "a", "s", "v", "w", "start", "last", "later"],
+            )
+
+    return _identified(docs).mapInArrow(run, f"doc_id {kind}, rid long, a long, s long, v long, w long, start int, last int, later boolean")
+
+
+def _with_bytes(docs: DataFrame, several, hot) -> DataFrame:
+    """Different spans of anchors that have several, with their bytes; strings where the anchor is hot, repeats of the batch without bytes."""
+    kind, shared = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast((several, hot))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        several, hot = shared.value
+        for batch, texts, doc in _batches(batches):
+            got = Spans(texts, doc, several)
+            if not got.columns:
+                continue
+            got.take(~got.later)
+            again = got.singly(hot, doc) if hot is not None else (np.zeros(0, np.int64),) * 3
+            a, s, text, start, last, place, content = got.columns
+            if len(again[0]):
+                none, spread = np.zeros(len(again[0]), np.int64), (again[0] << 32) + again[1]
+                more = spread, none, *again, none, np.full(len(none), None, object)
+                a, s, text, start, last, place, content = (np.concatenate(x) for x in zip(got.columns, more))
+            own = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(own), batch.column(1).take(own), pa.array(a), pa.array(s), *(pa.array(x.astype(np.int32)) for x in (start, last, place)), pa.array(content, pa.binary())],
+                ["doc_id", "rid", "a", "s", "start", "last", "place", "bytes"],
+            )
+
+    return _identified(docs).mapInArrow(run, f"doc_id {kind}, rid long, a long, s long, start int, last int, place int, bytes binary")
 
 
 def common(prefix: Prefix, p, q, most: int = WIDTH):
@@ -287,7 +344,7 @@ def suffix_sort(buffer, prefix: Prefix, at, group):
 
 
 def repeats_of(a, s, doc, start, last, place, content):
-    """(row, first string, last string) of the runs of repeated strings among spans; every string has its place in a text."""
+    """(row, first string, last string) of the runs of strings that repeat one of another span of their anchor, whole spans too."""
     import numpy as np
 
     o = np.lexsort((start, doc, s, a))
@@ -295,14 +352,13 @@ def repeats_of(a, s, doc, start, last, place, content):
     a, s, doc, start, last, place, content = (x[o] for x in (a, s, doc, start, last, place, content))
     lead = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
     lead = np.repeat(lead, np.diff(np.r_[lead, len(a)]))
-    same = content == content[lead]
-    later = same & ((doc != doc[lead]) | (start != start[lead]))
-    rows, begins, ends = [np.flatnonzero(later)], [start[later]], [last[later]]
+    later = (content == content[lead]) & ((doc != doc[lead]) | (start != start[lead]))
 
     # One span of each kind is left (and those that tie with it, or that a collision put there); anchors of one kind hold no more.
     keep = np.flatnonzero(~later)
     many = np.repeat(np.diff(np.r_[g := np.flatnonzero(np.r_[True, a[keep][1:] != a[keep][:-1]]), len(keep)]) > 1, np.diff(np.r_[g, len(keep)]))
     keep = keep[many]
+    rows, begins, ends = [np.flatnonzero(later)], [start[later]], [last[later]]
     if len(keep):
         length = np.array([len(x) for x in content[keep]])
         buffer = np.frombuffer(b"".join(content[keep]), np.uint8)
@@ -313,12 +369,10 @@ def repeats_of(a, s, doc, start, last, place, content):
         own, at, string = keep[span], base[span] + j, start[keep][span] + j
         distance = place[own] - string
         prefix = Prefix(buffer)
-        h = prefix(at, at + WIDTH)
-        o2 = np.lexsort((h, distance, a[own]))
-        own, at, string, distance, h = (x[o2] for x in (own, at, string, distance, h))
+        o2 = np.lexsort((distance, a[own]))
+        own, at, string, distance = (x[o2] for x in (own, at, string, distance))
         fresh = np.r_[True, (a[own][1:] != a[own][:-1]) | (distance[1:] != distance[:-1])]
-        twin = ~fresh[1:] & (h[1:] == h[:-1])
-        some = np.r_[twin, False] | np.r_[False, twin]  # a string whose hash stands alone equals no other
+        some = ~(fresh & np.r_[fresh[1:], True])  # not alone in its group
         group = np.cumsum(fresh)[some]
         own, at, string = own[some], at[some], string[some]
         order = suffix_sort(buffer, prefix, at, group)
@@ -335,70 +389,106 @@ def repeats_of(a, s, doc, start, last, place, content):
         lead = np.flatnonzero(np.r_[True, klass[1:] != klass[:-1]])
         lead = np.repeat(lead, np.diff(np.r_[lead, len(klass)]))
         again = (doc[own] != doc[own[lead]]) | (string != string[lead])
-        own, string = own[again], string[again]
-        o4 = np.lexsort((string, own))
-        own, string = own[o4], string[o4]
-        cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (string[1:] != string[:-1] + 1)]) if len(own) else np.zeros(0, np.int64)
-        rows.append(own[cut])
-        begins.append(string[cut])
-        ends.append(string[np.r_[cut[1:], len(own)] - 1] if len(own) else string)
+        for out, got in zip((rows, begins, ends), runs_of(own[again], string[again])):
+            out.append(got)
     return inverse[np.concatenate(rows)], np.concatenate(begins), np.concatenate(ends)
 
 
 def _sorted(rows: DataFrame, shards: int) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        a, s, doc, start, last, place = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "s", "doc", "start", "last", "place"))
+        known = table.filter(table.column("bytes").is_null()).select(["doc_id", "rid", "start", "last"])
+        table = table.filter(table.column("bytes").is_valid())
+        a, s, start, last, place = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "s", "start", "last", "place"))
         content = np.empty(len(a), object)
         content[:] = table.column("bytes").to_pylist()
-        row, begin, end = repeats_of(a, s, doc, start, last, place, content)
-        return pa.table({"rid": table.column("rid").take(pa.array(row)), "start": pa.array(begin.astype(np.int32)), "last": pa.array(end.astype(np.int32))})
+        row, begin, end = repeats_of(a, s, rank(table.column("doc_id")), start, last, place, content)
+        own = table.select(["doc_id", "rid"]).take(pa.array(row))
+        own = own.append_column("start", pa.array(begin.astype(np.int32))).append_column("last", pa.array(end.astype(np.int32)))
+        return pa.concat_tables([known, own.cast(known.schema)])
+
+    return rows.withColumn("shard", F.pmod("a", F.lit(shards))).groupBy("shard").applyInArrow(run, f"doc_id {kind}, rid long, start int, last int")
 
-    return rows.withColumn("shard", F.pmod("a", F.lit(shards))).groupBy("shard").applyInArrow(run, "rid long, start int, last int")
 
+def repeats(docs: DataFrame, hot: int = 20_000, shard_rows: int = 25_000) -> DataFrame:
+    """(doc_id, rid, start, last): runs of strings that also start earlier; rid is the row's hash of id and text.
 
-def repeats(docs: DataFrame, hot: int = 20_000, bits: int = 26, shard_rows: int = 25_000) -> DataFrame:
-    """(rid, start, last): runs of strings that also start earlier; rid is the row's hash of id and text."""
+    hot, shard_rows: how the sort's work is dealt out; no result depends on them.
+    """
     spark = docs.sparkSession
-    anchors = kept(_anchors(docs).groupBy("a").agg(F.sum("occurs").alias("occurs"), F.sum("spans").alias("spans")).where("occurs > 1"), "repeat-anchors")
-    wide = anchors.where(F.col("spans") > hot)
-    met = kept(_met(docs, _bitmap(anchors, bits), _bitmap(wide, 20)), "repeat-spans")
-    spread = met.where("kind = 1")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spread.count() // shard_rows + 1)
-    out = met.where("kind = 0").select("rid", "start", "last").union(_sorted(spread, shards))
-    single = met.where("kind = 2").select("a", "s", "doc", "rid", "start")
-    least = single.groupBy("a", "s").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = single.join(least, ["a", "s"]).where((F.col("doc") != F.col("least.doc")) | (F.col("start") != F.col("least.start")))
-    return out.union(again.select("rid", "start", F.col("start").alias("last")))
+    repeated = kept(_anchors(docs).groupBy("a").agg(F.sum("occurs").alias("occurs")).where("occurs > 1").select("a"), "repeat-anchors")
+    hashed = _hashed(docs, bitmap(repeated))
+    forget(repeated)
+    place = Window.partitionBy("a", "s", "v", "w").orderBy(F.asc_nulls_last("doc_id"), "start")
+    ranked = hashed.where("not later").withColumn("later", F.rank().over(place) > 1)
+    columns = ["doc_id", "rid", "a", "start", "last", "later"]
+    found = kept(hashed.where("later").select(columns).union(ranked.select(columns)), "repeat-spans")
+
+    kinds = kept(found.where("not later").groupBy("a").count().where("count > 1"), "repeat-kinds")
+    wide = kinds.where(F.col("count") > hot)
+    total, strings = kinds.agg(F.sum(F.when(F.col("count") <= hot, F.col("count"))), F.sum(F.when(F.col("count") > hot, F.col("count")))).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ((total or 0) + (strings or 0) * GRAMS) // shard_rows + 1)
+    spread = _with_bytes(docs, bitmap(kinds.select("a")), bitmap(wide.select("a")) if strings else None)
+    forget(kinds)
+    return found.where("later").select("doc_id", "rid", "start", "last").union(_sorted(spread, shards))
+
+
+OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
+
+
+def _cut(batch, texts: list[bytes], runs: list):
+    """The result for each text, without its runs of strings."""
+    import pyarrow as pa
+
+    out: list[list] = [[], [], [], [], []]
+    for raw, own in zip(texts, runs):
+        left, removed, n, end = [], 0, 0, 0
+        for s, e in sorted((r["start"], r["last"] + WIDTH) for r in own or ()):
+            if s > end or not n:
+                n += 1
+                left.append(raw[end:s])
+                removed += e - s
+            else:
+                removed += max(0, e - end)
+            end = max(end, e)
+        left.append(raw[end:])
+        text = b"".join(left)
+        for column, v in zip(out, (len(raw), removed, n, hashlib.sha256(text).hexdigest(), text)):
+            column.append(v)
+    columns = (pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))
+    return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (bytes) for each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = repeats(docs, **settings).groupBy("rid").agg(F.collect_set(F.struct("start", "last")).alias("runs"))  # bounded by a text's length
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid")).join(found, "rid", "left")
+    found = kept(repeats(docs, **settings).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "last")).alias("runs")), "repeat-runs")  # bounded by a text's length
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select("rid")))
 
-    def run(batches):
+    def whole(batches):
         import pyarrow as pa
 
+        for batch in batches:
+            for part, texts in text_batches([batch.filter(pa.array(~marked(batch.column(1).to_numpy(), shared.value)))]):
+                yield _cut(part, texts, [None] * len(texts))
+
+    def touched(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(marked(batch.column(1).to_numpy(), shared.value)))
+
+    def cut(batches):
         for batch, texts in text_batches(batches):
-            out: list[list] = [[], [], [], [], []]
-            for raw, runs in zip(texts, batch.column(2).to_pylist()):
-                left, removed, n, end = [], 0, 0, 0
-                for s, e in sorted((r["start"], r["last"] + WIDTH) for r in runs or ()):
-                    if s > end or not n:
-                        n += 1
-                        left.append(raw[end:s])
-                        removed += e - s
-                    else:
-                        removed += max(0, e - end)
-                    end = max(end, e)
-                left.append(raw[end:])
-                text = b"".join(left)
-                for column, v in zip(out, (len(raw), removed, n, hashlib.sha256(text).hexdigest(), text)):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-    return rows.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
+            yield _cut(batch, texts, batch.column(2).to_pylist())
+
+    rows = _identified(docs)
+    some = rows.mapInArrow(touched, rows.schema).alias("a")
+    same = (F.col("a.rid") == F.col("b.rid")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    joined = some.join(found.alias("b"), same, "left").select("a.doc_id", "a.text", "b.runs")
+    schema = f"doc_id {kind}, {OUT}"
+    return rows.mapInArrow(whole, schema).union(joined.mapInArrow(cut, schema))

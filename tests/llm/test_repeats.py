@@ -10,7 +10,7 @@ from marginalia.llm import repeats as D
 def brute(rows):
     """Every 100-byte string in a dictionary of its first start."""
     first = {}
-    raws = [(D.LAST if d is None else d, (t or "").encode()) for d, t in rows]
+    raws = [((d is None, d or 0), (t or "").encode()) for d, t in rows]
     for d, raw in raws:
         for j in range(len(raw) - 99):
             w = raw[j : j + 100]
@@ -49,7 +49,7 @@ def rows():
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_equals_brute_force(spark, hot):
     df = spark.createDataFrame([(*x, 0) for x in rows()], "doc_id long, text string, n_bytes int").repartition(3)
-    got = D.without_repeats(df, hot=hot, bits=16).collect()
+    got = D.without_repeats(df, hot=hot, shard_rows=300).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows())
     assert all(hashlib.sha256(r.kept_text).hexdigest() == r.kept_sha256 for r in got)
 
@@ -76,3 +76,33 @@ def test_suffix_sort_equals_sorted():
 
 def test_empty_table(spark):
     assert D.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_text_sort_as_text(spark):
+    r = random.Random(9)
+    text = " ".join(r.choice("rain hill fox river stone".split()) + str(r.randrange(99)) for _ in range(60))
+    docs = [("9", text), ("10", "so " + text), (None, text[20:])]
+    got = {x.doc_id: x.n_removed for x in D.without_repeats(spark.createDataFrame(docs, "doc_id string, text string")).collect()}
+    assert got == {"10": 0, "9": len(text), None: len(text) - 20}
+
+
+def test_the_sort_decides(monkeypatch):
+    """Without the suffix sort, equal strings of different spans are not neighbours and are not found."""
+    r = random.Random(10)
+    passage = "".join(r.choice("abcdefgh") for _ in range(180)).encode()
+    raws = [bytes(r.choice(b"ijklm") for _ in range(40)) + passage[k % 3 * 9 :] for k in range(60)]
+    parts = []
+    for doc, raw in enumerate(raws):
+        for buffer, valid, _, _ in D.chunks([raw]):
+            first, last, place, a, s = D.spans(buffer, valid)
+            parts += [(x, y, doc, f, e, p, raw[f : e + 100]) for f, e, p, x, y in zip(first, last, place, a, s)]
+    a, s, doc, start, last, place = (np.array([p[i] for p in parts]) for i in range(6))
+    content = np.empty(len(parts), object)
+    content[:] = [p[6] for p in parts]
+
+    def found():
+        return sum(int((e - b + 1).sum()) for _, b, e in [D.repeats_of(a, s, doc, start, last, place, content)])
+
+    sorted_ = found()
+    monkeypatch.setattr(D, "suffix_sort", lambda buffer, prefix, at, group: np.arange(len(at)))
+    assert found() < sorted_
