@@ -29,30 +29,82 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def load(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at path; an empty one where nothing is there."""
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def states(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the whole states that lie at path, oldest first; one whose write has not been completed isn't there yet."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return []
+    found = [(x.getPath().getName(), x.getPath().toString()) for x in fs.listStatus(at) if x.isDirectory()]
+    whole = [(int(n[6:]), p) for n, p in found if n.startswith("state-") and n[6:].isdigit()]
+    return sorted((k, p) for k, p in whole if fs.exists(_fs(spark, f"{p}/_SUCCESS")[1]))
+
+
+def _blank(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def load(spark: SparkSession, path: str, schema: T.StructType, corrupt: str = "raise") -> DataFrame:
+    """The newest state of the table at path, or a plain Parquet folder there; an empty one where nothing is there.
+
+    corrupt: what unreadable files do, `raise` or, by the word "skip", count as empty.
+    """
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", corrupt == "skip")
+    own = states(spark, path)
+    if own:
+        return reader.parquet(own[-1][1])
     try:
-        return spark.read.schema(schema).parquet(path)
+        return reader.parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
+            return _blank(spark, schema)
         raise
 
 
-def save(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace the table at path: the new state is written beside it, then moved into its place."""
-    jvm, session = df.sparkSession._jvm, df.sparkSession
-    staged, old = f"{path}.staged", f"{path}.old"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(session._jsc.hadoopConfiguration())
-    before = jvm.org.apache.hadoop.fs.Path(old)
-    fs.delete(before, True)
-    if fs.exists(at):
-        fs.rename(at, before)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), at)
-    fs.delete(before, True)
+def save(df: DataFrame, path: str, partition_by: list[str] | None = None, keep: int = 2) -> None:
+    """Replace the table at path: a new state is written beside those before it and counts from its success mark on.
+
+    Nothing is moved or deleted until then, so a crash at any step leaves the state before. The newest `keep` states
+    stay, for readers that have begun. One writer at a time.
+    """
+    spark = df.sparkSession
+    before = states(spark, path)
+    writer = df.write.mode("overwrite")  # over the rest of an attempt that broke off
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/state-{before[-1][0] + 1 if before else 0}")
+    for _, old in before[: 1 - keep or None]:
+        fs, at = _fs(spark, old)
+        fs.delete(at, True)
+
+
+def merge(batch: DataFrame, path: str, keys: list[str], order: list[str], number: int, buckets: int = 16) -> None:
+    """Put batch's rows in by key into a table of hash buckets; the last by order stays. Only buckets that batch touches are written.
+
+    Each state holds the buckets that its batch has touched. A replayed number writes its state again from those before it.
+    """
+    spark = batch.sparkSession
+    rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # `buckets` at most
+    if not touched:
+        return
+    old = merged(spark, path, batch.schema, touched, number)
+    both = latest(old.unionByName(batch), keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    both.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state-{number}")
+
+
+def merged(spark: SparkSession, path: str, schema: T.StructType, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
+    """What merge() has put in at path: of each bucket, or each of some, its newest state, or its newest before a number."""
+    newest: dict[int, str] = {}
+    for number, state in states(spark, path):
+        if before is None or number < before:
+            fs, at = _fs(spark, state)
+            names = [(x.getPath().getName(), x.getPath().toString()) for x in fs.listStatus(at)]
+            newest |= {int(n.removeprefix("bucket=")): p for n, p in names if n.startswith("bucket=")}
+    paths = [p for k, p in sorted(newest.items()) if buckets is None or k in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else _blank(spark, schema)
 
 
 def evolve(df: DataFrame, added: dict[str, Column]) -> DataFrame:
@@ -61,7 +113,8 @@ def evolve(df: DataFrame, added: dict[str, Column]) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by the order columns: a maximum by key, so map sides combine and nothing is sorted."""
+    """The last row of each key by the order columns: a maximum of a struct by key. Map sides combine, so a key of very many
+    rows is one row for each task; Spark plans it as a sort-based aggregate."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     top = F.max(F.struct(*order, *rest)).alias("_top")
     return df.groupBy(*keys).agg(top).select(*keys, *[F.col(f"_top.{c}") for c in [*order, *rest]]).select(df.columns)

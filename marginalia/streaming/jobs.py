@@ -1,19 +1,24 @@
-"""Structured Streaming forms: daily counts, upserts, rate limits and admission, each equal to its batch form on the same rows."""
+"""Structured Streaming forms: daily counts, upserts, late rows, rate limits and budgets, each equal to its batch form on the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from marginalia.sources.tables import latest, save
+from marginalia.sources.tables import latest, merge
 
 
-def daily_counts(stream: DataFrame, by: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Rows by day and `by`; days close when the watermark has passed them."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), by).agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), by, "n")
+def daily_counts(stream: DataFrame, by: str, ts: str = "ts", late: str = "1 hour", counted: Column | None = None) -> DataFrame:
+    """Rows by day and `by`; a day comes out, once, when the watermark has passed it, and its state is dropped.
+
+    counted: which rows count; the others, such as a source's time signals, move the watermark alone.
+    """
+    n = F.count("*") if counted is None else F.count_if(counted)  # a filter would be pushed below the watermark
+    days = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), by).agg(n.alias("n"))
+    return days.where("n > 0").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), by, "n")
 
 
 def distinct_ids(stream: DataFrame, key: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -21,32 +26,34 @@ def distinct_ids(stream: DataFrame, key: str, ts: str = "ts", late: str = "1 hou
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_into(path: str, keys: list[str], order: list[str]):
-    """A foreachBatch function that keeps the last row of each key in the table at path; replaying a batch changes nothing."""
+def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 16):
+    """A foreachBatch function that keeps the last row of each key in the table of buckets at path.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = latest(batch, keys, order)
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            rows = latest(spark.read.schema(batch.schema).parquet(path).unionByName(rows), keys, order)
-        save(rows, path)
+    A batch writes the buckets that it touches, as one state under its number; a replayed batch writes the same state again.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        merge(latest(batch, keys, order), path, keys, order, number, buckets)
 
     return apply
 
 
-def with_late(stream: DataFrame, on_time: str, late_path: str, ts: str, minutes: int):
-    """A foreachBatch function that appends rows to on_time, or to late_path when they are `minutes` behind the batches before."""
+def with_late(on_time: str, late: str, ts: str, minutes: int):
+    """A foreachBatch function that writes rows to on_time, or to late when they are `minutes` behind the batches before.
 
-    def apply(batch: DataFrame, _: int) -> None:
+    Each batch has a folder of its own, overwritten when it is replayed, and one row with its greatest time beside it.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = None
-        at = spark._jvm.org.apache.hadoop.fs.Path(on_time)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            seen = spark.read.parquet(on_time).agg(F.max(ts)).first()[0]
-        is_late = F.lit(False) if seen is None else F.col(ts) < F.lit(seen) - F.expr(f"interval {minutes} minutes")
-        batch.where(~is_late).write.mode("append").parquet(on_time)
-        batch.where(is_late).write.mode("append").parquet(late_path)
+        marks, path = spark.createDataFrame([], "number long, seen timestamp"), f"{on_time}-seen"
+        if number:
+            marks = spark.read.schema("seen timestamp, number long").parquet(path)
+        seen = marks.where(F.col("number") < number).agg(F.max("seen")).first()[0]
+        is_late = F.lit(False) if seen is None else F.coalesce(F.col(ts) < F.lit(seen) - F.expr(f"interval {minutes} minutes"), F.lit(False))
+        batch.where(~is_late).write.mode("overwrite").parquet(f"{on_time}/number={number}")
+        batch.where(is_late).write.mode("overwrite").parquet(f"{late}/number={number}")
+        batch.agg(F.max(ts).alias("seen")).write.mode("overwrite").parquet(f"{path}/number={number}")
 
     return apply
 
@@ -54,7 +61,8 @@ def with_late(stream: DataFrame, on_time: str, late_path: str, ts: str, minutes:
 def rate_limited(stream: DataFrame, window_ms: int = 60_000, most: int = 20, key: str = "ip") -> DataFrame:
     """event_id and rate_ok of each request; the state of a key is two numbers, dropped when its window is over.
 
-    Rows of a key are taken in order of time within each micro-batch, as in the batch form over the whole.
+    Rows of a key are taken in order of time within each micro-batch, as in the batch form over the whole; what a task
+    holds of a key is bounded by the source's files for each micro-batch.
     """
     import pandas as pd
 
@@ -76,10 +84,38 @@ def rate_limited(stream: DataFrame, window_ms: int = 60_000, most: int = 20, key
     return rows.groupBy(key).applyInPandasWithState(step, "event_id long, rate_ok boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, checkpoint: str, *, table: str | None = None, each=None, mode: str = "append") -> None:
-    """Process what is there now, into a memory table or by a function of each micro-batch."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    writer = writer.foreachBatch(each) if each else writer.format("memory").queryName(table)
+def budgeted(stream: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
+    """event_id and budget_ok of each request of a user; state: the day and its tokens, dropped when the day is over.
+
+    A day's first request always passes, refused ones count. Requests of no user pass and have no state.
+    """
+    import pandas as pd
+
+    day_ms = 86_400_000
+
+    def step(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])  # of one micro-batch
+        day, used = state.get if state.exists else (None, 0)
+        ok = []
+        for ms, tokens in zip(rows["ms"].tolist(), rows["tokens"].tolist()):
+            first = ms // day_ms != day
+            day, used = ms // day_ms, tokens + (0 if first else used)
+            ok.append(first or used <= limit)
+        state.update((day, used))
+        state.setTimeoutTimestamp(max((day + 1) * day_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "budget_ok": ok})
+
+    rows = stream.withWatermark("ts", "1 hour").where(F.col(key).isNotNull()).select(key, "event_id", F.unix_millis("ts").alias("ms"), "tokens", "ts")
+    return rows.groupBy(key).applyInPandasWithState(step, "event_id long, budget_ok boolean", "day long, used long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_once(stream: DataFrame, checkpoint: str, *, to: str | None = None, each=None) -> None:
+    """Process what is there now, into Parquet files that a replay doesn't double, or by a function of each micro-batch."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", to)
     writer.start().awaitTermination()
 
 
