@@ -10,27 +10,53 @@ from marginalia.sources.tables import latest
 DAY_LIMIT = 10_000_000
 
 
+# Tokens that a request of an endpoint costs, and of any other.
+COSTS = {"click": 15_000, "error": 8_000, "purchase": 50_000, "signup": 10_000}
+COST = 5_000
+
+
+def cost(endpoint: Column, costs: dict[str, int] = COSTS, default: int = COST) -> Column:
+    out = F.lit(default)
+    for name, tokens in costs.items():
+        out = F.when(endpoint == name, tokens).otherwise(out)
+    return out.cast("long")
+
+
 def rate_limited(requests: DataFrame, window_ms: int = 60_000, most: int = 20, key: str = "ip") -> DataFrame:
     """Each request with `rate_ok` and `retry_after`. A key's window starts at a request and lasts until one comes more than window_ms later.
 
-    A gap of more than window_ms always starts a window, so a key's history falls into islands that are folded apart.
+    A key's requests are a sorted run within one partition; two numbers of state go from Arrow batch to batch, so a key of
+    any size needs the memory of a batch. Within a batch the next window's start is a binary search.
     """
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    ms = F.unix_millis("ts")
-    gap = ms - F.lag(ms).over(w)
-    rows = requests.withColumn("island", F.sum(F.when(gap.isNull() | (gap > window_ms), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = rows.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct(ms.alias("ms"), "event_id"))).alias("hits"))
-    kind = "struct<start:bigint,n:bigint,out:array<struct<event_id:bigint,rate_ok:boolean,retry_after:bigint>>>"
-    zero = F.expr(f"cast(named_struct('start', -1L, 'n', 0L, 'out', array()) as {kind})")
-
-    def step(acc: Column, h: Column) -> Column:
-        fresh = (acc["start"] < 0) | (h["ms"] - acc["start"] > window_ms)
-        start, n = F.when(fresh, h["ms"]).otherwise(acc["start"]), F.when(fresh, F.lit(1)).otherwise(acc["n"] + 1).cast("long")
-        row = F.struct(h["event_id"].cast("long").alias("event_id"), (n <= most).alias("rate_ok"), F.when(n > most, F.ceil((start + window_ms - h["ms"]) / 1000)).cast("long").alias("retry_after"))
-        return F.struct(start.cast("long").alias("start"), n.alias("n"), F.concat(acc["out"], F.array(row)).alias("out")).cast(kind)
-
-    told = own.select(F.explode(F.aggregate("hits", zero, step, lambda a: a["out"])).alias("o")).select("o.*")
-    return requests.join(told, "event_id")
+    kind = requests.schema["event_id"].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        last, start, n = object(), 0, 0
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            ms, rows = batch.column(2).to_numpy(), batch.num_rows
+            hits, retry = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+            cuts = np.r_[np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]), rows] if rows else np.zeros(1, np.int64)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = batch.column(0)[lo].as_py()
+                if own != last:
+                    last, start, n = own, int(ms[lo]), 0
+                while lo < hi:
+                    if ms[lo] - start > window_ms:
+                        start, n = int(ms[lo]), 0
+                    end = lo + int(np.searchsorted(ms[lo:hi], start + window_ms, "right"))
+                    hits[lo:end] = n + 1 + np.arange(end - lo)
+                    retry[lo:end] = -((ms[lo:end] - start - window_ms) // 1000)
+                    n, lo = n + end - lo, end
+            ok = pa.array(hits <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(1), ok, pc.if_else(ok, pa.scalar(None, pa.int64()), pa.array(retry))], ["event_id", "rate_ok", "retry_after"])
+
+    runs = requests.select(key, "event_id", F.unix_millis("ts").alias("ms")).repartition(key).sortWithinPartitions(key, "ms", "event_id")
+    return requests.join(runs.mapInArrow(run, f"event_id {kind}, rate_ok boolean, retry_after long"), "event_id")
 
 
 def budgeted(requests: DataFrame, limit: int = DAY_LIMIT) -> DataFrame:
@@ -50,10 +76,33 @@ def admitted(requests: DataFrame, window_ms: int = 60_000, most: int = 20, limit
     return out.withColumn("reason", reason).withColumn("allowed", F.col("reason").isin("admin", "ok"))
 
 
+def evicted(budgets: DataFrame, today: Column, day: str = "day") -> DataFrame:
+    """Budget states (user, day, used) of today; those of earlier days are dropped."""
+    return budgets.where(F.col(day) >= today)
+
+
 def overloaded(changes: DataFrame, depth: int = 200) -> DataFrame:
-    """Arrivals (delta 1) that find `depth` or more pending in their queue; changes: queue, day, ts, event_id, delta."""
-    w = Window.partitionBy("queue", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return changes.withColumn("pending", F.coalesce(F.sum("delta").over(w), F.lit(0))).withColumn("rejected", (F.col("delta") > 0) & (F.col("pending") >= depth))
+    """Arrivals (delta 1) that find `depth` or more pending in their queue; changes: queue, day, ts, event_id, delta.
+
+    What was pending when an hour began is a running sum over hours, 24 rows for a queue and day; within the hour it is a
+    running sum over that hour alone, so that the busiest queue is spread over its hours.
+    """
+    rows = changes.withColumn("_hour", F.date_trunc("hour", "ts"))
+    hours = rows.groupBy("queue", "day", "_hour").agg(F.sum("delta").alias("_sum"))
+    earlier = Window.partitionBy("queue", "day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("queue", "day", "_hour", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("queue", "day", "_hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(hours, ["queue", "day", "_hour"]).withColumn("pending", F.col("_base") + F.coalesce(F.sum("delta").over(within), F.lit(0)))
+    return out.withColumn("rejected", (F.col("delta") > 0) & (F.col("pending") >= depth)).select(*changes.columns, "pending", "rejected")
+
+
+PENDING = ("queued", "processing")
+
+
+def task_counts(tasks: DataFrame, by: str = "kind") -> DataFrame:
+    """Pending, done and unread tasks; tasks: status and viewed."""
+    done = F.col("status") == "done"
+    return tasks.groupBy(by).agg(F.count_if(F.col("status").isin(*PENDING)).alias("pending"), F.count_if(done).alias("done"), F.count_if(done & ~F.coalesce("viewed", F.lit(False))).alias("unread"))
 
 
 def current(transitions: DataFrame) -> DataFrame:
@@ -70,5 +119,5 @@ def expired(tasks: DataFrame, as_of: Column, ttl_hours: dict[str, int], default:
 def refreshed(own: DataFrame, server: DataFrame) -> DataFrame:
     """A client's tasks after asking the server: pending ones take its status, or `expired` if it knows nothing."""
     known = server.select("task_id", F.col("status").alias("server_status"))
-    pending = F.col("status").isin("queued", "processing")
+    pending = F.col("status").isin(*PENDING)
     return own.join(known, "task_id", "left").withColumn("status", F.when(pending, F.coalesce("server_status", F.lit("expired"))).otherwise(F.col("status"))).drop("server_status")

@@ -76,14 +76,24 @@ def search(knowledge: DataFrame, term: str, subject: str | None = None, cap: int
     return page(hits, ["subject"], [F.col("id")], 1, cap).drop("place")
 
 
-def fuzzy_tags(terms: DataFrame, knowledge: DataFrame) -> DataFrame:
+def fuzzy_tags(terms: DataFrame, knowledge: DataFrame, gram: int = 3) -> DataFrame:
     """(key columns, kp_id) for terms (session_id, number, subject, term): the first point of the subject whose name holds the term.
 
-    Distinct terms meet the points once, joined by subject; rows then take their term's answer.
+    Distinct terms meet the points once. Names are filed under each of their grams; a term looks under its rarest one, so
+    the join compares what shares a gram instead of all pairs of a subject. Terms shorter than a gram look under a letter.
     """
-    distinct = terms.select("subject", "term").distinct()
-    kp = knowledge.select(F.col("subject").alias("s"), F.lower("name").alias("low"), "id")
-    found = distinct.join(kp, (F.col("subject") == F.col("s")) & F.col("low").contains(F.lower("term"))).groupBy("subject", "term").agg(F.min("id").alias("kp_id"))
+    distinct = terms.select("subject", "term", F.lower("term").alias("low")).where("term <> ''").distinct()
+    kp = knowledge.select("subject", F.lower("name").alias("name"), "id")
+
+    def grams(text: str, n: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(F.col(text), i, n)))
+
+    filed = kp.select("subject", "name", "id", F.explode(F.concat(grams("name", gram), grams("name", 1))).alias("gram")).distinct()
+    sizes = filed.groupBy("subject", "gram").agg(F.count("*").alias("n"))
+    asked = distinct.withColumn("gram", F.explode(F.when(F.length("low") >= gram, grams("low", gram)).otherwise(grams("low", 1))))
+    rarest = asked.join(sizes, ["subject", "gram"]).groupBy("subject", "term", "low").agg(F.min(F.struct("n", "gram")).alias("g"))
+    met = rarest.select("subject", "term", "low", F.col("g.gram").alias("gram")).join(filed, ["subject", "gram"])
+    found = met.where(F.col("name").contains(F.col("low"))).groupBy("subject", "term").agg(F.min("id").alias("kp_id"))
     return terms.join(found, ["subject", "term"]).select("session_id", "number", "kp_id").distinct()
 
 

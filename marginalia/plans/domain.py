@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.columns import ERROR_TYPES, falsy
+from marginalia.operators.admission import cost
 from marginalia.sources.tables import latest, read
 
 TYPES = (*ERROR_TYPES, "")
@@ -67,8 +68,7 @@ class Domain:
         )
 
     def requests(self) -> DataFrame:
-        cost = F.when(F.col("event_type") == "click", 15000).when(F.col("event_type") == "error", 8000).when(F.col("event_type") == "purchase", 50000).when(F.col("event_type") == "signup", 10000).otherwise(5000)
-        return self.read("events").select("event_id", "ts", F.col("user_id").cast("string").alias("ip"), "user_id", F.col("event_type").alias("endpoint"), cost.cast("long").alias("tokens"), (F.col("user_id") == 0).alias("is_admin"))
+        return self.read("events").select("event_id", "ts", F.col("user_id").cast("string").alias("ip"), "user_id", F.col("event_type").alias("endpoint"), cost(F.col("event_type")).alias("tokens"), (F.col("user_id") == 0).alias("is_admin"))
 
     def transitions(self) -> DataFrame:
         status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "processing").otherwise("queued")

@@ -73,12 +73,16 @@ def error_tags(d: Domain) -> DataFrame:
     UNION ALL SELECT user_id, count(*), 0, 'subject', subject FROM errors GROUP BY 1, subject
     UNION ALL SELECT user_id, count(*), 0, 'type', error_type FROM errors WHERE error_type <> '' GROUP BY 1, error_type"""))
 def error_stats(d: Domain) -> DataFrame:
-    errors = d.errors()
-    as_of = errors.agg(F.max("created_at")).first()[0]
-    recent = F.col("created_at") >= F.lit(as_of).cast("timestamp") - F.expr("interval 30 days")
-    total = errors.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(recent).alias("recent")).withColumns({"kind": F.lit("all"), "value": F.lit("")})
-    part = lambda kind, c, rows: rows.groupBy("user_id", F.col(c).alias("value")).agg(F.count("*").alias("total")).withColumns({"recent": F.lit(0).cast("long"), "kind": F.lit(kind)})
-    return total.unionByName(part("subject", "subject", errors)).unionByName(part("type", "error_type", errors.where("error_type <> ''")))
+    """One pass over the mistakes: grouping sets of user, user and subject, user and type."""
+    errors = d.errors().select("user_id", "subject", "error_type", "created_at")
+    as_of = d.read("lineitem").agg(F.max("l_shipdate")).first()[0]  # the last version of a key is the last of all at its greatest time
+    recent = F.count_if(F.col("created_at") >= F.lit(as_of).cast("timestamp") - F.expr("interval 30 days")).alias("recent")
+    user, subject, kind = F.col("user_id"), F.col("subject"), F.col("error_type")
+    sets = errors.groupingSets([[user], [user, subject], [user, kind]], user, subject, kind)
+    rows = sets.agg(F.count("*").alias("total"), recent, F.grouping("subject").alias("no_subject"), F.grouping("error_type").alias("no_type"))
+    rows = rows.where((F.col("no_type") == 1) | (kind != ""))
+    what = F.when(F.col("no_subject") == 0, "subject").when(F.col("no_type") == 0, "type").otherwise("all")
+    return rows.select("user_id", "total", F.when(what == "all", F.col("recent")).otherwise(0).cast("long").alias("recent"), what.alias("kind"), F.coalesce("subject", "error_type", F.lit("")).alias("value"))
 
 
 @query(sql("""SELECT user_id, count(*) FILTER (status = 'done') AS done, coalesce(round(avg(total_score) FILTER (status = 'done' AND total_score > 0), 1), 0) AS avg_score,
@@ -158,14 +162,16 @@ def drilldown(d: Domain) -> DataFrame:
     return errors.join(top, (F.col("user_id") == F.col("u")) & F.col("created_at").between(F.col("start_ts"), F.col("end_ts")), "left_semi").select("user_id", "session_id", "number")
 
 
-@query(sql("""SELECT u.id AS user_id, coalesce(e.n, 0) AS errors, coalesce(k.points, 0) AS points, coalesce(k.weak, 0) AS weak FROM users u LEFT JOIN (SELECT user_id, count(*) AS n FROM errors GROUP BY 1) e ON e.user_id = u.id
+@query(sql("""SELECT u.id AS user_id, coalesce(e.n, 0) AS errors, coalesce(k.points, 0) AS points, coalesce(k.weak, 0) AS weak, coalesce(e.today, 0) AS today FROM users u
+    LEFT JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (created_at >= date_trunc('day', (SELECT max(created_at) FROM errors))) AS today FROM errors GROUP BY 1) e ON e.user_id = u.id
     LEFT JOIN (SELECT user_id, count(*) AS points, count(*) FILTER (error_count >= 2) AS weak FROM kp GROUP BY 1) k ON k.user_id = u.id""", f"kp AS ({_KP})"))
 def dashboard_tiles(d: Domain) -> DataFrame:
     errors = d.errors()
-    mine = errors.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("errors"))
+    day = F.date_trunc("day", F.lit(d.read("lineitem").agg(F.max("l_shipdate")).first()[0]).cast("timestamp"))
+    mine = errors.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("errors"), F.count_if(F.col("created_at") >= day).alias("today"))
     points = views.knowledge_counts(d.tags(), errors, d.knowledge()).groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("points"), F.count_if(F.col("error_count") >= 2).alias("weak"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return d.users().select("id").join(mine, "id", "left").join(points, "id", "left").select(F.col("id").alias("user_id"), zero("errors"), zero("points"), zero("weak"))
+    return d.users().select("id").join(mine, "id", "left").join(points, "id", "left").select(F.col("id").alias("user_id"), zero("errors"), zero("points"), zero("weak"), zero("today"))
 
 
 @query(sql("""SELECT e.user_id, e.subject, total, CAST(d.level AS BIGINT) AS level, coalesce(n, 0) AS n FROM (SELECT user_id, subject, count(*) AS total FROM errors GROUP BY 1, 2) e CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS level) d
