@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Error types, the five that the paper view counts first.
 ERROR_TYPES = ("概念不清", "计算失误", "审题偏差", "方法错误", "知识盲区", "粗心")
 UNKNOWN = "未知"
+# Subjects.
 SUBJECTS = ("数学", "物理", "化学", "英语", "生物", "语文")
 
 
@@ -54,6 +55,7 @@ def account_error(email: Column, password: Column) -> Column:
     """The first rule that a new account breaks, else null."""
     return (
         F.when(or_blank(email, "") == "", "email_missing")
+        # Fixed value: the shape of an address.
         .when(~F.trim(email).rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), "email_invalid")
         .when(or_blank(password, "") == "", "password_missing")
         .when(F.length(password) < 6, "password_short")
@@ -96,23 +98,50 @@ def inferred_answer(blocks: Column) -> Column:
     return F.get(F.filter(F.transform(F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), lambda t: F.trim(t)), lambda b: b.rlike("^[A-D]$")), F.lit(0))
 
 
+# Kinds of questions and the words that tell them, in the order in which they are tried.
+QUESTION_KINDS = (
+    ("选择题", r"[A-D]\s*[.、]"),
+    ("填空题", "填空|___|（）"),
+    ("判断题", "判断|正确.*错误|对.*错"),
+    ("解答题", "解答|证明|计算|求解"),
+    ("阅读理解", "(?i)阅读|理解|passage"),
+    ("实验题", r"实验|图示|图\d"),
+)
+
+
 def question_type(text: Column) -> Column:
-    """Six kinds, by the first pattern that is found."""
-    return (
-        F.when(text.rlike(r"[A-D]\s*[.、]"), "选择题")
-        .when(text.rlike("填空|___|（）"), "填空题")
-        .when(text.rlike("判断|正确.*错误|对.*错"), "判断题")
-        .when(text.rlike("解答|证明|计算|求解"), "解答题")
-        .when(text.rlike("(?i)阅读|理解|passage"), "阅读理解")
-        .when(text.rlike(r"实验|图示|图\d"), "实验题")
-        .otherwise(UNKNOWN)
-    )
+    """The first kind whose words are found."""
+    told = F.array(*[F.when(text.rlike(words), kind) for kind, words in QUESTION_KINDS])
+    return F.coalesce(F.get(F.array_compact(told), F.lit(0)), F.lit(UNKNOWN))
 
 
 def options_of(text: Column) -> Column:
-    """`L. body` for each option in a line of text."""
-    pattern = r"([A-D])\s*[.、\s]\s*([^A-D\n]+?)(?=\s*[A-D]\s*[.、\s]|\z)"
-    return F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda a, b: F.concat(a, F.lit(". "), F.trim(b)))
+    """`L. body` for each option in a line of text: it is cut before each letter that a mark or a space follows; a body holds no such letter."""
+    cut = F.filter(F.split(text, r"(?=[A-D]\s*[.、\s])"), lambda x: x.rlike(r"\A[A-D]\s*[.、\s]\s*[^A-D\n]"))
+    return F.transform(cut, lambda x: F.concat(F.substring(x, 1, 1), F.lit(". "), F.trim(F.regexp_extract(x, r"\A[A-D]\s*[.、\s]\s*([^A-D\n]+)", 1))))
+
+
+def question_number(text: Column) -> Column:
+    """The number that a text begins with; null if there is none."""
+    return F.regexp_extract(text, r"\A(\d+)", 1).try_cast("int")
+
+
+def has_red_ink(payload: Column, least: int = 200) -> Column:
+    """Whether a page's separated red ink is more than an empty image: longer than `least` characters."""
+    return F.coalesce(F.length(payload) > least, F.lit(False))
+
+
+def template(text: str, values: dict[str, Column], blanks: dict[str, str]) -> Column:
+    """text with each {name} replaced by its value, or by its default where that is null or empty."""
+    out = F.lit(text)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), or_blank(value, blanks.get(name, "")))
+    return out
+
+
+def at_paths(json: Column, *paths: str) -> Column:
+    """The first of the paths that holds something that isn't empty."""
+    return F.coalesce(*[F.nullif(F.get_json_object(json, p), F.lit("")) for p in paths])
 
 
 def strip_fences(text: Column) -> Column:

@@ -88,14 +88,46 @@ def batched(rows: DataFrame, keys: list[str], order: list[Column], size: int = 8
     return rows.withColumn("_n", n).withColumns({"batch": F.floor(F.col("_n") / size).cast("long"), "place": (F.col("_n") % size + 1).cast("long")}).drop("_n")
 
 
+# What stands for a blank field of a question, in the store's rows and in a prompt.
+BLANKS = {"question_type": "未知题型", "question_text": "", "student_answer": "", "correct_answer": "", "grading_mark": "", "red_ink": "", "confidence": "high"}
+SHOWN = {"student_answer": "（未作答）", "correct_answer": "（待分析）", "grading_mark": "无", "red_ink": "无", "confidence": "high", "question_type": "未知题型", "question_text": ""}
+
+
+def page_questions(pages: DataFrame, keys: list[str], page: str = "page", questions: str = "questions") -> DataFrame:
+    """The questions of all pages as rows, each with the index of its page; pages without questions give none."""
+    return pages.select(*keys, page, F.explode(questions).alias("q")).select(*keys, F.col(page), "q.*")
+
+
+def normalised(wrong: DataFrame) -> DataFrame:
+    """Wrong questions with the fields of a prompt, none of them blank where there is a default; the text falls back to raw_text."""
+    have = {c: F.col(c) for c in wrong.columns}
+    text = or_blank(have.get("question_text", F.lit("")), have.get("raw_text", F.lit("")))
+    fields = {n: or_blank(have.get(n, F.lit(None).cast("string")), blank) for n, blank in BLANKS.items()}
+    options = F.coalesce(have.get("options", F.lit(None)), F.array().cast("array<string>"))
+    return wrong.withColumns(fields | {"question_text": or_blank(text, ""), "options": options})
+
+
+def question_block(place: Column) -> Column:
+    """The lines of one question in a prompt."""
+    show = {n: or_blank(F.col(n), blank) for n, blank in SHOWN.items()}
+    options = F.when(F.size("options") > 0, F.concat(F.lit("\n  选项："), F.array_join("options", " | "))).otherwise("")
+    return F.concat(
+        F.lit("【错题 "), place.cast("string"), F.lit("】原题号第"), F.col("number").cast("string"), F.lit("题（"), show["question_type"], F.lit("）\n  题目："), show["question_text"], options,
+        F.lit("\n  学生作答："), show["student_answer"], F.lit("\n  正确答案："), show["correct_answer"], F.lit("\n  批改标记："), show["grading_mark"],
+        F.lit("\n  红笔批注："), show["red_ink"], F.lit("\n  置信度："), show["confidence"],
+    )
+
+
 def rendered(batches: DataFrame, keys: list[str]) -> DataFrame:
     """One text for each batch: a block of lines for each question in order."""
-    block = F.concat(
-        F.lit("错题 "), F.col("place").cast("string"), F.lit("\n题号："), F.col("number").cast("string"), F.lit("\n题型："), or_blank(F.col("question_type"), "未知题型"),
-        F.lit("\n题目："), or_blank(F.col("question_text"), "（无）"), F.lit("\n学生答案："), or_blank(F.col("student_answer"), "（未作答）"),
-    )
-    texts = F.sort_array(F.collect_list(F.struct("place", block.alias("text"))))
-    return batches.groupBy(*keys, "batch").agg(F.array_join(F.transform(texts, lambda t: t["text"]), "\n\n").alias("text"), F.count("*").alias("n"))
+    texts = F.sort_array(F.collect_list(F.struct("place", question_block(F.col("place")).alias("text"))))  # of one batch
+    return normalised(batches).groupBy(*keys, "batch").agg(F.array_join(F.transform(texts, lambda t: t["text"]), "\n\n").alias("text"), F.count("*").alias("n"))
+
+
+def card_map(cards: Column, concept: str, text: str) -> Column:
+    """map of concept to text; of cards with one concept the last counts."""
+    last = F.filter(cards, lambda c, i: ~F.exists(F.slice(cards, i + 2, F.size(cards)), lambda later: later[concept] == c[concept]))
+    return F.map_from_entries(F.transform(last, lambda c: F.struct(c[concept], c[text])))
 
 
 def with_analysis(wrong: DataFrame, analyses: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -87,8 +87,12 @@ def keep_skip_split(d: Domain) -> DataFrame:
     return kept.unionByName(skipped.select("paper", "number", F.lit(False).alias("kept"), "question_text", "topic", "difficulty"))
 
 
-@query(sql("""SELECT paper, batch, count(*) AS n, string_agg('错题 ' || place || chr(10) || '题号：' || number || chr(10) || '题型：' || question_type || chr(10) || '题目：' || question_text || chr(10) || '学生答案：'
-    || CASE WHEN student_answer = '' THEN '（未作答）' ELSE student_answer END, chr(10) || chr(10) ORDER BY place) AS text
+_BLOCK = """'【错题 ' || place || '】原题号第' || number || '题（' || question_type || '）' || chr(10) || '  题目：' || question_text || chr(10) || '  选项：A. one | B. two | C. three | D. four' || chr(10) || '  学生作答：'
+    || CASE WHEN student_answer = '' THEN '（未作答）' ELSE student_answer END || chr(10) || '  正确答案：' || fixed_answer || chr(10) || '  批改标记：' || grading_mark || chr(10) || '  红笔批注：' || CASE WHEN red_ink = '' THEN '无' ELSE red_ink END
+    || chr(10) || '  置信度：' || confidence"""
+
+
+@query(sql(f"""SELECT paper, batch, count(*) AS n, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY place) AS text
     FROM (SELECT *, (row_number() OVER o - 1) // 4 AS batch, (row_number() OVER o - 1) % 4 + 1 AS place FROM w WHERE stem WINDOW o AS (PARTITION BY paper ORDER BY number)) GROUP BY 1, 2""", _Q, _M, _MERGED, _WRONG))
 def question_batches(d: Domain) -> DataFrame:
     kept, _ = papers.kept_and_skipped(merged(d).where(~F.col("is_correct")))

@@ -1,13 +1,15 @@
 """Small hand-made cases for rules where order matters."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import columns as C
 from marginalia.operators import admission, documents, papers, views
-from marginalia.sources import tables
+from marginalia.sources import schemas, tables
+from marginalia.streaming import jobs
 
 
 def one(spark, column, **values):
@@ -167,3 +169,83 @@ def test_segments(spark):
     notes = spark.createDataFrame([(1, 1, 3, "x"), (1, 4, 6, "y"), (1, 5, 9, "across")], "id long, start long, end long, kind string")
     got = sorted((r.line, r.begin, r.end, r.kind) for r in papers.segments(lines, notes).collect())
     assert got == [(0, 0, 1, "normal"), (0, 1, 3, "x"), (0, 3, 4, "normal"), (0, 4, 6, "y"), (1, 0, 4, "normal")]
+
+
+def test_a_broken_off_write_leaves_the_state_before(spark, tmp_path):
+    """A writer that dies before its success mark, or after it and before old states are deleted, loses nothing."""
+    path, schema = str(tmp_path / "t"), "id long"
+    tables.save(spark.range(3), path)
+    (tmp_path / "t" / "state-1").mkdir()  # no success mark
+    (tmp_path / "t" / "state-1" / "part-0.parquet").write_bytes(b"half")
+    assert tables.load(spark, path, spark.range(0).schema).count() == 3
+    tables.save(spark.range(5), path)
+    assert tables.load(spark, path, spark.range(0).schema).count() == 5
+    for n in (7, 8):
+        tables.save(spark.range(n), path)
+    assert [k for k, _ in tables.states(spark, path)] == [2, 3] and tables.load(spark, path, spark.range(0).schema).count() == 8
+    assert tables.load(spark, str(tmp_path / "none"), spark.createDataFrame([], schema).schema).count() == 0
+
+
+def test_unreadable_files_are_an_error_or_empty(spark, tmp_path):
+    (tmp_path / "x.parquet").write_bytes(b"no parquet")
+    schema = spark.range(0).schema
+    assert tables.load(spark, str(tmp_path), schema, corrupt="skip").count() == 0
+    with pytest.raises(Exception, match="parquet|Parquet"):
+        tables.load(spark, str(tmp_path), schema).count()
+
+
+def test_merge_writes_touched_buckets_and_may_be_replayed(spark, tmp_path):
+    path, schema = str(tmp_path / "m"), "id long, v string, at long"
+    put = lambda rows, n: tables.merge(spark.createDataFrame(rows, schema), path, ["id"], ["at"], n, 4)
+    put([(i, "a", 0) for i in range(20)], 0)
+    for _ in range(2):
+        put([(3, "b", 1), (99, "new", 1)], 1)
+    got = {r.id: r.v for r in tables.merged(spark, path, spark.createDataFrame([], schema).schema).collect()}
+    assert len(got) == 21 and got[3] == "b" and got[4] == "a" and got[99] == "new"
+    assert len([x for x in (tmp_path / "m" / "state-1").iterdir() if x.name.startswith("bucket=")]) <= 2
+
+
+def test_late_rows_and_a_replayed_batch(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    put = jobs.with_late(str(tmp_path / "on"), str(tmp_path / "late"), "ts", 60)
+    first = spark.createDataFrame([(1, at + dt.timedelta(hours=5))], "id long, ts timestamp")
+    second = spark.createDataFrame([(2, at), (3, at + dt.timedelta(hours=4, minutes=30))], "id long, ts timestamp")
+    put(first, 0)
+    for _ in range(2):
+        put(second, 1)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "on")).collect()) == [1, 3]
+    assert [r.id for r in spark.read.schema("id long, ts timestamp").parquet(str(tmp_path / "late")).collect()] == [2]
+
+
+def test_defaults_of_the_store(spark):
+    row = schemas.filled(spark.createDataFrame([("u1", " A@B.c ", None)], "id string, email string, role string"), "users").first()
+    assert (row.email, row.nickname, row.region, row.role, row.must_change_password) == ("a@b.c", "a", "上海", "user", 0)
+    assert schemas.empty(spark, "error_problems").count() == 0 and schemas.filled(schemas.empty(spark, "users"), "users").dtypes == schemas.empty(spark, "users").dtypes
+
+
+def test_rate_windows_across_arrow_batches(spark):
+    """A key of more rows than an Arrow batch has, against a plain fold."""
+    r = random.Random(4)
+    rows, ms = [], 0
+    for i in range(3000):
+        ms += r.choice((0, 5, 40, 400))
+        rows.append((i, dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms), "hot" if r.random() < 0.7 else None))
+    want, state = {}, {}
+    for i, ts, key in rows:
+        start, n = state.get(key, (None, 0))
+        fresh = start is None or (ts - start) / dt.timedelta(milliseconds=1) > 1000
+        state[key] = (ts, 1) if fresh else (start, n + 1)
+        want[i] = state[key][1] <= 5
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {r.event_id: r.rate_ok for r in admission.rate_limited(spark.createDataFrame(rows, "event_id long, ts timestamp, ip string"), 1000, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
+
+
+def test_fuzzy_terms_short_and_rare(spark):
+    kp = spark.createDataFrame([(1, "s", "Abcdef"), (2, "s", "xbcd"), (3, "t", "bcd"), (4, "s", "é")], "id long, subject string, name string")
+    terms = spark.createDataFrame([(1, 1, "s", "BCD"), (1, 2, "s", "x"), (1, 3, "t", "zz"), (1, 4, "s", "É"), (1, 5, "s", ""), (1, 6, "s", "bcdf")], "session_id long, number long, subject string, term string")
+    assert sorted((r.number, r.kp_id) for r in views.fuzzy_tags(terms, kp).collect()) == [(1, 1), (2, 2), (4, 4)]
