@@ -4,7 +4,8 @@ The fingerprints of five-word shingles meet in simhash's trie self-join; a link
 overlap by the given per cent. Pairs that overlap by 0.8 differ in up to 22 of 64 bits, more than any Hamming budget can
 deal out, so the rest is found by shingles. Sets are put in one order, common shingles last; two sets that overlap
 enough share a shingle of their prefixes (n - ceil(share * n) + 1 shingles), so an equi-join of prefixes loses no pair.
-The order is taken from a sample and decides only how many candidates there are. Prefix shingles that no other set's
+The order (counts in a sample, then whether a first round of prefixes has a shingle more than once) decides only how
+many candidates there are. Prefix shingles that no other set's
 prefix has are dropped early, by a bitmap; what it lets through meets no partner in the join.
 
 A shingle of very many near copies would make a pair of each two: besides the trie's, a first round therefore tries only
@@ -80,7 +81,42 @@ def common_shingles(docs: DataFrame, width: int, one_in: int, most: int):
     return h[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
-def sketches(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
+def prefix_of(h, often, percent: int):
+    """The set's first shingles in the common order: of those that are least often there, so many that an overlap must hit one."""
+    import numpy as np
+
+    return h[np.lexsort((h, often))[: prefix_size(len(h), percent)]]
+
+
+def frequency(h, common, repeated):
+    """What is known of how often a shingle occurs: its count in the sample, more for those in the bitmap `repeated`."""
+    import numpy as np
+
+    known, count = common
+    often = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        often = np.where(known[at] == h, count[at], 0)
+    return often if repeated is None else often + (marked(h, repeated).astype(np.int64) << 40)
+
+
+def repeated_shingles(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
+    """(h): shingles of prefixes, in the sample's order alone, that several texts have there."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, texts in text_batches(batches):
+            sets = (shingles(x, width) for x in texts)
+            h = [prefix_of(x, frequency(x, common.value, None), percent) for x in sets]
+            got, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+
+
+def sketches(docs: DataFrame, common, repeated, width: int, percent: int) -> DataFrame:
     """(doc_id, node, n, fp, prefix): a text's set by its hash, its size, fingerprint and prefix."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -88,16 +124,11 @@ def sketches(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        known, count = common.value
         for batch, texts in text_batches(batches):
             out: list[list] = [[], [], [], []]
             for x in texts:
                 h = shingles(x, width)
-                often = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    often = np.where(known[at] == h, count[at], 0)
-                first = h[np.lexsort((h, often))[: prefix_size(len(h), percent)]]
+                first = prefix_of(h, frequency(h, common.value, repeated.value), percent)
                 for column, value in zip(out, (node_of(h), len(h), set_print(h), first.view(np.int64))):
                     column.append(value)
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:3]]
@@ -245,7 +276,10 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80, budget:
     rid = F.xxhash64("doc_id", "text").alias("rid")
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), rid)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, one_in, most_common))
-    each = kept(sketches(docs.select(own.alias("doc_id"), "text"), common, width, percent), "near-sketches")
+    first_round = kept(repeated_shingles(docs, common, width, percent), "near-shingles")
+    repeated = docs.sparkSession.sparkContext.broadcast(bitmap(first_round))
+    forget(first_round)
+    each = kept(sketches(docs.select(own.alias("doc_id"), "text"), common, repeated, width, percent), "near-sketches")
     nodes = kept(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "near-nodes")
     live = kept(live_nodes(nodes), "near-live")
     sets = kept(sets_of(docs.select(rid, "text"), live.select("first.rid"), width), "near-sets")
@@ -260,6 +294,6 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80, budget:
     root = F.coalesce("root", "node").alias("root")
     chosen = nodes.select("node", "first").join(rooted, "node", "left").groupBy(root).agg(F.min("first").alias("least"))
     chosen = kept(chosen.select("least.id", "least.rid").distinct(), "near-chosen")
-    repeated = not each.groupBy("doc_id").count().where("count > 1").isEmpty()
+    several = not each.groupBy("doc_id").count().where("count > 1").isEmpty()
     forget(each, nodes, rooted)
-    return simhash.only(docs, chosen, repeated)
+    return simhash.only(docs, chosen, several)
