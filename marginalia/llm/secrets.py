@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for keys that no pattern names.
 
 Candidates are whole runs of key characters, and the parts of a run between =, /, _ and - (a key that a name or a path is
-joined to). For each one the encoding is inferred (the smallest alphabet that holds its
-characters) and three tests ask whether it looks drawn uniformly from that alphabet: chi-squared over the symbols, runs
-above and below the alphabet's middle, serial correlation of neighbours. Fisher's method combines them; a candidate
-must not be rejected as random. The other way round, the likelihood ratio of the uniform source to a fixed model of
-ordinary writing is an e-value, so 1 / ratio bounds the p-value of "this is ordinary writing", and it shrinks only
-as fast as length allows. Benjamini-Hochberg over all candidates of the corpus, one family for each length class,
-keeps the expected share of false finds under q. All tokens that were looked at are in the family, with p = 1 where
-a test has screened them out: where many short tokens were looked at, a short one must show more.
+joined to). For each one the encoding is inferred (the smallest alphabet that holds its characters) and three tests ask
+whether it looks drawn uniformly from that alphabet: chi-squared over the symbols, runs above and below the alphabet's
+middle, serial correlation of neighbours. Fisher's method combines them into one p-value of a token.
+
+False-discovery control is by families, and works from both sides on all tokens of the corpus that were looked at. First,
+one family for each encoding and length class: Benjamini-Hochberg over the battery's p-values, at level `alpha`, says which
+tokens are not random. Then, of the rest, a token counts only with evidence against ordinary writing: the likelihood ratio
+of the uniform source to a fixed model of writing is an e-value, so 1 / ratio bounds the p-value of "this is ordinary
+writing", and shrinks only as fast as length allows. Benjamini-Hochberg over these, one family for each length class, keeps
+the expected share of false finds under q; tokens that the battery rejected are in that family with p = 1: where many
+short tokens were looked at, a short one must show more. p-values are counted in quarter steps of their logarithm.
 
 Defined cases: a null text is empty and has no spans. A null doc_id passes through. Repeated rows come out once each
 and count as candidates once each. Ties at a threshold are found together. Only doc_id and text are read.
@@ -19,12 +22,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import forget, kept
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -150,29 +154,37 @@ def parts(text: str):
         yield from (x for x in inner if x[1] - x[0] >= 20 and x != (m.start(), m.start() + len(m[0].rstrip("="))))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]], alpha: float, tried: Counter | None = None) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, step of the bound on p) of tokens outside base spans that pass for random.
+def candidates(text: str, base: list[tuple[int, int, int]], tried: Counter | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, family of the battery, step of its p-value, step of the bound on p of writing) of tokens outside base spans, but for decimal ones.
 
-    tried: counts the tokens that were looked at, by length class.
+    Only tokens with some evidence are returned; tried counts all that were looked at, by family and step of the battery.
     """
     out = []
     for s, e in parts(text):
         token = text[s:e].rstrip("=")
         if len(token) < 20 or any(a < e and s < b for _, a, b in base):
             continue
-        if tried is not None:
-            tried[length_class(len(token))] += 1
         name = encoding(token)
-        if name != "decimal" and (high := surprise(token, ENCODINGS[name])) > 0 and fisher(battery(token, ENCODINGS[name])) >= alpha:
-            out.append((s, e, length_class(len(token)), min(TOP, int(high / STEP))))
+        of = family(name, len(token))
+        p = 0.0 if name == "decimal" else fisher(battery(token, ENCODINGS[name]))
+        step = min(TOP, int(-math.log10(max(p, 1e-300)) / STEP))
+        if tried is not None:
+            tried[of, step] += 1
+        if name != "decimal" and (high := surprise(token, ENCODINGS[name])) > 0:
+            out.append((s, e, of, step, min(TOP, int(high / STEP))))
     return out
 
 
-def found(text: str, alpha: float, least: dict[int, int]) -> list[tuple[int, int, int]]:
-    """All spans of a text where a candidate of class c must reach step least[c]."""
+def family(name: str, n: int) -> int:
+    """One number for an encoding and a length class."""
+    return 64 * list(ENCODINGS).index(name) + length_class(n)
+
+
+def found(text: str, bars: Bars) -> list[tuple[int, int, int]]:
+    """All spans of a text, added ones where a candidate passes the bars."""
     base, more = base_spans(text), []
-    for s, e, c, step in candidates(text, base, alpha):
-        if step >= least.get(c, TOP + 1) and not (more and s < more[-1][2]):  # a part of a found run is found with it
+    for s, e, of, step, evidence in candidates(text, base):
+        if bars.passes(of, step, evidence) and not (more and s < more[-1][2]):  # a part of a found run is found with it
             more.append((3, s, e))
     return sorted(base + more, key=lambda s: (s[1], s[0]))
 
@@ -181,17 +193,20 @@ def said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-RAW = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<k:int,s:long,e:long>>, more array<struct<s:long,e:long,c:int,step:int>>, tried array<struct<c:int,n:long>>"
+RAW = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<k:int,s:long,e:long>>, more array<struct<s:long,e:long,of:int,step:int,evidence:int>>, tried array<struct<of:int,step:int,n:long>>"
 
 
-def scanned(docs: DataFrame, alpha: float = 1e-3) -> DataFrame:
-    """doc_id and what one pass over each text shows: base spans, candidates, and how many tokens were looked at by length class."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id and what one pass over each text shows: base spans, candidates, and how many tokens were looked at by family and step."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("c", pa.int32()), ("step", pa.int32())])), pa.list_(pa.struct([("c", pa.int32()), ("n", pa.int64())]))]
+        def structs(longs, ints):
+            return pa.list_(pa.struct([(n, pa.int64()) for n in longs] + [(n, pa.int32()) for n in ints]))
+
+        types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])), structs("se", ("of", "step", "evidence")), pa.list_(pa.struct([("of", pa.int32()), ("step", pa.int32()), ("n", pa.int64())]))]
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more", "tried"]
         for batch in batches:
             rows = []
@@ -199,35 +214,62 @@ def scanned(docs: DataFrame, alpha: float = 1e-3) -> DataFrame:
                 text = text or ""
                 base = base_spans(text)
                 n = [sum(k == i for k, _, _ in base) for i in range(3)]
-                more = candidates(text, base, alpha, tried := Counter())
-                rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), [dict(zip("kse", x)) for x in base], [dict(zip(("s", "e", "c", "step"), x)) for x in more], [{"c": c, "n": m} for c, m in tried.items()]))
+                more = candidates(text, base, tried := Counter())
+                rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), [dict(zip("kse", x)) for x in base], [dict(zip(("s", "e", "of", "step", "evidence"), x)) for x in more], [{"of": of, "step": step, "n": m} for (of, step), m in tried.items()]))
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {RAW}")
 
 
-def thresholds(scans: DataFrame, q: float = 0.01) -> dict[int, int]:
-    """By length class, the least step that Benjamini-Hochberg accepts among all tokens tried: classes x steps counts reach the driver."""
-    tests = {r["c"]: r["n"] for r in scans.select(F.explode("tried").alias("x")).groupBy("x.c").agg(F.sum("x.n").alias("n")).collect()}
-    counts = scans.select(F.explode("more").alias("x")).groupBy("x.c", "x.step").count().collect()
-    least: dict[int, int] = {}
-    for c in {r["c"] for r in counts}:
-        own = sorted(((r["step"], r["count"]) for r in counts if r["c"] == c), reverse=True)
-        tried, rank = tests[c], 0
-        for step, n in own:
-            rank += n
-            if 10 ** (-step * STEP) <= q * rank / tried:
-                least[c] = step
+@dataclass(frozen=True)
+class Bars:
+    """What a candidate must pass: by family the least step at which the battery rejects it, by length class the least evidence."""
+
+    rejected: dict[int, int]
+    evidence: dict[int, int]
+
+    def passes(self, of: int, step: int, evidence: int) -> bool:
+        return step < self.rejected.get(of, TOP + 1) and evidence >= self.evidence.get(of % 64, TOP + 1)
+
+    def column(self, of: Column, step: Column, evidence: Column) -> Column:
+        def at(table: dict[int, int], key: Column) -> Column:
+            return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(TOP + 1)) if table else F.lit(TOP + 1)
+
+        return (step < at(self.rejected, of)) & (evidence >= at(self.evidence, of % 64))
+
+
+def accepted(steps: Counter, tried: int, q: float) -> int:
+    """Benjamini-Hochberg over p-values counted by step: the least step that is accepted, TOP + 1 if none is.
+
+    A p-value of step k is at most 10 ** -(k * STEP), and counts as that.
+    """
+    least, rank = TOP + 1, 0
+    for step in sorted(steps, reverse=True):
+        rank += steps[step]
+        if 10 ** (-step * STEP) <= q * rank / tried:
+            least = step
     return least
 
 
+def bars(scans: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> Bars:
+    """The bars of both controls: families x steps counts reach the driver, whatever the corpus."""
+    battery_counts, tried, evidence = defaultdict(Counter), Counter(), defaultdict(Counter)
+    for r in scans.select(F.explode("tried").alias("x")).groupBy("x.of", "x.step").agg(F.sum("x.n").alias("n")).collect():
+        battery_counts[r["of"]][r["step"]] += r["n"]
+        tried[r["of"] % 64] += r["n"]
+    rejected = {of: accepted(steps, steps.total(), alpha) for of, steps in battery_counts.items()}
+    for r in scans.select(F.explode("more").alias("x")).groupBy("x.of", "x.step", "x.evidence").count().collect():
+        if r["step"] < rejected[r["of"]]:
+            evidence[r["of"] % 64][r["evidence"]] += r["count"]
+    return Bars(rejected, {c: accepted(steps, tried[c], q) for c, steps in evidence.items()})
+
+
 def secrets(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
     """For each document its counts, the digest of its base spans, and all spans as kind:start:end."""
-    scans = kept(scanned(docs, alpha), "secrets")
-    least = thresholds(scans, q)
-    bar = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else None
-    passed = F.filter("more", lambda x: x["step"] >= F.coalesce(F.element_at(bar, x["c"]), F.lit(TOP + 1))) if least else F.slice("more", 1, 0)
+    scans = kept(scanned(docs), "secrets")
+    limits = bars(scans, q, alpha)
+    passed = F.filter("more", lambda x: limits.column(x["of"], x["step"], x["evidence"]))
     passed = F.filter(passed, lambda x: ~F.exists(passed, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (x["e"] - x["s"] < y["e"] - y["s"])))  # a part of a found run is found with it
     every = F.sort_array(
         F.concat(
@@ -242,12 +284,14 @@ def secrets(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
     """docs, each found span of text (overlapping ones joined) replaced by mark; a null text stays null."""
-    least = thresholds(kept(scanned(docs, alpha).select("more", "tried"), "secret-candidates"), q)
+    scans = kept(scanned(docs).select("more", "tried"), "secret-candidates")
+    limits = bars(scans, q, alpha)
+    forget(scans)
     at = docs.columns.index("text")
 
     def clean(text: str) -> str:
         out, end = [], 0
-        for _, s, e in found(text, alpha, least):
+        for _, s, e in found(text, limits):
             if s >= end:
                 out += [text[end:s], mark]
             end = max(end, e)

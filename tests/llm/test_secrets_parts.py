@@ -13,7 +13,7 @@ def test_keys_joined_to_words_are_candidates():
             key = "".join(r.choices(S.ENCODINGS[name], k=n))
             text = f"see {before}{key} there"
             at = text.index(key)
-            found += (at, at + n) in [x[:2] for x in S.candidates(text, S.base_spans(text), 1e-3)]
+            found += (at, at + n) in [x[:2] for x in S.candidates(text, S.base_spans(text))]
         assert found >= 180, (before, found)
 
 
@@ -30,15 +30,31 @@ def test_joined_keys_are_redacted(spark):
     assert all(k not in text[i] for i, k in enumerate(keys))
 
 
-def test_tokens_screened_out_count_as_tests(spark):
-    kind = "more array<struct<s:long,e:long,c:int,step:int>>, tried array<struct<c:int,n:long>>"
-    weak, strong = [(0, 20, 17, 8)] * 10, [(0, 20, 17, 60)]
-    assert S.thresholds(spark.createDataFrame([(weak, [(17, 10)])], kind)) == {17: 8}
-    assert S.thresholds(spark.createDataFrame([(weak, [(17, 10)]), ([], [(17, 10**6)])], kind)) == {}
-    assert S.thresholds(spark.createDataFrame([(weak + strong, [(17, 10**6)])], kind)) == {17: 60}
+def test_tokens_that_the_battery_rejects_count_as_tests(spark):
+    kind = "more array<struct<s:long,e:long,of:int,step:int,evidence:int>>, tried array<struct<of:int,step:int,n:long>>"
+    bars = lambda *rows: S.bars(spark.createDataFrame(list(rows), kind))
+    weak, strong = [(0, 20, 17, 0, 8)] * 10, [(0, 20, 17, 0, 60)]
+    assert bars((weak, [(17, 0, 10)])) == S.Bars({17: S.TOP + 1}, {17: 8})
+    assert bars((weak, [(17, 0, 10)]), ([], [(17, 90, 10**6)])) == S.Bars({17: 90}, {17: S.TOP + 1})
+    assert bars((weak + strong, [(17, 0, 10), (17, 90, 10**6)])) == S.Bars({17: 90}, {17: 60})
+    rejected = [(0, 20, 17, 90, 400)] * 5
+    assert bars((rejected + strong, [(17, 0, 1), (17, 90, 10**6)])) == S.Bars({17: 90}, {17: 60})
+    assert bars((rejected, [(17, 90, 10**6)])).passes(17, 90, 400) is False
+
+
+def test_both_controls_equal_their_plain_form():
+    r = random.Random(3)
+    for _ in range(200):
+        ps = [10 ** (-r.choice((0, 0, 0, 2, 9, 30)) * S.STEP) for _ in range(r.randrange(1, 60))]
+        q, m = r.choice((0.001, 0.01, 0.2)), 60
+        ranked = sorted(ps)
+        cut = max((p for k, p in enumerate(ranked, 1) if p <= q * k / m), default=None)
+        steps = S.Counter(round(-S.math.log10(p) / S.STEP) for p in ps)
+        got = S.accepted(steps, m, q)
+        assert [p <= cut if cut is not None else False for p in ps] == [round(-S.math.log10(p) / S.STEP) >= got for p in ps]
 
 
 def test_ordinary_words_are_looked_at(spark):
     text = "usr/local/lib/python/site-packages electroencephalographically 123456789012345678901234 password=abcdefghijklmnopqrstuvwxyz"
     (row,) = S.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    assert sum(x.n for x in row.tried) == 3 and not row.more
+    assert sum(x.n for x in row.tried) == 3 and not row.more and all(x.step > 8 for x in row.tried if x.of // 64 == 0)
