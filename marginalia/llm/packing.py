@@ -7,6 +7,9 @@ window without stepping through those before, and is carried across windows and
 a queue would run dry, the schedule begins a new phase in which the queues that are left share anew; phases are as many
 as queues, not as windows. Documents are cut where a window's quantum ends. Only the last sequence can have padding.
 
+Targets are wanted token proportions by source, or `alpha`: each source's share is then in proportion to its tokens to
+the power alpha, so that below 1 small sources have more of the early windows than their size, until they are empty.
+
 A document's place in its queue is the tokens of its source in earlier partitions (sums by source and partition, joined
 by key) plus those before it in its own. The token table is written once and read from there.
 
@@ -165,10 +168,11 @@ def tokenized(docs: DataFrame, path: str, close: int) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(run, f"doc_id {kind}, source string, part long, before long, n long, ids binary")
 
 
-def pack(docs: DataFrame, *, path: str | None = None, close: int = 2, size: int = 4096, targets: dict[str | None, float] | None = None, max_queues: int = 1000) -> DataFrame:
+def pack(docs: DataFrame, *, path: str | None = None, close: int = 2, size: int = 4096, targets: dict[str | None, float] | None = None, alpha: float = 1.0, max_queues: int = 1000) -> DataFrame:
     """One row for each piece: doc_id, source, where it lies in its document and in its sequence, and the CRC of its ids.
 
-    targets: wanted token proportion by source (others get the least share until the named ones are empty).
+    targets: wanted token proportion by source (others get the least share until the named ones are empty); without
+    them, tokens ** alpha.
     """
     from pyspark.sql import Window
 
@@ -181,7 +185,8 @@ def pack(docs: DataFrame, *, path: str | None = None, close: int = 2, size: int
     number = {s: i for i, (s, _) in enumerate(big)}
     rest = (totals.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in big)
     tokens = [n for _, n in big] + [rest]
-    phases = schedule(tokens, size, None if targets is None else [targets.get(s, 0) for s, _ in big] + [0])
+    wanted = [n**alpha for n in tokens] if targets is None else [targets.get(s, 0) for s, _ in big] + [0]
+    phases = schedule(tokens, size, None if targets is None and alpha == 1 else wanted)
 
     # The queue of a source; those past the first share the last one, ordered by source.
     queue = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for s, i in number.items() if s is not None for x in (s, i)]), F.col("source")), F.lit(len(big))) if any(s is not None for s in number) else F.lit(len(big))

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, kneser_ney, packing, quality_rules, repeats, secrets, simhash, suffix_tree, token_counts, toxicity
 from .common import table
 
+#: Sources get windows by their tokens to this power: less of the largest ones, more of the small, than in the corpus.
+MIXTURE = 0.7
+
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
@@ -21,7 +24,7 @@ def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), alpha=MIXTURE)
 
 
 def op5_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

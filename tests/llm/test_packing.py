@@ -58,6 +58,25 @@ def test_proportions_hold_in_every_window(spark):
         assert all(abs(by[k][s] - share) <= 2 for s, share in (("a", 600), ("b", 300), ("c", 100))), by[k]
 
 
+@pytest.mark.parametrize("settings", [{"targets": {"a": 0.2, "b": 0.5, "c": 0.3}}, {"alpha": 0.5}])
+def test_windows_are_filled_to_the_targets_while_all_queues_last(spark, settings):
+    """Every window holds the wanted tokens of each source, end to end, until the first source is empty; nothing is dropped."""
+    count = {"a": 600, "b": 300, "c": 100}
+    rows = [(i, "word " * 50, s) for i, s in enumerate(x for s, n in count.items() for x in [s] * n)]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), size=1000, **settings).collect()
+    by = collections.defaultdict(collections.Counter)
+    for r in got:
+        by[r.sequence_id][r.source] += r.length
+    tokens = {s: 51 * n for s, n in count.items()}
+    wanted = settings.get("targets") or {s: n**0.5 for s, n in tokens.items()}
+    share = {s: 1000 * w / sum(wanted.values()) for s, w in wanted.items()}
+    lasting = int(min(tokens[s] / share[s] for s in share)) - 1
+    assert lasting > 10
+    for k in range(lasting):
+        assert all(abs(by[k][s] - share[s]) <= 2 for s in share), (k, by[k])
+    assert {s: sum(w[s] for w in by.values()) for s in tokens} == tokens
+
+
 def test_schedule_serves_every_queue_and_keeps_targets():
     r = random.Random(0)
     for _ in range(200):
