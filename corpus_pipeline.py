@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, near_copies, packing, quality_rules, secrets
 from marginalia.llm.common import kept, table
+from marginalia.llm.queries import MIXTURE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences that each hold the sources in proportion."""
-    return packing.pack(docs)
+    """Pieces of the documents in sequences that each hold the sources in the mixture wanted."""
+    return packing.pack(docs, alpha=MIXTURE)
 
 
 STAGES = [
