@@ -5,8 +5,10 @@ overlap by the given per cent. Pairs that overlap by 0.8 differ in up to 22 of 6
 deal out, so the rest is found by shingles. Sets are put in one order, common shingles last; two sets that overlap
 enough share a shingle of their prefixes (n - ceil(share * n) + 1 shingles), so an equi-join of prefixes loses no pair.
 The order (counts in a sample, then whether a first round of prefixes has a shingle more than once) decides only how
-many candidates there are. Prefix shingles that no other set's
-prefix has are dropped early, by a bitmap; what it lets through meets no partner in the join.
+many candidates there are. Prefix shingles that no other text's prefix has are dropped in the scan, by a bitmap; what it
+lets through meets no partner in the join. A pair is a candidate where a shared shingle lies early enough in both orders,
+and is looked at closely only if counts of the sets' shingles in BUCKETS buckets allow the overlap: both are bounds that no
+pair which overlaps enough can miss. Only sets of pairs that are left travel.
 
 A shingle of very many near copies would make a pair of each two: besides the trie's, a first round therefore tries only
 the text whose fingerprint is nearest to the group's majority and the neighbour in order of fingerprints; a second one
@@ -27,6 +29,9 @@ from .common import bitmap, forget, kept, marked, text_batches
 from .components import components
 
 
+BUCKETS = 256
+
+
 def shingles(raw: bytes, width: int):
     """The sorted distinct hashes of a text's shingles."""
     import numpy as np
@@ -100,8 +105,8 @@ def frequency(h, common, repeated):
     return often if repeated is None else often + (marked(h, repeated).astype(np.int64) << 40)
 
 
-def repeated_shingles(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
-    """(h): shingles of prefixes, in the sample's order alone, that several texts have there."""
+def repeated_shingles(docs: DataFrame, common, repeated, width: int, percent: int) -> DataFrame:
+    """(h): shingles that several texts have in their prefixes; repeated: a bitmap that takes part in the order, or none."""
 
     def run(batches):
         import numpy as np
@@ -109,32 +114,42 @@ def repeated_shingles(docs: DataFrame, common, width: int, percent: int) -> Data
 
         for _, texts in text_batches(batches):
             sets = (shingles(x, width) for x in texts)
-            h = [prefix_of(x, frequency(x, common.value, None), percent) for x in sets]
+            h = [prefix_of(x, frequency(x, common.value, repeated.value), percent) for x in sets]
             got, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *h]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
 
     return docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def sketches(docs: DataFrame, common, repeated, width: int, percent: int) -> DataFrame:
-    """(doc_id, node, n, fp, prefix): a text's set by its hash, its size, fingerprint and prefix."""
+SKETCH = "node long, n long, fp long, prefix array<struct<h:long,at:long>>, buckets binary"
+
+
+def sketches(docs: DataFrame, common, repeated, several, width: int, percent: int) -> DataFrame:
+    """(doc_id, node, n, fp, prefix, buckets): a text's set by its hash, its size and fingerprint; those shingles of its prefix,
+    with their places in the order, that are in the bitmap `several`; and, if there are any, counts of the set by bucket."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        pair = pa.struct([("h", pa.int64()), ("at", pa.int64())])
         for batch, texts in text_batches(batches):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for x in texts:
                 h = shingles(x, width)
                 first = prefix_of(h, frequency(h, common.value, repeated.value), percent)
-                for column, value in zip(out, (node_of(h), len(h), set_print(h), first.view(np.int64))):
+                at = np.flatnonzero(marked(first, several.value))
+                counts = np.bincount((h >> np.uint64(24)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype("<u4").tobytes() if len(at) else None
+                for column, value in zip(out, (node_of(h), len(h), set_print(h), first[at].view(np.int64), at, counts)):
                     column.append(value)
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:3]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "node", "n", "fp", "prefix"])
+            flat = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out[3:5]]
+            ends = np.r_[0, np.cumsum([len(x) for x in out[3]])].astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in flat], fields=list(pair)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, prefix, pa.array(out[5], pa.binary())], ["doc_id", "node", "n", "fp", "prefix", "buckets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, fp long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SKETCH}")
 
 
 def star_pairs(group, fp):
@@ -172,26 +187,11 @@ def all_pairs(group, label):
 
 
 def live_nodes(nodes: DataFrame) -> DataFrame:
-    """nodes with only those prefix shingles that another node's prefix has too, if there are any: a bitmap first, then a join."""
-    shared = kept(nodes.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1").select("h"), "near-shingles")
-    words = nodes.sparkSession.sparkContext.broadcast(bitmap(shared))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            own = batch.column(0)
-            flat, length = own.values.to_numpy()[own.offsets[0].as_py() :], np.diff(own.offsets.to_numpy())
-            flat = flat[: int(length.sum())]
-            row, keep = np.repeat(np.arange(len(length)), length), marked(np.ascontiguousarray(flat), words.value)
-            size = np.bincount(row[keep], minlength=len(length))
-            prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat[keep]))
-            yield pa.RecordBatch.from_arrays([prefix, *batch.columns[1:]], batch.schema.names).filter(pa.array(size > 0))
-
-    some = nodes.select("prefix", "node").mapInArrow(run, "prefix array<long>, node long")
-    rows = some.select("node", F.explode("prefix").alias("h")).join(shared, "h", "left_semi")
-    return nodes.drop("prefix").join(rows.groupBy("node").agg(F.collect_list("h").alias("prefix")), "node")  # of one text
+    """nodes with only those prefix shingles that another node's prefix has too, if there are any."""
+    rows = nodes.select("node", F.explode("prefix").alias("p"))
+    several = rows.groupBy("p.h").count().where("count > 1").select("h")
+    own = rows.join(several, F.col("p.h") == F.col("h"), "left_semi").groupBy("node").agg(F.collect_list("p").alias("prefix"))  # of one text
+    return nodes.drop("prefix").join(own, "node")
 
 
 def trie_pairs(live: DataFrame, budget: int) -> DataFrame:
@@ -210,14 +210,15 @@ def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 20
     In the first round a shingle of more than `hot` nodes is dealt out at random; the second one has only shingles whose
     nodes are in several components by then, and tries all pairs across these.
     """
-    rows, salt = nodes.select("node", "n", "fp", "label", F.explode("prefix").alias("h")), F.lit(0)
+    rows, salt = nodes.select("node", "n", "fp", "label", F.explode("prefix").alias("p")), F.lit(0)
+    rows = rows.select("node", "n", "fp", "label", "p.h", "p.at")
     sizes = rows.groupBy("h").agg(F.count("*").alias("of_h"), F.min("label").alias("low"), F.max("label").alias("high"))
     if not first:
         rows = rows.join(sizes.where("low <> high").select("h"), "h", "left_semi")
     elif not (wide := kept(sizes.where(F.col("of_h") > hot).select("h", "of_h"), "near-hot")).isEmpty():
         rows = rows.join(wide, "h", "left")
         salt = F.coalesce(F.pmod(F.xxhash64("h", "node"), F.floor(F.col("of_h") / hot) + 1), F.lit(0))
-    rows = rows.withColumn("h", F.when(salt == 0, F.col("h")).otherwise(F.xxhash64("h", salt))).select("node", "n", "fp", "label", "h")
+    rows = rows.withColumn("h", F.when(salt == 0, F.col("h")).otherwise(F.xxhash64("h", salt))).select("node", "n", "fp", "label", "h", "at")
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shards = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // shard_rows + 1)
 
@@ -225,17 +226,18 @@ def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 20
         import numpy as np
         import pyarrow as pa
 
-        h, node, n, fp, label = (table.column(c).to_numpy() for c in ("h", "node", "n", "fp", "label"))
+        h, node, n, fp, label, at = (table.column(c).to_numpy() for c in ("h", "node", "n", "fp", "label", "at"))
         fp = np.ascontiguousarray(fp).view(np.uint64)
         order = np.lexsort((fp, h))
         h = h[order]
         twin = np.r_[False, h[1:] == h[:-1]]
         twin[:-1] |= twin[1:]
         order, h = order[twin], h[twin]
-        node, n, fp, label = node[order], n[order], fp[order], label[order]
+        node, n, fp, label, at = node[order], n[order], fp[order], label[order], at[order]
         found = [np.zeros((0, 2), np.int64)]
         for i, j in [star_pairs(h, fp)] if first else all_pairs(h, label):
-            fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            # at the first shingle that they share, all that they share is still to come
+            fit = (100 + percent) * np.minimum(n[i] - at[i], n[j] - at[j]) >= percent * (n[i] + n[j])
             a, b = node[i[fit]], node[j[fit]]
             if len(a):
                 found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
@@ -264,11 +266,33 @@ def sets_of(docs: DataFrame, rids: DataFrame, width: int) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
 
 
-def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (u, v) whose sets overlap enough."""
+def possible(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (u, v) that may overlap enough by the counts of their shingles in buckets."""
+    side = lambda c: live.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("buckets").alias(f"b_{c}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "b_u", "b_v")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BUCKETS) for c in ("b_u", "b_v"))
+            most, size = np.minimum(a, b).sum(axis=1, dtype=np.int64), batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            yield batch.select(["u", "v"]).filter(pa.array((100 + percent) * most >= percent * size))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def linked(pairs: DataFrame, live: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of pairs (u, v) whose sets overlap enough; texts: rid and text."""
+    pairs = kept(possible(pairs, live, percent), "near-pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(live.select("node", "first.rid"), "node")
+    sets = kept(sets_of(texts, kept(asked.select("rid"), "near-asked"), width), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
     same = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("same"), (F.size("a") + F.size("b")).alias("sum"))
-    return same.where((100 + percent) * F.col("same") >= percent * F.col("sum")).select("u", "v")
+    out = kept(same.where((100 + percent) * F.col("same") >= percent * F.col("sum")).select("u", "v"), "near-links")
+    forget(pairs, sets)
+    return out
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, budget: int = 3, one_in: int = 16, most_common: int = 1 << 18) -> DataFrame:
@@ -276,20 +300,23 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80, budget:
     rid = F.xxhash64("doc_id", "text").alias("rid")
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), rid)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width, one_in, most_common))
-    first_round = kept(repeated_shingles(docs, common, width, percent), "near-shingles")
-    repeated = docs.sparkSession.sparkContext.broadcast(bitmap(first_round))
-    forget(first_round)
-    each = kept(sketches(docs.select(own.alias("doc_id"), "text"), common, repeated, width, percent), "near-sketches")
-    nodes = kept(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "near-nodes")
-    live = kept(live_nodes(nodes), "near-live")
-    sets = kept(sets_of(docs.select(rid, "text"), live.select("first.rid"), width), "near-sets")
+    share = docs.sparkSession.sparkContext.broadcast
+    bitmaps = [share(None)]
+    for _ in range(2):  # shingles that prefixes share, first in the sample's order, then in an order that has these last
+        found = kept(repeated_shingles(docs, common, bitmaps[-1], width, percent), "near-shingles")
+        bitmaps.append(share(bitmap(found)))
+        forget(found)
+    each = kept(sketches(docs.select(own.alias("doc_id"), "text"), common, bitmaps[1], bitmaps[2], width, percent), "near-sketches")
+    first = [F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "fp", "prefix", "buckets")]]
+    nodes = kept(each.groupBy("node").agg(*first), "near-nodes")
+    live, texts = kept(live_nodes(nodes), "near-live"), docs.select(rid, "text")
 
     pairs = candidates(live.withColumn("label", F.lit(0).cast("long")), percent, True).union(trie_pairs(live, budget)).distinct()
-    links = kept(overlapping(pairs, sets, percent), "near-links")
+    links = linked(pairs, live, texts, width, percent)
     labelled = live.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node"))
-    more = kept(overlapping(candidates(labelled, percent, False), sets, percent), "near-links")
+    more = linked(candidates(labelled, percent, False), live, texts, width, percent)
     rooted = kept(components(links.union(more)), "near-roots")
-    forget(live, sets, links, more)
+    forget(live, links, more)
 
     root = F.coalesce("root", "node").alias("root")
     chosen = nodes.select("node", "first").join(rooted, "node", "left").groupBy(root).agg(F.min("first").alias("least"))
