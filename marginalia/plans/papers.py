@@ -175,9 +175,12 @@ def report_extract(d: Domain) -> DataFrame:
     )
 
 
-@query(sql(f"SELECT id, true AS dims_agree, true AS adjusted_agree, round(({_RAW} - 2 - n_chars % 4) * 70 / 100.0) = total_score AS total_agree FROM records"))
+@query(sql(f"SELECT id, id % 3 <> 0 AS dims_agree, id % 3 <> 0 AS adjusted_agree, round(({_RAW} - 2 - n_chars % 4) * 70 / 100.0) = total_score AS total_agree FROM records"))
 def report_audit(d: Domain) -> DataFrame:
-    r = reports(d).select("id", *[c.alias(n) for n, c in documents.report(F.col("content")).items()])
+    """Every third report states a sum of dimensions that is not theirs."""
+    wrong = F.regexp_replace("content", r"(维度得分之和\*\*：)\d+", "维度得分之和**：9")
+    rows = reports(d).withColumn("content", F.when(F.col("id") % 3 == 0, wrong).otherwise(F.col("content")))
+    r = rows.select("id", *[c.alias(n) for n, c in documents.report(F.col("content")).items()])
     return documents.audited(r).select("id", "dims_agree", "adjusted_agree", "total_agree")
 
 
