@@ -11,8 +11,8 @@ such, or the item's own, or if it has no placeholder.
 
 Defined cases: a null or blank text matches nothing. Documents are told apart by id and text together, so rows of null
 id are judged each on its own and come out with a null doc_id; repeated rows come out once. A null item text is
-ignored; a null item_id is an item. Ties don't arise: all items that reach the share are returned. Extra columns are
-ignored.
+ignored; a null item_id is an item. Ties don't arise: all items that reach the share are returned. Very long texts are
+read whole. Extra columns are ignored, or pass through clean() whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import re
 import string
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept
@@ -242,16 +242,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 8, least
     with_rid = docs.select("doc_id", "text", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("rid")).alias("key"))
     found = kept(_scan_shared(with_rid, sorted(lengths), shared, bits, width).distinct(), "benchmark-hits")
     size = items.groupBy(F.col("item_id").alias("of_item")).agg(F.countDistinct("pos").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("pos"))).alias("told"))
+    need = F.least(F.lit(least_windows), F.ceil(F.when(F.col("told") > 0, F.col("told")).otherwise(F.col("item_windows")) * share))
+    size = size.withColumn("need", need)
     wanted = items.select("item_id", "h", "words", F.col("pos").alias("at"), F.col("slots").alias("own"))
-    lines = _judged(found.join(wanted, ["h", "words"]))
+    lines = _judged(_within_reach(found, items, size).join(wanted, ["h", "words"]))
     sums = lines.groupBy("key", "item_id").agg(F.sum("n").alias("n_windows"), F.sum("verbatim").alias("verbatim"))
-    need = F.least(F.lit(least_windows), F.ceil(F.when(F.col("told") > 0, F.col("told")).otherwise(F.col("item_windows")) * share))
     return (
-        sums.join(size, F.col("item_id").eqNullSafe(F.col("of_item"))).where(F.col("n_windows") >= need)
-        .select("key.rid", "key.doc_id", "item_id", "n_windows", "item_windows", (F.col("verbatim") >= need).alias("verbatim"))
+        sums.join(size, F.col("item_id").eqNullSafe(F.col("of_item"))).where(F.col("n_windows") >= F.col("need"))
+        .select("key.rid", "key.doc_id", "item_id", "n_windows", "item_windows", (F.col("verbatim") >= F.col("need")).alias("verbatim"))
     )
 
 
+def _within_reach(found: DataFrame, items: DataFrame, size: DataFrame) -> DataFrame:
+    """The windows of documents that can still make an item reach its share.
+
+    A window that many items share is one row here: it carries the least need of its items and the most times that one of
+    them has it. A document whose windows together stay below that need holds none of these items, and its row goes before
+    it would meet each of them.
+    """
+    own = items.groupBy("h", "words", "item_id").agg(F.count("*").alias("times"))
+    own = own.join(size.select("of_item", "need"), F.col("item_id").eqNullSafe(F.col("of_item")))
+    classes = own.groupBy("h", "words").agg(F.max("times").alias("times"), F.min("need").alias("need"))
+    met = found.join(classes, ["h", "words"]).withColumn("sum", F.sum("times").over(Window.partitionBy("key")))  # of one text
+    return met.where(F.col("sum") >= F.col("need")).select(found.columns)
+
+
 def _scan_shared(rows: DataFrame, widths: list[int], shared, bits: int, wide: int) -> DataFrame:
     """_scan with the bitmap taken from a broadcast within each task."""
 
