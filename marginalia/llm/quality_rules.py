@@ -5,7 +5,7 @@ aggregates (features x bins rows reach the driver, whatever the corpus), and the
 
 Defined cases: a null text is an empty text (no words, base_failed). A null doc_id passes through and never meets a
 label. Repeated rows are judged alike, each on its own. Ties between candidate conditions go to the first feature and
-the lowest cut. Without labels of both kinds no rule is learned and only the base decides. Extra columns are ignored,
+the lowest cut. Without labels of both kinds no rule is learned and only the base decides. Very long texts are one row of arrays. Extra columns are ignored,
 or kept by `flagged` where they don't clash with the names added.
 """
 

@@ -54,6 +54,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def base_quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 returns of each text before the learned rules: the part that SQL can check."""
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return op9_quality_rules(spark, sf_dir).select(*columns)
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's counts of fixed patterns, the part that SQL can check."""
+    return op1_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -65,5 +76,22 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "base_quality_stats": base_quality_stats,
+    "base_secret_counts": base_secret_counts,
+}
+
+_WS = "[\\x20\\x09-\\x0D]"
+_EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+ORACLES: dict[str, str] = {
+    "base_quality_stats": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        s AS (SELECT *, list_filter(regexp_split_to_array(t, '{_WS}+'), lambda w: w <> '') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+        w AS (SELECT r, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM s),
+        g AS (SELECT *, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+        f AS (SELECT r, i, i <= n - 3 AND count(*) OVER (PARTITION BY r, word, b, c, i <= n - 3) >= 2 AS f FROM g),
+        p AS (SELECT r, count(*) FILTER (f OR f1 OR f2) AS repeated FROM (SELECT r, f, coalesce(lag(f, 1) OVER o, false) AS f1, coalesce(lag(f, 2) OVER o, false) AS f2 FROM f WINDOW o AS (PARTITION BY r ORDER BY i)) GROUP BY r)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(t, '{_WS}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(repeated, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(repeated, 0) > 50 * len(ws) AS base_failed FROM s LEFT JOIN p USING (r)""",
+    "base_secret_counts": f"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '({_EITHER})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+        CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
 }
-ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ bits that are left, so no group grows with the corpus and no link is lost. Exact
 node from the start.
 
 Defined cases: null or blank text has fingerprint 0 and is linked like any other. A text of fewer words than a shingle
-is one shingle. A null doc_id never names a component; a component of null ids alone has a null component_id. Repeated
+is one shingle; very long texts are hashed whole, 65,536 shingles at a time. A null doc_id never names a component; a component of null ids alone has a null component_id. Repeated
 rows come out once each. Only doc_id and text are read.
 """
 

@@ -6,8 +6,10 @@ odds class of the word and of its neighbours, capitals, marks) is fitted to such
 conditional likelihood. Forward-backward marginals of all tokens of a text then give the expected number of toxic
 tokens, the largest marginal and the share, which a logistic function, fitted on the same documents, turns into a score.
 
-Bounds, all parameters: `sample` labelled documents of each kind (the least hashes of their ids), `lexicon` words,
-`sentences` of each kind. Training reads no document of the held-out fold. Scores never read labels, lang, source or id.
+Bounds of training, all parameters: `sample` labelled documents of each kind (the least hashes of their ids), `lexicon`
+words, `sentences` of each kind (with words of the lexicon and without; of those without, one in `one_in` is considered, by
+hash), in parts of at most `longest` tokens. Scoring has none: texts are read whole, sentences of any length are one chain.
+Training reads no document of the held-out fold. Scores never read labels, lang, source or id.
 
 Defined cases: a null text is empty; empty texts have no tokens and get the score of none. A null doc_id is not held
 out. A document labelled both ways is toxic. Without labels of both kinds every score is 0. Repeated rows are scored
@@ -243,7 +245,7 @@ def _lexicon(rows: DataFrame, size: int) -> dict[str, int]:
     return {r["word"]: min(CLASSES - 1, int(r["odds"])) for r in got.collect()}
 
 
-def _sentences(rows: DataFrame, lexicon: dict[str, int], most: int):
+def _sentences(rows: DataFrame, lexicon: dict[str, int], most: int, one_in: int, longest: int):
     """x, y, begin, length of the training sentences: those with words of the lexicon, and others; the least hashes of each."""
     import numpy as np
 
@@ -258,12 +260,12 @@ def _sentences(rows: DataFrame, lexicon: dict[str, int], most: int):
             for own, toxic in zip(ids, batch.column(1).to_pylist()):
                 begin, length = chains_of(own, tables) if len(own) else ((), ())
                 for b, n in zip(begin, length):
-                    for lo in range(b, b + n, 64):  # long ones in parts
-                        part = own[lo : min(lo + 64, b + n)]
+                    for lo in range(b, b + n, longest):  # long ones in parts
+                        part = own[lo : min(lo + longest, b + n)]
                         cls = tables[0][part]
                         code = cls + 8 * tables[1][part] + 16 * tables[2][part]
                         h = xxhash.xxh64_intdigest(code.tobytes() + part.tobytes()) >> 1
-                        if cls.any() or h % 16 == 0:
+                        if cls.any() or h % one_in == 0:
                             for column, v in zip(out, (bool(cls.any()), h, code.tolist(), (cls >= TOXIC_CLASS).astype(int).tolist() if toxic else [0] * len(part))):
                                 column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], ["some", "h", "code", "y"])
@@ -277,14 +279,14 @@ def _sentences(rows: DataFrame, lexicon: dict[str, int], most: int):
     return features(np.arange(len(code)), tables, begin), np.array([v for r in got for v in r["y"]], np.int64), begin, length
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", sample: int = 10_000, lexicon: int = 5_000, sentences: int = 3_000) -> Field | None:
+def train(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", sample: int = 10_000, lexicon: int = 5_000, sentences: int = 3_000, one_in: int = 16, longest: int = 64) -> Field | None:
     import numpy as np
 
     rows = _sampled(docs, labels, toxic, sample)
     words = _lexicon(rows, lexicon)
     if not words:
         return None
-    x, y, begin, length = _sentences(rows, words, sentences)
+    x, y, begin, length = _sentences(rows, words, sentences, one_in, longest)
     field = Field(words, *fit_chain(x, y, begin, length))
 
     def run(batches):

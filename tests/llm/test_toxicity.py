@@ -62,3 +62,10 @@ def test_without_labels_all_scores_are_zero(spark):
     docs, labels = corpus(spark)
     assert {r.score for r in T.scored(docs, T.train(docs, labels.limit(0))).select("score").distinct().collect()} == {0.0}
     assert T.scored(docs.limit(0), T.train(docs, labels.where("toxic = 0"))).count() == 0
+
+
+def test_repeated_rows_are_scored_alike(spark):
+    docs, labels = corpus(spark)
+    twice = docs.union(docs.where("doc_id in (0, 1, 10000) or doc_id is null"))
+    got = T.scored(twice, T.train(docs, labels)).where("doc_id in (0, 1, 10000) or doc_id is null").collect()
+    assert len(got) == 8 and len({(r.doc_id, r.score, r.predicted, r.spans) for r in got}) == 4
