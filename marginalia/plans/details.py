@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import columns as C
 from marginalia.functions.columns import or_blank
 from marginalia.operators import admission as A
-from marginalia.operators import papers, views
+from marginalia.operators import documents, papers, views
 from marginalia.sources import schemas, tables
 
 from .domain import SQL_FMT, Domain, said, sql
@@ -217,3 +217,29 @@ def budget_eviction(d: Domain) -> DataFrame:
     rows = d.requests()
     states = rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("tokens").alias("used"))
     return A.evicted(states, F.lit(rows.agg(F.max(F.to_date("ts"))).first()[0])).select("user_id", "used")
+
+
+@query(sql("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '未知' ELSE 'k' || CAST(json_extract(props, '$.k') AS BIGINT) END AS error_type, CAST(CASE WHEN event_id % 3 = 0 THEN 3 ELSE event_id % 5 + 1 END AS BIGINT) AS difficulty FROM events"))
+def batch_placeholders(d: Domain) -> DataFrame:
+    """Every event of a batch with what its answer says, or a placeholder where no answer can be read."""
+    k = F.get_json_object("props", "$.k")
+    answer = F.when(F.col("event_id") % 3 == 0, "no json").otherwise(F.concat(F.lit('```json\n[{"error_type":"k'), k, F.lit('","difficulty":'), (F.col("event_id") % 5 + 1).cast("string"), F.lit("}]\n```")))
+    rows = d.read("events").select("event_id", answer.alias("answer"))
+    got, level = documents.repaired_array(F.col("answer"), "struct<error_type:string,difficulty:bigint>")
+    parsed = rows.select("event_id", level.alias("level"), F.get(got, F.lit(0)).alias("x")).where("level < 5").select("event_id", "x.error_type", "x.difficulty")
+    return documents.with_placeholders(rows.drop("answer"), parsed, ["event_id"])
+
+
+@query(sql("SELECT id, total_score FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM records WHERE (created_at, id) < (SELECT (created_at, id) FROM records ORDER BY created_at DESC, id DESC LIMIT 1 OFFSET 40)) WHERE n <= 20"))
+def deep_page(d: Domain) -> DataFrame:
+    """The twenty records after the forty-first newest one: a page by its last row instead of by its number."""
+    rows = d.records().select("id", "total_score", "created_at")
+    last = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(41).orderBy("created_at", "id").first()
+    return views.after(rows, F.lit(last["created_at"]), F.lit(last["id"]), 20).select("id", "total_score")
+
+
+@query(sql("SELECT p_partkey AS id, CASE p_size % 8 WHEN 0 THEN 3 WHEN 6 THEN 5 WHEN 7 THEN 5 ELSE p_size % 8 END AS difficulty, CASE WHEN p_size % 2 = 0 THEN chr(CAST(65 + p_partkey % 4 AS INTEGER)) ELSE '' END AS letter FROM part"))
+def field_rules(d: Domain) -> DataFrame:
+    """Difficulties within their range, and the letter that an option begins with."""
+    option = F.concat(F.when(F.col("p_size") % 2 == 0, F.char(65 + F.col("p_partkey") % 4)).otherwise("x"), F.lit(". "), F.col("p_name"))
+    return d.read("part").select(F.col("p_partkey").alias("id"), C.clamp_difficulty(F.col("p_size") % 8).alias("difficulty"), C.option_letter(option).alias("letter"))
