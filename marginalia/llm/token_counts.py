@@ -9,7 +9,7 @@ is shuffled, and memory is bounded by the batch and by `limit`.
 The vocabulary file has an order but no probabilities, so a piece of rank r gets the Zipf share 1 / (r + 2); a character
 that no piece holds costs one token for each of its UTF-8 bytes, less likely than any piece.
 
-Defined cases: null and empty texts have no words and no tokens. Null doc_ids and repeated rows come out once each. Extra
+Defined cases: null and empty texts have no words and no tokens; very long texts are counted word by word. Null doc_ids and repeated rows come out once each. Extra
 columns are ignored.
 """
 
