@@ -146,23 +146,29 @@ def grouped_blocks(blocks: DataFrame, page: str = "page", gap: int = 50, left: i
     """(page, y, x, text, grp): blocks in reading order, their group counted from 1.
 
     A numbered text at the left opens a group, as does a block `gap` or more from the group's bottom, which is the
-    greatest so far within the group. The bottom starts anew with a group, so this is a fold over the page's blocks.
+    greatest so far within the group. The bottom starts anew with a group, so this is a fold; a page is a sorted run within
+    one partition, and the fold's two numbers go from Arrow batch to batch.
     """
     text = F.trim("text")
-    rows = blocks.where((F.col("confidence") >= least) & (text != "")).select(page, "y", "x", "height", text.alias("text"))
-    opens = F.col("text").rlike(r"^\d+[.、\s]") & (F.col("x") < left)
-    own = rows.withColumn("opens", opens).groupBy(page).agg(F.array_sort(F.collect_list(F.struct("y", "x", "height", "text", "opens"))).alias("b"))  # a page's blocks
-    kind = "struct<grp:bigint,bottom:bigint,out:array<struct<y:bigint,x:bigint,text:string,grp:bigint>>>"
-    zero = F.expr(f"cast(named_struct('grp', 0L, 'bottom', 0L, 'out', array()) as {kind})")
-
-    def step(acc: Column, b: Column) -> Column:
-        fresh = (acc["grp"] == 0) | b["opens"] | (F.abs(b["y"] - acc["bottom"]) >= gap)
-        grp = acc["grp"] + F.when(fresh, 1).otherwise(0)
-        bottom = (b["y"] + b["height"]).cast("long")
-        row = F.struct(b["y"].cast("long").alias("y"), b["x"].cast("long").alias("x"), b["text"].alias("text"), grp.cast("long").alias("grp"))
-        return F.struct(grp.cast("long").alias("grp"), F.when(fresh, bottom).otherwise(F.greatest(acc["bottom"], bottom)).alias("bottom"), F.concat(acc["out"], F.array(row)).alias("out")).cast(kind)
-
-    return own.select(page, F.explode(F.aggregate("b", zero, step, lambda a: a["out"])).alias("o")).select(page, "o.*")
+    rows = blocks.where((F.col("confidence") >= least) & (text != "")).select(page, F.col("y").cast("long"), F.col("x").cast("long"), F.col("height").cast("long"), text.alias("text"))
+    rows = rows.withColumn("opens", F.col("text").rlike(r"^\d+[.、\s]") & (F.col("x") < left))
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, grp, bottom = object(), 0, 0
+        for batch in batches:
+            out = []
+            for own, y, height, opens in zip(*(batch.column(c).to_pylist() for c in (page, "y", "height", "opens"))):
+                if own != last:
+                    last, grp = own, 0
+                fresh = not grp or opens or abs(y - bottom) >= gap
+                grp, bottom = grp + fresh, y + height if fresh else max(bottom, y + height)
+                out.append(grp)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (page, "y", "x", "text")), pa.array(out, pa.int64())], [page, "y", "x", "text", "grp"])
+
+    kind = blocks.schema[page].dataType.simpleString()
+    return rows.repartition(page).sortWithinPartitions(page, "y", "x", "height", "text").mapInArrow(run, f"{page} {kind}, y long, x long, text string, grp long")
 
 
 def paragraphs(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
