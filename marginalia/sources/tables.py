@@ -80,33 +80,42 @@ def save(df: DataFrame, path: str, partition_by: list[str] | None = None, keep:
         fs.delete(at, True)
 
 
-def merge(batch: DataFrame, path: str, keys: list[str], order: list[str], number: int, buckets: int = 16) -> None:
+def merge(batch: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 16) -> None:
     """Put batch's rows in by key into a table of hash buckets; the last by order stays. Only buckets that batch touches are written.
 
-    Each state holds the buckets that its batch has touched. A replayed number writes its state again from those before it.
+    Each state holds the buckets that its batch has touched; putting a batch in again changes nothing. One writer at a time.
     """
     spark = batch.sparkSession
-    rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # `buckets` at most
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+    touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # `buckets` at most
     if not touched:
         return
-    old = merged(spark, path, batch.schema, touched, number)
-    both = latest(old.unionByName(batch), keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    both.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state-{number}")
+    before = states(spark, path)
+    both = latest(merged(spark, path, batch.schema, touched).unionByName(batch), keys, order).select("*", bucket)
+    both.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state-{before[-1][0] + 1 if before else 0}")
 
 
-def merged(spark: SparkSession, path: str, schema: T.StructType, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
-    """What merge() has put in at path: of each bucket, or each of some, its newest state, or its newest before a number."""
+def merged(spark: SparkSession, path: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
+    """What merge() has put in at path: the newest state of each bucket, or of some."""
     newest: dict[int, str] = {}
-    for number, state in states(spark, path):
-        if before is None or number < before:
-            fs, at = _fs(spark, state)
-            names = [(x.getPath().getName(), x.getPath().toString()) for x in fs.listStatus(at)]
-            newest |= {int(n.removeprefix("bucket=")): p for n, p in names if n.startswith("bucket=")}
+    for _, state in states(spark, path):
+        fs, at = _fs(spark, state)
+        names = [(x.getPath().getName(), x.getPath().toString()) for x in fs.listStatus(at)]
+        newest |= {int(n.removeprefix("bucket=")): p for n, p in names if n.startswith("bucket=")}
     paths = [p for k, p in sorted(newest.items()) if buckets is None or k in buckets]
     return spark.read.schema(schema).parquet(*paths) if paths else _blank(spark, schema)
 
 
+def compact(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int = 16) -> None:
+    """Write the table of merge() as one state and delete those before it; for a time without readers."""
+    before = states(spark, path)
+    rows = merged(spark, path, schema).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    rows.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state-{before[-1][0] + 1 if before else 0}")
+    for _, old in before:
+        fs, at = _fs(spark, old)
+        fs.delete(at, True)
+
+
 def evolve(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     """df with each column that it lacks, filled with its default; columns it has stay as they are."""
     return df.withColumns({n: c for n, c in added.items() if n not in df.columns})

@@ -29,30 +29,31 @@ def distinct_ids(stream: DataFrame, key: str, ts: str = "ts", late: str = "1 hou
 def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 16):
     """A foreachBatch function that keeps the last row of each key in the table of buckets at path.
 
-    A batch writes the buckets that it touches, as one state under its number; a replayed batch writes the same state again.
+    A batch writes the buckets that it touches as one more state; a replayed batch changes nothing.
     """
 
-    def apply(batch: DataFrame, number: int) -> None:
-        merge(latest(batch, keys, order), path, keys, order, number, buckets)
+    def apply(batch: DataFrame, _: int) -> None:
+        merge(latest(batch, keys, order), path, keys, order, buckets)
 
     return apply
 
 
-def with_late(on_time: str, late: str, ts: str, minutes: int):
+def with_late(on_time: str, late: str, ts: str, minutes: int, run: str = "first"):
     """A foreachBatch function that writes rows to on_time, or to late when they are `minutes` behind the batches before.
 
     Each batch has a folder of its own, overwritten when it is replayed, and one row with its greatest time beside it.
+    run: a name that stays as long as the stream's checkpoint does; with a new checkpoint, numbers begin again.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        marks, path = spark.createDataFrame([], "number long, seen timestamp"), f"{on_time}-seen"
+        marks, path = spark.createDataFrame([], "number long, seen timestamp"), f"{on_time}-seen/run={run}"
         if number:
             marks = spark.read.schema("seen timestamp, number long").parquet(path)
         seen = marks.where(F.col("number") < number).agg(F.max("seen")).first()[0]
         is_late = F.lit(False) if seen is None else F.coalesce(F.col(ts) < F.lit(seen) - F.expr(f"interval {minutes} minutes"), F.lit(False))
-        batch.where(~is_late).write.mode("overwrite").parquet(f"{on_time}/number={number}")
-        batch.where(is_late).write.mode("overwrite").parquet(f"{late}/number={number}")
+        batch.where(~is_late).write.mode("overwrite").parquet(f"{on_time}/run={run}/number={number}")
+        batch.where(is_late).write.mode("overwrite").parquet(f"{late}/run={run}/number={number}")
         batch.agg(F.max(ts).alias("seen")).write.mode("overwrite").parquet(f"{path}/number={number}")
 
     return apply

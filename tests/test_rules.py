@@ -196,13 +196,18 @@ def test_unreadable_files_are_an_error_or_empty(spark, tmp_path):
 
 def test_merge_writes_touched_buckets_and_may_be_replayed(spark, tmp_path):
     path, schema = str(tmp_path / "m"), "id long, v string, at long"
-    put = lambda rows, n: tables.merge(spark.createDataFrame(rows, schema), path, ["id"], ["at"], n, 4)
-    put([(i, "a", 0) for i in range(20)], 0)
+    put = lambda rows: tables.merge(spark.createDataFrame(rows, schema), path, ["id"], ["at"], 4)
+    put([(i, "a", 0) for i in range(20)])
     for _ in range(2):
-        put([(3, "b", 1), (99, "new", 1)], 1)
+        put([(3, "b", 1), (99, "new", 1)])
+    assert len([x for x in (tmp_path / "m" / "state-1").iterdir() if x.name.startswith("bucket=")]) <= 2
+    (tmp_path / "m" / "state-3" / "bucket=0").mkdir(parents=True)  # a write that broke off
+    kind = spark.createDataFrame([], schema).schema
+    before = sorted(map(tuple, tables.merged(spark, path, kind).collect()))
+    tables.compact(spark, path, kind, ["id"], 4)
+    assert sorted(map(tuple, tables.merged(spark, path, kind).collect())) == before and len(tables.states(spark, path)) == 1
     got = {r.id: r.v for r in tables.merged(spark, path, spark.createDataFrame([], schema).schema).collect()}
     assert len(got) == 21 and got[3] == "b" and got[4] == "a" and got[99] == "new"
-    assert len([x for x in (tmp_path / "m" / "state-1").iterdir() if x.name.startswith("bucket=")]) <= 2
 
 
 def test_late_rows_and_a_replayed_batch(spark, tmp_path):
