@@ -121,6 +121,31 @@ def repeated_shingles(docs: DataFrame, common, repeated, width: int, percent: in
     return docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
+def bucket_counts(h) -> bytes:
+    """How many shingles of a set fall into each bucket: a byte each, or four where a byte is too small."""
+    import numpy as np
+
+    n = np.bincount((h >> np.uint64(24)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+    return n.astype("u1" if n.max() < 256 else "<u4").tobytes()
+
+
+def counts_of(column):
+    """An Arrow column of bucket_counts() as rows of numbers."""
+    import numpy as np
+
+    rows = column.to_pylist()
+    if all(len(x) == BUCKETS for x in rows):
+        return np.frombuffer(b"".join(rows), "u1").reshape(-1, BUCKETS)
+    return np.stack([np.frombuffer(x, "u1" if len(x) == BUCKETS else "<u4").astype(np.uint32) for x in rows])
+
+
+def may_overlap(a, b, total, percent: int):
+    """Whether two sets of `total` shingles together may overlap by percent, from their counts by bucket."""
+    import numpy as np
+
+    return (100 + percent) * np.minimum(a, b).sum(axis=1, dtype=np.int64) >= percent * total
+
+
 SKETCH = "node long, n long, fp long, prefix array<struct<h:long,at:long>>, buckets binary"
 
 
@@ -140,7 +165,7 @@ def sketches(docs: DataFrame, common, repeated, several, width: int, percent: in
                 h = shingles(x, width)
                 first = prefix_of(h, frequency(h, common.value, repeated.value), percent)
                 at = np.flatnonzero(marked(first, several.value))
-                counts = np.bincount((h >> np.uint64(24)).astype(np.int64) % BUCKETS, minlength=BUCKETS).astype("<u4").tobytes() if len(at) else None
+                counts = bucket_counts(h) if len(at) else None
                 for column, value in zip(out, (node_of(h), len(h), set_print(h), first[at].view(np.int64), at, counts)):
                     column.append(value)
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:3]]
@@ -208,17 +233,18 @@ def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 20
     """(u, v): pairs of nodes that share a shingle of their prefixes and whose sizes allow the overlap; u > v.
 
     In the first round a shingle of more than `hot` nodes is dealt out at random; the second one has only shingles whose
-    nodes are in several components by then, and tries all pairs across these.
+    nodes are in several components by then, and tries all pairs across these. Its rows carry the counts by bucket, so
+    that of a large group only pairs that may overlap enough come out.
     """
-    rows, salt = nodes.select("node", "n", "fp", "label", F.explode("prefix").alias("p")), F.lit(0)
-    rows = rows.select("node", "n", "fp", "label", "p.h", "p.at")
+    own, salt = ["node", "n", "fp", "label", *([] if first else ["buckets"])], F.lit(0)
+    rows = nodes.select(*own, F.explode("prefix").alias("p")).select(*own, "p.h", "p.at")
     sizes = rows.groupBy("h").agg(F.count("*").alias("of_h"), F.min("label").alias("low"), F.max("label").alias("high"))
     if not first:
         rows = rows.join(sizes.where("low <> high").select("h"), "h", "left_semi")
     elif not (wide := kept(sizes.where(F.col("of_h") > hot).select("h", "of_h"), "near-hot")).isEmpty():
         rows = rows.join(wide, "h", "left")
         salt = F.coalesce(F.pmod(F.xxhash64("h", "node"), F.floor(F.col("of_h") / hot) + 1), F.lit(0))
-    rows = rows.withColumn("h", F.when(salt == 0, F.col("h")).otherwise(F.xxhash64("h", salt))).select("node", "n", "fp", "label", "h", "at")
+    rows = rows.withColumn("h", F.when(salt == 0, F.col("h")).otherwise(F.xxhash64("h", salt))).select(*own, "h", "at")
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shards = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // shard_rows + 1)
 
@@ -234,11 +260,17 @@ def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 20
         twin[:-1] |= twin[1:]
         order, h = order[twin], h[twin]
         node, n, fp, label, at = node[order], n[order], fp[order], label[order], at[order]
+        counts = None if first or not len(order) else counts_of(table.column("buckets").take(pa.array(order)))
         found = [np.zeros((0, 2), np.int64)]
         for i, j in [star_pairs(h, fp)] if first else all_pairs(h, label):
             # at the first shingle that they share, all that they share is still to come
             fit = (100 + percent) * np.minimum(n[i] - at[i], n[j] - at[j]) >= percent * (n[i] + n[j])
-            a, b = node[i[fit]], node[j[fit]]
+            i, j = i[fit], j[fit]
+            if counts is not None:
+                near = [may_overlap(counts[i[k : k + 20_000]], counts[j[k : k + 20_000]], (n[i] + n[j])[k : k + 20_000], percent) for k in range(0, len(i), 20_000)]
+                near = np.concatenate([np.zeros(0, bool), *near])
+                i, j = i[near], j[near]
+            a, b = node[i], node[j]
             if len(a):
                 found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -272,13 +304,13 @@ def possible(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "b_u", "b_v")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BUCKETS) for c in ("b_u", "b_v"))
-            most, size = np.minimum(a, b).sum(axis=1, dtype=np.int64), batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
-            yield batch.select(["u", "v"]).filter(pa.array((100 + percent) * most >= percent * size))
+            if batch.num_rows:
+                a, b = (counts_of(batch.column(c)) for c in ("b_u", "b_v"))
+                near = may_overlap(a, b, batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy(), percent)
+                yield batch.select(["u", "v"]).filter(pa.array(near))
 
     return both.mapInArrow(run, "u long, v long")
 

@@ -88,3 +88,13 @@ def test_columns_with_the_names_used_inside(spark):
 def test_ids_of_text(spark):
     rows = [("b", "a b c d e f"), ("a", "a b c d e f"), ("c", "g h")]
     assert sorted(r.doc_id for r in N.representatives(spark.createDataFrame(rows, "doc_id string, text string")).collect()) == ["a", "c"]
+
+
+def test_counts_of_small_and_large_sets():
+    import numpy as np
+    import pyarrow as pa
+
+    small, large = np.arange(50, dtype=np.uint64) << np.uint64(24), np.zeros(300, np.uint64)
+    got = N.counts_of(pa.array([N.bucket_counts(small), N.bucket_counts(large)], pa.binary()))
+    assert got.sum(axis=1).tolist() == [50, 300] and got[1, 0] == 300
+    assert N.may_overlap(got[:1], got[:1], np.array([100]), 80).tolist() == [True] and N.may_overlap(got[:1], got[1:], np.array([350]), 80).tolist() == [False]
