@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, packing, quality_rules, repeats, secrets, simhash, suffix_tree, token_counts, toxicity
+from . import decontaminate, kneser_ney, packing, periodic_runs, quality_rules, repeats, secrets, simhash, suffix_tree, token_counts, toxicity
 from .common import table
 
 #: Sources get windows by their tokens to this power: less of the largest ones, more of the small, than in the corpus.
@@ -54,6 +55,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def digested_runs(found: DataFrame) -> DataFrame:
+    """Of what periodic_runs() returns, the numbers and digests of the runs and of the collapsed text."""
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested_runs(periodic_runs.periodic_runs(periodic_runs.repeated_tail(table(spark, sf_dir, "documents"))))
+
+
 def base_quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op9 returns of each text before the learned rules: the part that SQL can check."""
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -76,6 +90,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
     "base_quality_stats": base_quality_stats,
     "base_secret_counts": base_secret_counts,
 }
