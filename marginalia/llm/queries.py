@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, packing, periodic_runs, quality_rules, repeats, secrets, simhash, suffix_tree, token_counts, toxicity
+from . import decontaminate, kneser_ney, merkle, packing, periodic_runs, quality_rules, repeats, secrets, simhash, suffix_tree, token_counts, toxicity
 from .common import table
 
 #: Sources get windows by their tokens to this power: less of the largest ones, more of the small, than in the corpus.
@@ -68,6 +68,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested_runs(periodic_runs.periodic_runs(periodic_runs.repeated_tail(table(spark, sf_dir, "documents"))))
 
 
+def checked_proofs(found: DataFrame) -> DataFrame:
+    """Of what proofs() returns, the digest of the siblings and the root that the tampered leaf folds to."""
+    folded = found.withColumn("folded_root", merkle.folded(F.col("tampered_leaf"), F.col("way")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("way")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked_proofs(merkle.proofs(table(spark, sf_dir, "documents")))
+
+
 def base_quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op9 returns of each text before the learned rules: the part that SQL can check."""
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -91,13 +101,38 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "base_quality_stats": base_quality_stats,
     "base_secret_counts": base_secret_counts,
 }
 
 _WS = "[\\x20\\x09-\\x0D]"
 _EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_FIELD = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}"))
 ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": f"""WITH RECURSIVE bits AS (SELECT range AS n, range AS c, 0 AS k FROM range(256) UNION ALL
+            SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY n) AS crc FROM bits WHERE k = 8),
+        d AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 AS even FROM documents, crc),
+        h AS (SELECT doc_id, source, sha256({_LEAF.format(text="text")}) AS leaf, sha256({_LEAF.format(text="CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")}) AS changed FROM d),
+        l AS (SELECT *, row_number() OVER o - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM h WINDOW o AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+        t AS (SELECT source, 0 AS level, r AS i, leaf AS h, n FROM l UNION ALL
+            SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY source, level, i // 3, n),
+        s AS (SELECT source, h AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r FROM t WHERE n = 1),
+        u AS (SELECT 0 AS level, r AS i, subroot AS h, (SELECT count(*) FROM s) AS n FROM s UNION ALL
+            SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3, n),
+        a AS (SELECT l.source, l.r, t.level, coalesce(string_agg(t.h, '' ORDER BY i) FILTER (i < l.r // (3 ** t.level)::BIGINT), '') AS lh, coalesce(string_agg(t.h, '' ORDER BY i) FILTER (i > l.r // (3 ** t.level)::BIGINT), '') AS rh
+            FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source AND t.n > 1 AND t.i // 3 = l.r // (3 ** (t.level + 1))::BIGINT GROUP BY ALL),
+        b AS (SELECT s.source, u.level, coalesce(string_agg(u.h, '' ORDER BY i) FILTER (i < s.r // (3 ** u.level)::BIGINT), '') AS lh, coalesce(string_agg(u.h, '' ORDER BY i) FILTER (i > s.r // (3 ** u.level)::BIGINT), '') AS rh
+            FROM s JOIN u ON u.n > 1 AND u.i // 3 = s.r // (3 ** (u.level + 1))::BIGINT GROUP BY ALL),
+        w AS (SELECT source, r, list(lh || '|' || rh ORDER BY level) AS x FROM a GROUP BY ALL),
+        v AS (SELECT source, list(lh || '|' || rh ORDER BY level) AS x FROM b GROUP BY ALL),
+        p AS (SELECT l.doc_id, l.leaf, l.changed, s.subroot, (SELECT h FROM u WHERE n = 1) AS root, list_concat(coalesce(w.x, []), coalesce(v.x, [])) AS x
+            FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source LEFT JOIN w ON l.source IS NOT DISTINCT FROM w.source AND l.r = w.r LEFT JOIN v ON l.source IS NOT DISTINCT FROM v.source),
+        f AS (SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(x, ''), '|', '')) AS proof_sha256,
+            list_reduce(list_prepend(changed, x), lambda acc, y: sha256(split_part(y, '|', 1) || acc || split_part(y, '|', 2))) AS folded_root FROM p)
+        SELECT *, folded_root = root AS verified FROM f""",
     "base_quality_stats": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         s AS (SELECT *, list_filter(regexp_split_to_array(t, '{_WS}+'), lambda w: w <> '') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
         w AS (SELECT r, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM s),
