@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, merkle, packing, periodic_runs, quality_rules, repeats, secrets, simhash, suffix_tree, token_counts, toxicity
+from . import decontaminate, embeddings, kneser_ney, merkle, packing, periodic_runs, quality_rules, repeats, secrets, simhash, suffix_tree, token_counts, toxicity
 from .common import table
 
 #: Sources get windows by their tokens to this power: less of the largest ones, more of the small, than in the corpus.
@@ -68,6 +68,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested_runs(periodic_runs.periodic_runs(periodic_runs.repeated_tail(table(spark, sf_dir, "documents"))))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def checked_proofs(found: DataFrame) -> DataFrame:
     """Of what proofs() returns, the digest of the siblings and the root that the tampered leaf folds to."""
     folded = found.withColumn("folded_root", merkle.folded(F.col("tampered_leaf"), F.col("way")))
@@ -101,6 +105,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
     "base_quality_stats": base_quality_stats,
     "base_secret_counts": base_secret_counts,
@@ -111,6 +116,12 @@ _EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in wo
 _FIELD = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
 _LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}"))
 ORACLES: dict[str, str] = {
+    "op12_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        c AS (SELECT r AS a, r AS b, vec_id AS id FROM v UNION SELECT c.a, p.b, p.id FROM c JOIN p ON c.b = p.a),
+        m AS (SELECT a, min(id) AS component_id FROM c GROUP BY a), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m ON v.r = m.a LEFT JOIN n ON v.r = n.a""",
     "op13_merkle_manifest": f"""WITH RECURSIVE bits AS (SELECT range AS n, range AS c, 0 AS k FROM range(256) UNION ALL
             SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
         crc AS (SELECT list(c ORDER BY n) AS crc FROM bits WHERE k = 8),
