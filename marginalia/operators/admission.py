@@ -22,6 +22,23 @@ def cost(endpoint: Column, costs: dict[str, int] = COSTS, default: int = COST) -
     return out.cast("long")
 
 
+def window_hits(ms, start, n: int, window_ms: int):
+    """(hits, starts, start, n) of one key's sorted times after a window that began at start (or None) and has n requests.
+
+    hits: each request's number within its window; starts: when that window began. A window costs one binary search.
+    """
+    import numpy as np
+
+    hits, starts, lo = np.zeros(len(ms), np.int64), np.zeros(len(ms), np.int64), 0
+    while lo < len(ms):
+        if start is None or ms[lo] - start > window_ms:
+            start, n = int(ms[lo]), 0
+        end = lo + max(1, int(np.searchsorted(ms[lo:], start + window_ms, "right")))
+        hits[lo:end], starts[lo:end] = n + 1 + np.arange(end - lo), start
+        n, lo = n + end - lo, end
+    return hits, starts, start, n
+
+
 def rate_limited(requests: DataFrame, window_ms: int = 60_000, most: int = 20, key: str = "ip") -> DataFrame:
     """Each request with `rate_ok` and `retry_after`. A key's window starts at a request and lasts until one comes more than window_ms later.
 

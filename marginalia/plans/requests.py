@@ -38,8 +38,11 @@ def admission(d: Domain) -> DataFrame:
     return A.admitted(d.requests(), WINDOW_MS, MOST, LIMIT).select("event_id", "reason", "allowed")
 
 
-@query(sql("""SELECT event_id, CAST(pending AS BIGINT) AS pending, delta > 0 AND pending >= 20 AS rejected FROM (SELECT event_id, delta, coalesce(sum(delta) OVER (PARTITION BY kind, CAST(updated_at AS DATE) ORDER BY updated_at, event_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pending FROM (SELECT *, CASE status WHEN 'queued' THEN 1 WHEN 'processing' THEN 1 ELSE -1 END AS delta FROM transitions))"""))
+_OVERLOAD = sql("""SELECT event_id, CAST(pending AS BIGINT) AS pending, delta > 0 AND pending >= 20 AS rejected FROM (SELECT event_id, delta, coalesce(sum(delta) OVER (PARTITION BY kind, CAST(updated_at AS DATE) ORDER BY updated_at, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pending FROM (SELECT *, CASE status WHEN 'queued' THEN 1 WHEN 'processing' THEN 1 ELSE -1 END AS delta FROM transitions))""")
+
+
+@query(_OVERLOAD)
 def queue_overload(d: Domain) -> DataFrame:
     changes = d.transitions().select(F.col("kind").alias("queue"), F.to_date("updated_at").alias("day"), F.col("updated_at").alias("ts"), "event_id", F.when(F.col("status").isin("queued", "processing"), 1).otherwise(-1).alias("delta"))
     return A.overloaded(changes, 20).select("event_id", F.col("pending").cast("long").alias("pending"), "rejected")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.sources.tables import merged, scratch
-from marginalia.streaming import jobs
+from marginalia.streaming import jobs, stateful
 
 from .domain import SQL_FMT, Domain, said, sql
 from .registry import query
-from .requests import _LATEST, _RATED, _SPENT, LIMIT, MOST, WINDOW_MS
+from .requests import _LATEST, _OVERLOAD, _RATED, _SPENT, LIMIT, MOST, WINDOW_MS
 
 FILES = 4  # of a micro-batch
 
@@ -61,15 +61,40 @@ def stream_rate_limit(d: Domain) -> DataFrame:
 @query(sql(f"SELECT event_id, CASE WHEN NOT rate_ok THEN 'rate' WHEN is_admin THEN 'admin' WHEN used <= {LIMIT} OR k = 1 THEN 'ok' ELSE 'budget' END AS reason FROM (SELECT requests.*, hits <= {MOST} AS rate_ok FROM requests JOIN r USING (event_id)) q "
     f"LEFT JOIN (SELECT event_id, {_SPENT} AS used, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM requests JOIN (SELECT event_id FROM r WHERE hits <= {MOST}) USING (event_id) WHERE NOT is_admin) b USING (event_id)", _RATED))
 def stream_admission(d: Domain) -> DataFrame:
-    """Two streams, one after another: the rate by address, then the budget by user of what the first lets through and is no administrator's."""
-    rows, rated_at, spent_at = d.requests(), scratch(d.spark, "rated"), scratch(d.spark, "spent")
-    jobs.run_once(jobs.rate_limited(_replayed(d, rows, "ts"), WINDOW_MS, MOST), scratch(d.spark, "stream-state"), to=rated_at)
-    rated = rows.join(d.spark.read.schema("event_id long, rate_ok boolean").parquet(rated_at), "event_id")
-    passed = rated.where("rate_ok and not is_admin").select(rows.columns)
-    jobs.run_once(jobs.budgeted(_replayed(d, passed, "ts"), LIMIT), scratch(d.spark, "stream-state"), to=spent_at)
-    out = rated.join(d.spark.read.schema("event_id long, budget_ok boolean").parquet(spent_at), "event_id", "left")
-    ok = F.coalesce("budget_ok", F.lit(True))  # requests of no user
-    return out.select("event_id", F.when(~F.col("rate_ok"), "rate").when(F.col("is_admin"), "admin").when(ok, "ok").otherwise("budget").alias("reason"))
+    """One stream of two chained processors: the rate by address, then the budget by user of what the first lets through and is no administrator's."""
+    out = scratch(d.spark, "admitted")
+    reasons = stateful.admitted(_replayed(d, d.requests(), "ts"), WINDOW_MS, MOST, LIMIT)
+    with stateful.rocksdb(d.spark):
+        jobs.run_once(reasons, scratch(d.spark, "stream-state"), to=out)
+    return d.spark.read.schema(reasons.schema).parquet(out).select("event_id", "reason")
+
+
+def _task_changes(d: Domain) -> DataFrame:
+    return d.transitions().withColumnRenamed("updated_at", "ts")
+
+
+@query(sql("""SELECT task_id, kind, strftime(updated_at, {}) AS changed FROM (SELECT *, lead(updated_at) OVER (PARTITION BY task_id, kind ORDER BY updated_at, event_id) AS next FROM transitions)
+    WHERE epoch_us(coalesce(next, (SELECT max(ts) FROM events))) // 1000 - epoch_us(updated_at) // 1000 > CASE kind WHEN 'paper' THEN 48 ELSE 24 END * 3600000""".format(SQL_FMT)))
+def stream_expired(d: Domain) -> DataFrame:
+    """States of tasks that outlive their time, each by a timer; the signal at the end moves the watermark to the last event's time."""
+    rows, out = _task_changes(d), scratch(d.spark, "expired")
+    signal = rows.orderBy(F.desc("ts")).limit(1).withColumns({"task_id": F.lit(-1).cast("long"), "ts": F.col("ts") + F.expr("interval 1 hour")})
+    hours = F.when(F.col("kind") == "paper", 48).otherwise(24)
+    over = stateful.expiries(_replayed(d, rows, "ts", signal), hours * 3_600_000)
+    with stateful.rocksdb(d.spark):
+        jobs.run_once(over, scratch(d.spark, "stream-state"), to=out)
+    return d.spark.read.schema(over.schema).parquet(out).where("task_id >= 0").select("task_id", "kind", said("changed").alias("changed"))
+
+
+@query(_OVERLOAD)
+def stream_overload(d: Domain) -> DataFrame:
+    """Depths of the queues by a counter for each queue and day; equal to the batch form's."""
+    out, delta = scratch(d.spark, "depths"), F.when(F.col("status").isin("queued", "processing"), 1).otherwise(-1)
+    rows = _task_changes(d).select(F.col("kind").alias("queue"), "ts", "event_id", delta.alias("delta"))
+    found = stateful.depths(_replayed(d, rows, "ts"), 20)
+    with stateful.rocksdb(d.spark):
+        jobs.run_once(found, scratch(d.spark, "stream-state"), to=out)
+    return d.spark.read.schema(found.schema).parquet(out)
 
 
 @query(sql("""SELECT event_id, event_id % 50 = 0 AND ts < (SELECT max(ts) FROM requests WHERE event_id % 50 <> 0 AND epoch_us(ts) <= b.high) - INTERVAL 60 MINUTE AS is_late

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: daily counts, upserts, late rows, rate limits and budgets, each equal to its batch form on the same rows."""
+"""Structured Streaming forms: daily counts, upserts, late rows and rate limits, each equal to its batch form on the same rows."""
 
 from __future__ import annotations
 
@@ -85,34 +85,6 @@ def rate_limited(stream: DataFrame, window_ms: int = 60_000, most: int = 20, key
     return rows.groupBy(key).applyInPandasWithState(step, "event_id long, rate_ok boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def budgeted(stream: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
-    """event_id and budget_ok of each request of a user; state: the day and its tokens, dropped when the day is over.
-
-    A day's first request always passes, refused ones count. Requests of no user pass and have no state.
-    """
-    import pandas as pd
-
-    day_ms = 86_400_000
-
-    def step(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])  # of one micro-batch
-        day, used = state.get if state.exists else (None, 0)
-        ok = []
-        for ms, tokens in zip(rows["ms"].tolist(), rows["tokens"].tolist()):
-            first = ms // day_ms != day
-            day, used = ms // day_ms, tokens + (0 if first else used)
-            ok.append(first or used <= limit)
-        state.update((day, used))
-        state.setTimeoutTimestamp(max((day + 1) * day_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "budget_ok": ok})
-
-    rows = stream.withWatermark("ts", "1 hour").where(F.col(key).isNotNull()).select(key, "event_id", F.unix_millis("ts").alias("ms"), "tokens", "ts")
-    return rows.groupBy(key).applyInPandasWithState(step, "event_id long, budget_ok boolean", "day long, used long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def run_once(stream: DataFrame, checkpoint: str, *, to: str | None = None, each=None) -> None:
     """Process what is there now, into Parquet files that a replay doesn't double, or by a function of each micro-batch."""
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
