@@ -12,6 +12,11 @@ UNKNOWN = "未知"
 SUBJECTS = ("数学", "物理", "化学", "英语", "生物", "语文")
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def falsy(value: Column, zero, default) -> Column:
     """default where value is null or its type's empty value (0 or '')."""
     return F.when(value.isNull() | (value == F.lit(zero)), F.lit(default)).otherwise(value)

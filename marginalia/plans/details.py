@@ -219,15 +219,17 @@ def budget_eviction(d: Domain) -> DataFrame:
     return A.evicted(states, F.lit(rows.agg(F.max(F.to_date("ts"))).first()[0])).select("user_id", "used")
 
 
-@query(sql("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '未知' ELSE 'k' || CAST(json_extract(props, '$.k') AS BIGINT) END AS error_type, CAST(CASE WHEN event_id % 3 = 0 THEN 3 ELSE event_id % 5 + 1 END AS BIGINT) AS difficulty FROM events"))
+@query(sql("""SELECT event_id, CASE WHEN u THEN '未知' ELSE 'k' || k END AS error_type, CAST(CASE WHEN u THEN 3 ELSE event_id % 5 + 1 END AS BIGINT) AS difficulty, CASE WHEN u THEN 'AI 分析第' || (event_id // 4 + 1) || '批第' || (event_id % 4 + 1) || '题时返回格式异常，请重试' ELSE 'd' || k END AS diagnosis,
+    CASE WHEN u THEN '' ELSE 's' || k END AS solution, CASE WHEN u THEN '' ELSE coalesce(NULL, '-') END AS mnemonic, CAST(CASE WHEN u THEN 0 ELSE 1 END AS BIGINT) AS cards FROM (SELECT event_id, event_id % 3 = 0 AS u, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""))
 def batch_placeholders(d: Domain) -> DataFrame:
-    """Every event of a batch with what its answer says, or a placeholder where no answer can be read."""
+    """Every event of a batch with what its answer says, or a placeholder where no answer can be read; what an answer leaves out stays null."""
     k = F.get_json_object("props", "$.k")
-    answer = F.when(F.col("event_id") % 3 == 0, "no json").otherwise(F.concat(F.lit('```json\n[{"error_type":"k'), k, F.lit('","difficulty":'), (F.col("event_id") % 5 + 1).cast("string"), F.lit("}]\n```")))
-    rows = d.read("events").select("event_id", answer.alias("answer"))
-    got, level = documents.repaired_array(F.col("answer"), "struct<error_type:string,difficulty:bigint>")
-    parsed = rows.select("event_id", level.alias("level"), F.get(got, F.lit(0)).alias("x")).where("level < 5").select("event_id", "x.error_type", "x.difficulty")
-    return documents.with_placeholders(rows.drop("answer"), parsed, ["event_id"])
+    said = F.concat(F.lit('```json\n[{"error_type":"k'), k, F.lit('","diagnosis":"d'), k, F.lit('","solution":"s'), k, F.lit('","knowledge_cards":[{"concept":"c'), k, F.lit('"}],"difficulty":'), (F.col("event_id") % 5 + 1).cast("string"), F.lit("}]\n```"))
+    rows = d.read("events").select("event_id", (F.floor(F.col("event_id") / 4) + 1).alias("batch"), (F.col("event_id") % 4 + 1).alias("place"), F.when(F.col("event_id") % 3 == 0, "no json").otherwise(said).alias("answer"))
+    got, level = documents.repaired_array(F.col("answer"), "struct<error_type:string,diagnosis:string,solution:string,mnemonic:string,knowledge_cards:array<struct<concept:string>>,difficulty:bigint>")
+    parsed = rows.select("event_id", level.alias("level"), F.get(got, F.lit(0)).alias("x")).where("level < 5").select("event_id", "x.*")
+    out = documents.with_placeholders(rows.drop("answer"), parsed, ["event_id"])
+    return out.select("event_id", "error_type", "difficulty", "diagnosis", "solution", F.coalesce("mnemonic", F.lit("-")).alias("mnemonic"), F.size("knowledge_cards").cast("long").alias("cards"))
 
 
 @query(sql("SELECT id, total_score FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM records WHERE (created_at, id) < (SELECT (created_at, id) FROM records ORDER BY created_at DESC, id DESC LIMIT 1 OFFSET 40)) WHERE n <= 20"))

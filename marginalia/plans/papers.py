@@ -166,7 +166,7 @@ _RAW = " + ".join(f"n_chars % {7 + i} + 5" for i in range(5))
 @query(sql(f"""SELECT id, total_score, CASE WHEN total_score > 30 THEN '二类卷' ELSE '三类卷' END AS grade, n_chars AS word_count, {_RAW} AS raw_score, {_RAW} - 2 - n_chars % 4 AS adjusted_score, {", ".join(f"n_chars % {7 + i} + 5 AS d{i}" for i in range(5))},
     '理由' || (n_chars % 7 + 5) AS reason, CAST(1 AS BIGINT) AS n_plus, CAST(2 AS BIGINT) AS n_minus, -5 - n_chars % 4 AS minus, '新句' || id AS suggested, '多写' || id % 5 AS advice FROM records"""))
 def report_extract(d: Domain) -> DataFrame:
-    r = reports(d).select("id", *[c.alias(n) for n, c in documents.report(F.col("content")).items()])
+    r = documents.reports(reports(d).drop("total_score"))
     dims = [F.col("dimensions")[n]["score"].alias(f"d{i}") for i, n in enumerate(documents.DIMENSIONS)]
     minus = F.aggregate("adjustments.minus", F.lit(0).cast("long"), lambda a, x: a + x["points"])
     return r.select(
@@ -179,9 +179,8 @@ def report_extract(d: Domain) -> DataFrame:
 def report_audit(d: Domain) -> DataFrame:
     """Every third report states a sum of dimensions that is not theirs."""
     wrong = F.regexp_replace("content", r"(维度得分之和\*\*：)\d+", "维度得分之和**：9")
-    rows = reports(d).withColumn("content", F.when(F.col("id") % 3 == 0, wrong).otherwise(F.col("content")))
-    r = rows.select("id", *[c.alias(n) for n, c in documents.report(F.col("content")).items()])
-    return documents.audited(r).select("id", "dims_agree", "adjusted_agree", "total_agree")
+    rows = reports(d).select("id", F.when(F.col("id") % 3 == 0, wrong).otherwise(F.col("content")).alias("content"))
+    return documents.audited(documents.reports(rows)).select("id", "dims_agree", "adjusted_agree", "total_agree")
 
 
 @query(sql("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 5 END AS level, CASE event_id % 5 WHEN 4 THEN 0 ELSE 1 END AS n, CASE event_id % 5 WHEN 4 THEN -1 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,

@@ -27,13 +27,13 @@ def whole_reports(d: Domain) -> DataFrame:
 
 
 def read(d: Domain) -> DataFrame:
-    return whole_reports(d).select("id", *[c.alias(n) for n, c in documents.report(F.col("content")).items()])
+    return documents.reports(whole_reports(d).drop("total_score"))
 
 
 @query(sql("""SELECT id, 'plus' AS side, '亮点' AS reason, CAST(2 AS BIGINT) AS points FROM records UNION ALL SELECT id, 'minus', '缺点1', -3 FROM records UNION ALL SELECT id, 'minus', '缺点2', -4 FROM records WHERE id % 2 = 1"""))
 def report_adjustments(d: Domain) -> DataFrame:
-    side = lambda name: read(d).select("id", F.lit(name).alias("side"), F.explode(f"adjustments.{name}").alias("x"))
-    return side("plus").unionByName(side("minus")).select("id", "side", "x.reason", "x.points")
+    side = lambda name: F.transform(f"adjustments.{name}", lambda x: F.struct(F.lit(name).alias("side"), x["reason"].alias("reason"), x["points"].alias("points")))
+    return read(d).select("id", F.inline(F.concat(side("plus"), side("minus"))))
 
 
 @query(sql("""SELECT id, CAST(k AS BIGINT) AS k, '类' || k AS category, '第' || id || '段' AS location, '旧' || id AS original, '新' || k AS suggested, '更好' AS reason FROM records, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= id % 3 + 1"""))
@@ -50,3 +50,40 @@ def report_texts(d: Domain) -> DataFrame:
         "id", "total_score", F.col("one_sentence_summary").alias("summary"), "grading_reason", "overall", strengths.alias("strengths"), "upgrade_path.to_class2", "upgrade_path.to_class1",
         F.coalesce("parse_error", F.lit("")).alias("parse_error"), "grade",
     )
+
+
+def broken_reports(d: Domain) -> DataFrame:
+    """A report for each record, by id % 6: whole, a section missing, one twice, half-width marks, labels without values, a full score of 0."""
+    i, v, n = F.col("id").cast("string"), F.col("id") % 6, (F.col("n_chars") % 19 + 1).cast("string")
+    by = lambda plain, **other: F.when(v == 3, other["half"]).when(v == 4, other.get("empty", plain)).otherwise(plain)
+    score = by(F.concat(F.lit("最终得分："), F.col("total_score").cast("string"), F.lit("分\n")), half=F.concat(F.lit("最终得分: "), F.col("total_score").cast("string"), F.lit("分\n")), empty=F.lit("最终得分：\n"))
+    head = lambda name, n: by(F.concat(F.lit(f"#### {name}（"), n, F.lit("/"), F.when(v == 5, "0").otherwise("25"), F.lit("分）\n")), half=F.concat(F.lit(f"#### {name}("), n, F.lit("/25)\n")))
+    body = lambda word: by(F.concat(F.lit(f"- {word}"), i, F.lit("\n- **扣分原因**：因"), i, F.lit("\n")), half=F.concat(F.lit(f"- {word}"), i, F.lit("\n- **扣分原因**: 因"), i, F.lit("\n")), empty=F.concat(F.lit(f"- {word}"), i, F.lit("\n- **扣分原因**：\n")))
+    first = F.concat(head("审题立意", n), body("切题"))
+    twice = F.when(v == 2, F.concat(head("审题立意", F.lit("3")), body("再评"))).otherwise("")
+    second = F.when(v == 1, "").otherwise(F.concat(head("结构布局", F.lit("9")), F.lit("\n")))
+    revision = F.concat(F.lit("#### 修改 1：语言\n**位置**：首段\n**原文**：旧\n"), by(F.lit("**问题分析**：因\n"), half=F.lit("**问题分析**: 因\n"), empty=F.lit("**问题分析**：\n")), F.lit("**修改建议**：新\n**修改理由**：好\n"))
+    return d.records().select("id", F.concat(score, F.lit("\n"), first, second, twice, revision).alias("content"))
+
+
+@query(sql("""SELECT id, v = 4 OR total_score = 0 AS unscored, CASE WHEN v = 4 THEN 0 ELSE total_score END AS total_score, n_chars % 19 + 1 AS score, CAST(CASE WHEN v = 5 THEN 20 ELSE 25 END AS BIGINT) AS "full", '切题' || id || chr(10) || CASE v WHEN 3 THEN '扣分原因**: 因' || id WHEN 4 THEN '扣分原因**：' ELSE '扣分原因**：因' || id END AS evaluation,
+    CASE WHEN v = 4 THEN '' ELSE '因' || id END AS reason, CAST(CASE WHEN v = 1 THEN 1 ELSE 2 END AS BIGINT) AS dimensions, CASE WHEN v = 1 THEN '' ELSE '暂无评价' END AS bare, CAST(CASE WHEN v = 4 THEN 0 ELSE 1 END AS BIGINT) AS revisions FROM (SELECT *, id % 6 AS v FROM records)"""))
+def report_sections(d: Domain) -> DataFrame:
+    """Reports with missing, repeated, half-width and empty parts; a repeated section counts where it stands first."""
+    r, dim = documents.reports(broken_reports(d)), F.col("dimensions")["审题立意"]
+    return r.select(
+        "id", (F.coalesce("parse_error", F.lit("")) != "").alias("unscored"), "total_score", dim["score"].alias("score"), dim["full"].alias("full"), dim["evaluation"].alias("evaluation"), dim["deduction_reason"].alias("reason"),
+        F.size("dimensions").cast("long").alias("dimensions"), F.coalesce(F.col("dimensions")["结构布局"]["evaluation"], F.lit("")).alias("bare"), F.size("revisions").cast("long").alias("revisions"),
+    )
+
+
+@query(sql("""SELECT id, heading, label, CAST(count(*) AS BIGINT) AS n, max(value) AS value FROM (
+    SELECT id, '' AS heading, '最终得分' AS label, CASE WHEN v = 4 THEN '' ELSE total_score || '分' END AS value FROM b
+    UNION ALL SELECT id, CASE WHEN v = 3 THEN '审题立意(' || s || '/25)' WHEN v = 5 THEN '审题立意（' || s || '/0分）' ELSE '审题立意（' || s || '/25分）' END, '扣分原因', CASE WHEN v = 4 THEN '' ELSE '因' || id END FROM b
+    UNION ALL SELECT id, '审题立意（3/25分）', '扣分原因', '因' || id FROM b WHERE v = 2
+    UNION ALL SELECT id, '修改 1：语言', unnest(['位置', '原文', '问题分析', '修改建议', '修改理由']), unnest(['首段', '旧', CASE WHEN v = 4 THEN '' ELSE '因' END, '新', '好']) FROM b) GROUP BY ALL""",
+    "b AS (SELECT id, id % 6 AS v, total_score, n_chars % 19 + 1 AS s FROM records)"))
+def report_labels(d: Domain) -> DataFrame:
+    """The same reports as rows of heading, label and value, counted: what is missing has no row, what is repeated has two."""
+    rows = documents.report_rows(broken_reports(d))
+    return rows.groupBy("id", "heading", "label").agg(F.count("*").alias("n"), F.max("value").alias("value"))
