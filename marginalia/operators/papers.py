@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.columns import answer_letter, falsy, has_stem, marked, normalise_error_type, option_of, or_blank
+from marginalia.functions.columns import answer_letter, falsy, has_stem, inferred_answer, marked, normalise_error_type, option_of, or_blank
 from marginalia.sources.tables import first_of
 
 
 def merge_marks(questions: DataFrame, marks: DataFrame, keys: list[str], number: str = "number") -> DataFrame:
     """Questions with the last mark (by pos) of their number; a question without a number is never classified and stays correct.
 
-    questions: keys, number, student_answer, correct_answer, options; marks: keys, number, pos, mark, answer, extra.
+    questions: keys, number, student_answer, correct_answer, options and, if they are known, the texts of their blocks;
+    marks: keys, number, pos, mark, answer, extra. A marked question without an answer has the one that its later blocks
+    show, before it is told whether it was answered.
     """
     last = marks.groupBy(*keys, number).agg(F.max(F.struct("pos", "mark", "answer", "extra")).alias("m"))
     q = questions.join(last, [*keys, number], "left")
@@ -29,6 +31,8 @@ def merge_marks(questions: DataFrame, marks: DataFrame, keys: list[str], number:
         }
     )
     blank = or_blank(F.col("student_answer"), "") == ""
+    if "blocks" in questions.columns:
+        out = out.withColumn("student_answer", F.when(blank & found & F.col("j").isNotNull(), F.coalesce(inferred_answer(F.col("blocks")), F.col("student_answer"))).otherwise(F.col("student_answer")))
     return out.withColumn("is_unanswered", blank & ~F.col("is_correct")).drop("j", "m")
 
 

@@ -14,6 +14,8 @@ from .registry import query
 
 ANSWERS, LETTERS, GIVEN = ("A", "b", "C. x", "", "D"), ("A", "B", "C", "D"), ("B", "", None)
 OPTIONS = ("A. one", "B. two", "C. three", "D. four")
+#: Blocks after a question's own: by part % 4, a letter alone, a text, two letters, a letter not alone.
+LATER = (("note", " C "), ("note",), ("B", "D"), ("B or C",))
 
 
 def _pick(values, index):
@@ -27,9 +29,11 @@ def _sql_pick(values, index: str) -> str:
 def questions(d: Domain) -> DataFrame:
     text = F.when(F.col("part") % 3 == 0, F.concat(F.lit("12. 、"), F.substring("p_name", 1, 4))).otherwise(F.concat(F.lit("3. "), F.col("p_name"), F.lit(" question")))
     rows = d.errors().join(d.read("part").select(F.col("p_partkey").alias("part"), "p_name"), "part")
+    later = F.get(F.array(*[F.array(*map(F.lit, x)) for x in LATER]), (F.col("part") % 4).cast("int"))
     return rows.select(
         F.col("session_id").alias("paper"), "number", (F.col("supplier") % 3 + 1).alias("page"), text.alias("question_text"), F.when(F.col("part") % 2 == 0, "选择题").otherwise("填空题").alias("question_type"),
         _pick(ANSWERS, F.col("part") % 5).alias("student_answer"), _pick(LETTERS, F.col("supplier") % 4).alias("correct_answer"), F.array(*map(F.lit, OPTIONS)).alias("options"),
+        F.concat(F.array(F.lit("D")), later).alias("blocks"),
     )
 
 
@@ -42,23 +46,23 @@ def marks(d: Domain) -> DataFrame:
 
 
 _Q = f"""q AS (SELECT session_id AS paper, number, supplier % 3 + 1 AS page, CASE WHEN part % 3 = 0 THEN '12. 、' || substr(p_name, 1, 4) ELSE '3. ' || p_name || ' question' END AS question_text,
-    CASE WHEN part % 2 = 0 THEN '选择题' ELSE '填空题' END AS question_type, {_sql_pick(ANSWERS, "part % 5")} AS student_answer, {_sql_pick(LETTERS, "supplier % 4")} AS correct_answer
+    CASE WHEN part % 2 = 0 THEN '选择题' ELSE '填空题' END AS question_type, {_sql_pick(ANSWERS, "part % 5")} AS student_answer, {_sql_pick(LETTERS, "supplier % 4")} AS correct_answer, CASE part % 4 WHEN 0 THEN 'C' WHEN 2 THEN 'B' ELSE '' END AS shown
     FROM errors JOIN part ON p_partkey = part)"""
 _M = f"""m AS (SELECT paper, number, mark, answer, extra FROM (SELECT l_orderkey AS paper, l_linenumber AS number, CASE WHEN l_discount >= 0.08 THEN '-2' WHEN l_quantity > 45 THEN '?' WHEN l_returnflag = 'A' THEN '✗'
     WHEN l_returnflag = 'R' THEN '✓' END AS mark, {_sql_pick(GIVEN, "l_partkey % 3")} AS answer, CASE WHEN l_suppkey % 2 = 0 THEN 'note' ELSE '' END AS extra, l_shipdate, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
     WHERE mark IS NOT NULL QUALIFY row_number() OVER (PARTITION BY paper, number ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1)"""
-_MERGED = """g AS (SELECT q.*, m.mark IS NULL OR m.mark = '✓' AS is_correct, CASE WHEN m.mark IS NULL THEN 'medium' WHEN m.mark = '?' THEN 'low' ELSE 'high' END AS confidence, coalesce(m.mark, '无标记') AS grading_mark,
+_MERGED = """g AS (SELECT q.* EXCLUDE (student_answer), CASE WHEN q.student_answer = '' AND m.mark IS NOT NULL THEN shown ELSE q.student_answer END AS student_answer, m.mark IS NULL OR m.mark = '✓' AS is_correct, CASE WHEN m.mark IS NULL THEN 'medium' WHEN m.mark = '?' THEN 'low' ELSE 'high' END AS confidence, coalesce(m.mark, '无标记') AS grading_mark,
     m.mark IS NOT NULL AS has_red_ink, CASE WHEN m.mark IS NULL THEN '' ELSE concat_ws(' ', m.mark, nullif(m.answer, ''), nullif(m.extra, '')) END AS red_ink,
-    CASE WHEN m.mark IN ('-2', '✗') AND m.answer = 'B' THEN 'B. two' ELSE q.correct_answer END AS fixed_answer, q.student_answer = '' AND NOT (m.mark IS NULL OR m.mark = '✓') AS is_unanswered FROM q LEFT JOIN m USING (paper, number))"""
+    CASE WHEN m.mark IN ('-2', '✗') AND m.answer = 'B' THEN 'B. two' ELSE q.correct_answer END AS fixed_answer, q.student_answer = '' AND shown = '' AND NOT (m.mark IS NULL OR m.mark = '✓') AS is_unanswered FROM q LEFT JOIN m USING (paper, number))"""
 
 
 def merged(d: Domain) -> DataFrame:
     return papers.merge_marks(questions(d), marks(d), ["paper"])
 
 
-@query(sql("SELECT paper, number, is_correct, confidence, grading_mark, has_red_ink, red_ink, fixed_answer AS correct_answer, is_unanswered FROM g", _Q, _M, _MERGED))
+@query(sql("SELECT paper, number, is_correct, confidence, grading_mark, has_red_ink, red_ink, fixed_answer AS correct_answer, student_answer, is_unanswered FROM g", _Q, _M, _MERGED))
 def mark_merge(d: Domain) -> DataFrame:
-    return merged(d).select("paper", "number", "is_correct", "confidence", "grading_mark", "has_red_ink", "red_ink", "correct_answer", "is_unanswered")
+    return merged(d).select("paper", "number", "is_correct", "confidence", "grading_mark", "has_red_ink", "red_ink", "correct_answer", "student_answer", "is_unanswered")
 
 
 @query(sql("""SELECT paper, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct) AS wrong, count(*) FILTER (is_unanswered) AS unanswered, count(*) FILTER (student_answer <> '') AS answered FROM g GROUP BY 1""", _Q, _M, _MERGED))

@@ -254,3 +254,15 @@ def test_fuzzy_terms_short_and_rare(spark):
     kp = spark.createDataFrame([(1, "s", "Abcdef"), (2, "s", "xbcd"), (3, "t", "bcd"), (4, "s", "é")], "id long, subject string, name string")
     terms = spark.createDataFrame([(1, 1, "s", "BCD"), (1, 2, "s", "x"), (1, 3, "t", "zz"), (1, 4, "s", "É"), (1, 5, "s", ""), (1, 6, "s", "bcdf")], "session_id long, number long, subject string, term string")
     assert sorted((r.number, r.kp_id) for r in views.fuzzy_tags(terms, kp).collect()) == [(1, 1), (2, 2), (4, 4)]
+
+
+def test_answers_that_later_blocks_show(spark):
+    """Only of marked questions with a number and no answer; the first block is the question itself."""
+    blocks = {1: ["B", "x", " C ", "D"], 2: ["B"], 3: ["1", "AB", "E"], 4: ["1", "A"], 5: ["1", "A"], 6: None, 0: ["1", "A"], 7: ["1", "B"]}
+    rows = [("p", n, "A" if n == 5 else "", "B", None, b) for n, b in blocks.items()]
+    questions = spark.createDataFrame(rows, "paper string, number int, student_answer string, correct_answer string, options array<string>, blocks array<string>")
+    marks = spark.createDataFrame([("p", n, 1, "✓" if n == 7 else "✗", None, None) for n in (0, 1, 2, 3, 5, 6, 7)], "paper string, number int, pos int, mark string, answer string, extra string")
+    merged = papers.merge_marks(questions, marks, ["paper"])
+    got = {x.number: (x.student_answer, x.is_unanswered) for x in merged.collect()}
+    assert got == {1: ("C", False), 2: ("", True), 3: ("", True), 4: ("", False), 5: ("A", False), 6: ("", True), 0: ("", False), 7: ("B", False)}
+    assert tuple(papers.merge_counts(merged, ["paper"]).first()) == ("p", 3, 5, 3, 3)
