@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators import runs
 from marginalia.sources.tables import latest
 
 DAY_LIMIT = 10_000_000
@@ -39,49 +40,130 @@ def window_hits(ms, start, n: int, window_ms: int):
     return hits, starts, start, n
 
 
+def window_chains(ms, window_ms: int, before: dict | None) -> dict:
+    """Of sorted times, for each window start that may be handed down, the last window that follows from it.
+
+    Windows that begin at `at` or later than the start before them end up in the one that begins at `start`, before whose
+    first request there are `pos`; several starts with one end are kept as the last of them. Only times up to one window
+    after the first can be the next start, so the chains are at most as many as a window has milliseconds. before: what
+    this gave for the times before these.
+    """
+    import numpy as np
+
+    none = np.zeros(0, np.int64)
+    c = before or {"first": int(ms[0]), "prev": None, "total": 0, "at": none, "start": none, "pos": none, "full": False}
+    follows = np.searchsorted(ms, ms + window_ms, "right")
+    jump = np.where(follows < len(ms), follows, np.arange(len(ms)))
+    while not np.array_equal(jump, further := jump[jump]):
+        jump = further
+    step = np.searchsorted(ms, c["start"] + window_ms, "right")
+    on = step < len(ms)
+    to = jump[step[on]]
+    c["start"][on], c["pos"][on] = ms[to], c["total"] + to
+    if not c["full"]:
+        new = np.flatnonzero(np.r_[c["prev"] is None or ms[0] != c["prev"], ms[1:] != ms[:-1]])
+        beyond = np.flatnonzero(ms[new] > c["first"] + window_ms)
+        if len(beyond):
+            new, c["full"] = new[: beyond[0] + 1], True
+        c["at"], c["start"], c["pos"] = np.r_[c["at"], ms[new]], np.r_[c["start"], ms[jump[new]]], np.r_[c["pos"], c["total"] + jump[new]]
+    if len(c["at"]):
+        last = np.r_[c["start"][1:] != c["start"][:-1], True]
+        c["at"], c["start"], c["pos"] = c["at"][last], c["start"][last], c["pos"][last]
+    c["total"], c["prev"] = c["total"] + len(ms), int(ms[-1])
+    return c
+
+
 def rate_limited(requests: DataFrame, window_ms: int = 60_000, most: int = 20, key: str = "ip") -> DataFrame:
     """Each request with `rate_ok` and `retry_after`. A key's window starts at a request and lasts until one comes more than window_ms later.
 
-    A key's requests are a sorted run within one partition; two numbers of state go from Arrow batch to batch, so a key of
-    any size needs the memory of a batch. Within a batch the next window's start is a binary search.
+    The fold is dealt over parts (operators.runs): a key that goes on from the part before is open; its part says for every
+    start that it may be handed which window it hands on. Within a batch of a key the next window's start is a binary search.
     """
     kind = requests.schema["event_id"].dataType.simpleString()
 
-    def run(batches):
+    def rated(ids, ms, part, start, n):
+        import numpy as np
+        import pyarrow as pa
+
+        hits, starts, start, n = window_hits(ms, start, n, window_ms)
+        retry = -((ms - starts - window_ms) // 1000)
+        return pa.RecordBatch.from_arrays([ids, pa.array(ms), pa.array(np.full(len(ms), part, np.int32)), pa.array(hits <= most), pa.array(retry, mask=hits <= most)], ["event_id", "ms", "part", "rate_ok", "retry_after"]), start, n
+
+    def fold(batches, part):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        last, start, n = object(), 0, 0
+        schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("one", pa.bool_()), ("numbers", pa.list_(pa.int64())), ("lists", pa.list_(pa.list_(pa.int64())))])
+        first = last = chains = id_type = None
+        start, n = None, 0
         for batch in batches:
-            codes = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            ms, rows = batch.column(2).to_numpy(), batch.num_rows
-            hits, retry = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-            cuts = np.r_[np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]), rows] if rows else np.zeros(1, np.int64)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if not batch.num_rows:
+                continue
+            ids, ms, id_type = batch.column(1), batch.column(2).to_numpy(), batch.column(1).type
+            codes = batch.column(0).dictionary_encode().indices.to_numpy()
+            cuts = np.r_[np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]), len(ms)].tolist()
+            for lo, hi in zip(cuts, cuts[1:]):
                 own = batch.column(0)[lo].as_py()
                 if own != last:
-                    last, start, n = own, int(ms[lo]), 0
-                while lo < hi:
-                    if ms[lo] - start > window_ms:
-                        start, n = int(ms[lo]), 0
-                    end = lo + int(np.searchsorted(ms[lo:hi], start + window_ms, "right"))
-                    hits[lo:end] = n + 1 + np.arange(end - lo)
-                    retry[lo:end] = -((ms[lo:end] - start - window_ms) // 1000)
-                    n, lo = n + end - lo, end
-            ok = pa.array(hits <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(1), ok, pc.if_else(ok, pa.scalar(None, pa.int64()), pa.array(retry))], ["event_id", "rate_ok", "retry_after"])
+                    first, last, start, n = own if first is None else first, own, None, 0
+                if own == first:
+                    chains = window_chains(ms[lo:hi], window_ms, chains)
+                    blank = [pa.array(np.full(hi - lo, part, np.int32)), pa.nulls(hi - lo, pa.bool_()), pa.nulls(hi - lo, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *blank, pa.nulls(hi - lo, pa.struct(schema))], names)
+                else:
+                    out, start, n = rated(ids.slice(lo, hi - lo), ms[lo:hi], part, start, n)
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(hi - lo, pa.struct(schema))], names)
+        if first is not None:
+            said = {"first": first, "last": last, "one": first == last, "numbers": [chains["total"], 0] if first == last else [start, n], "lists": [chains[x].tolist() for x in ("at", "start", "pos")] if first == last else []}
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.array([said], pa.struct(schema))], names)
+
+    names = ["event_id", "ms", "part", "rate_ok", "retry_after", "saying"]
+
+    def follow(numbers, lists, given):
+        import bisect
+
+        at, start, pos = lists
+        k = 0 if given is None else bisect.bisect_right(at, given[0] + window_ms)
+        return [start[k], numbers[0] - pos[k]] if k < len(at) else [given[0], given[1] + numbers[0]]
+
+    def settle(batches):
+        part, start, n = None, None, 0
+        for batch in batches:
+            import numpy as np
 
-    runs = requests.select(key, "event_id", F.unix_millis("ts").alias("ms")).repartition(key).sortWithinPartitions(key, "ms", "event_id")
-    return requests.join(runs.mapInArrow(run, f"event_id {kind}, rate_ok boolean, retry_after long"), "event_id")
+            at, ms = batch.column(2).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(ms)].tolist() if len(ms) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if at[lo] != part:
+                    given = batch.column(3)[lo].as_py()
+                    part, (start, n) = at[lo], given or (None, 0)
+                out, start, n = rated(batch.column(0).slice(lo, hi - lo), ms[lo:hi], part, start, n)
+                yield out.select(["event_id", "rate_ok", "retry_after"])
+
+    rows = requests.select(runs.key_text(F.col(key)).alias("key"), "event_id", F.unix_millis("ts").alias("ms"))
+    parts = runs.in_parts(rows, ["key", "ms", "event_id"], fold, f"event_id {kind}, ms long, part int, rate_ok boolean, retry_after long, saying {runs.SAYING}", "rated")
+    open_rows = parts.where("rate_ok is null and saying is null").select("event_id", "ms", "part").join(runs.handed(parts, follow, 2), "part")
+    out = "event_id {}, rate_ok boolean, retry_after long".format(kind)
+    settled = open_rows.select("event_id", "ms", "part", "handed").repartition("part").sortWithinPartitions("part", "ms", "event_id").mapInArrow(settle, out)
+    return requests.join(parts.where("rate_ok is not null").select("event_id", "rate_ok", "retry_after").union(settled), "event_id")
 
 
 def budgeted(requests: DataFrame, limit: int = DAY_LIMIT) -> DataFrame:
-    """Each request with its user's tokens of the UTC day so far and `budget_ok`: the first of a day always is, null users always are; refused requests count."""
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    used = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.row_number().over(w) == 1
-    return requests.withColumns({"used": used, "budget_ok": F.col("user_id").isNull() | first | (used <= limit)})
+    """Each request with its user's tokens of the UTC day so far and `budget_ok`: the first of a day always is; refused requests count.
+
+    A user's day is summed by hours before it is summed within each, so a busy user is spread over hours. Requests of no
+    user always pass, have no sum and meet no window.
+    """
+    known = requests.where(F.col("user_id").isNotNull()).withColumns({"_day": F.to_date("ts"), "_hour": F.hour("ts")})
+    hours = known.groupBy("user_id", "_day", "_hour").agg(F.sum("tokens").alias("_sum"))
+    earlier = Window.partitionBy("user_id", "_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)  # 24 rows
+    hours = hours.select("user_id", "_day", "_hour", F.sum("_sum").over(earlier).alias("_base"))
+    within = Window.partitionBy("user_id", "_day", "_hour").orderBy("ts", "event_id")
+    used = F.coalesce("_base", F.lit(0)) + F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.col("_base").isNull() & (F.row_number().over(within) == 1)
+    out = known.join(hours, ["user_id", "_day", "_hour"]).withColumn("used", used).withColumn("budget_ok", first | (F.col("used") <= limit))
+    guests = requests.where(F.col("user_id").isNull()).withColumns({"used": F.lit(None).cast("long"), "budget_ok": F.lit(True)})
+    return out.select(*requests.columns, "used", "budget_ok").unionByName(guests)
 
 
 def admitted(requests: DataFrame, window_ms: int = 60_000, most: int = 20, limit: int = DAY_LIMIT) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.columns import answer_letter, falsy, has_stem, inferred_answer, marked, normalise_error_type, option_of, or_blank
+from marginalia.operators import runs
 from marginalia.sources.tables import first_of
 
 
@@ -147,32 +148,96 @@ def with_analysis(wrong: DataFrame, analyses: DataFrame, keys: list[str], order:
 
 
 def grouped_blocks(blocks: DataFrame, page: str = "page", gap: int = 50, left: int = 200, least: float = 0.3) -> DataFrame:
-    """(page, y, x, text, grp): blocks in reading order, their group counted from 1.
+    """(page, y, x, text, grp): blocks in reading order, their group counted from 1; heights aren't negative.
 
     A numbered text at the left opens a group, as does a block `gap` or more from the group's bottom, which is the
-    greatest so far within the group. The bottom starts anew with a group, so this is a fold; a page is a sorted run within
-    one partition, and the fold's two numbers go from Arrow batch to batch.
+    greatest so far within the group. A block that much above the bottom is so above the bottom of the very block before
+    it, since those between are in order; so it opens a group whatever came earlier, as numbered ones do. From such a
+    block on, groups that open further down leave all bottoms before them above, so the bottom is a running maximum, and
+    no row waits for the one before. Pages are dealt over parts (operators.runs): of an open page, blocks before the first
+    that opens a group by itself are fewer groups by those that the bottom handed down still reaches.
     """
     text = F.trim("text")
     rows = blocks.where((F.col("confidence") >= least) & (text != "")).select(page, F.col("y").cast("long"), F.col("x").cast("long"), F.col("height").cast("long"), text.alias("text"))
-    rows = rows.withColumn("opens", F.col("text").rlike(r"^\d+[.、\s]") & (F.col("x") < left))
+    rows = rows.select(runs.key_text(F.col(page)).alias("key"), "y", "x", "height", "text", (F.col("text").rlike(r"^\d+[.、\s]") & (F.col("x") < left)).alias("opens"), page)
+    kind = blocks.schema[page].dataType.simpleString()
+    names = [page, "y", "x", "text", "k", "part", "lead", "saying"]
 
-    def run(batches):
+    def fold(batches, part):
+        import numpy as np
         import pyarrow as pa
 
-        last, grp, bottom = object(), 0, 0
+        said_type = pa.struct([("first", pa.string()), ("last", pa.string()), ("one", pa.bool_()), ("numbers", pa.list_(pa.int64())), ("lists", pa.list_(pa.list_(pa.int64())))])
+        first = last = kept_type = None
+        under = top = count = 0  # the block before: its bottom, the greatest since a group opened by itself, its group
+        led, fronts, highest, opened, begin = True, [], 0, False, 0
         for batch in batches:
-            out = []
-            for own, y, height, opens in zip(*(batch.column(c).to_pylist() for c in (page, "y", "height", "opens"))):
-                if own != last:
-                    last, grp = own, 0
-                fresh = not grp or opens or abs(y - bottom) >= gap
-                grp, bottom = grp + fresh, y + height if fresh else max(bottom, y + height)
-                out.append(grp)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (page, "y", "x", "text")), pa.array(out, pa.int64())], [page, "y", "x", "text", "grp"])
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(0).dictionary_encode().indices.to_numpy()
+            y, bottom = batch.column(1).to_numpy(), batch.column(1).to_numpy() + batch.column(3).to_numpy()
+            own = batch.column(0)[0].as_py()
+            new = np.r_[own != last, keys[1:] != keys[:-1]]
+            certain = new | batch.column(5).to_numpy(zero_copy_only=False).astype(bool) | (np.r_[under, bottom[:-1]] - y >= gap)
+            # Running maxima by segments: each lies above all of the one before.
+            low, high = min(int(bottom.min()), top), max(int(bottom.max()), top)
+            lift = np.cumsum(certain) * (high - low + 1)
+            reached = np.maximum.accumulate(np.r_[top, bottom + lift])[:-1]
+            fresh = certain | (y + lift - reached >= gap)
+            most = np.maximum.accumulate(np.r_[top, bottom + lift])[-1] - lift[-1]
+            groups = np.cumsum(fresh)
+            base = np.maximum.accumulate(np.where(new, groups - 1, -count if not new[0] else 0))
+            k = groups - base
+            if first is None:
+                first, opened, begin = own, bool(batch.column(5)[0].as_py()), int(y[0])
+            front = np.cumsum(new) == (1 if own != last else 0) if own == first else np.zeros(n, bool)  # rows of the open page
+            if not led or not front.any():
+                lead = np.zeros(n, bool)
+            else:
+                inner = certain.copy()
+                inner[0] &= last is not None  # the part's first block opens a group by what stood before it
+                lead = front & (np.cumsum(inner) == 0)
+                led = bool(lead[-1])
+                fronts.append(y[lead & fresh])
+            if front.any():
+                highest = max([int(bottom[front].max()), *([highest] if last is not None else [])])
+            last, under, top, count = batch.column(0)[n - 1].as_py(), int(bottom[-1]), int(most), int(k[-1])
+            kept_type = batch.column(6).type
+            yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(1), batch.column(2), batch.column(4), pa.array(k), pa.array(np.full(n, part, np.int32)), pa.array(np.where(front, np.where(lead, 2, 1), 0).astype(np.int32)), pa.nulls(n, said_type)], names)
+        if first is not None:
+            reach = np.concatenate(fronts).tolist() if fronts else []
+            said = {"first": first, "last": last, "one": first == last, "numbers": [under, top, count, highest, int(led), int(opened), begin], "lists": [reach]}
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kept_type), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())), pa.array([part], pa.int32()), pa.nulls(1, pa.int32()), pa.array([said], said_type)], names)
+
+    def less(numbers, reach, given):
+        """How many of the leading groups are none, the bottom handed down reaching them."""
+        import bisect
+
+        return 0 if numbers[5] or given[0] - numbers[6] >= gap else bisect.bisect_left(reach, given[1] + gap)
+
+    def follow(numbers, lists, given):
+        under, top, count, highest, led, opened, begin = numbers
+        if given is None:
+            return [under, top, count]
+        own = not (opened or given[0] - begin >= gap)
+        return [under, max(given[1], highest) if led and own else top, given[2] + count - less(numbers, lists[0], given)]
+
+    def shifts(batches):
+        import pyarrow as pa
 
-    kind = blocks.schema[page].dataType.simpleString()
-    return rows.repartition(page).sortWithinPartitions(page, "y", "x", "height", "text").mapInArrow(run, f"{page} {kind}, y long, x long, text string, grp long")
+        for batch in batches:
+            out = [None if given is None else [given[2], less(said["numbers"], said["lists"][0], given)] for said, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x and x[0] for x in out], pa.int64()), pa.array([x and x[1] for x in out], pa.int64())], ["part", "base", "less"])
+
+    schema = f"{page} {kind}, y long, x long, text string, k long, part int, lead int, saying {runs.SAYING}"
+    parts = runs.in_parts(rows, ["key", "y", "x", "height", "text"], fold, schema, "blocks")
+    given = parts.where("saying is not null").select("part", "saying").join(runs.handed(parts, follow, 3), "part")
+    shift = given.mapInArrow(shifts, "part int, base long, less long").where("base is not null")
+    out = parts.where("saying is null").join(F.broadcast(shift), "part", "left")  # a row for each part at most
+    lead = F.when(F.col("lead") == 2, F.least("k", "less")).otherwise(F.col("less"))
+    grp = F.when((F.col("lead") == 0) | F.col("base").isNull(), F.col("k")).otherwise(F.col("base") + F.col("k") - lead)
+    return out.select(page, "y", "x", "text", grp.alias("grp"))
 
 
 def paragraphs(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
