@@ -240,24 +240,75 @@ def grouped_blocks(blocks: DataFrame, page: str = "page", gap: int = 50, left: i
     return out.select(page, "y", "x", "text", grp.alias("grp"))
 
 
+def first_places(text: str, lines: list[str], gram: int = 16) -> list[int]:
+    """Where each line is found first in text, in which all of them stand in order.
+
+    A line can only be found before its own place where its first characters stand, so the places of grams are sorted once
+    and a line is compared at those of its own gram, which for most lines is its own place; equal lines are looked up once.
+    """
+    import numpy as np
+
+    known: dict[str, int] = {}
+    if len(lines) <= 64:
+        return [known[x] if x in known else known.setdefault(x, text.find(x)) for x in lines]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    grams = np.zeros(max(0, len(codes) - gram + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(gram):
+            grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(grams)]
+    order = np.argsort(grams, kind="stable")
+    ordered = grams[order]
+    at = 0
+    for x in lines:
+        at = text.index(x, at)  # no later than its own place
+        if x not in known:
+            known[x] = at
+            if len(x) < gram:
+                known[x] = text.find(x, 0, at + len(x))
+                continue
+            k = int(np.searchsorted(ordered, grams[at], "left"))
+            while order[k] < at and not text.startswith(x, order[k]):
+                k += 1
+            known[x] = min(int(order[k]), at)
+        at += len(x)
+    return [known[x] for x in lines]
+
+
 def paragraphs(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, line, start, body): lines that aren't blank; start is where the same line is found first in the text."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return texts.select(key, text, F.posexplode(lines).alias("line", "body")).select(key, F.col("line").cast("long").alias("line"), (F.instr(F.col(text), F.col("body")) - 1).cast("long").alias("start"), "body")
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = [[x for x in (t or "").split("\n") if x.strip(" ")] for t in batch.column(1).to_pylist()]
+            starts = [first_places(t or "", ls) for t, ls in zip(batch.column(1).to_pylist(), lines)]
+            found = [[{"line": i, "start": s, "body": x} for i, (s, x) in enumerate(zip(ss, ls))] for ss, ls in zip(starts, lines)]
+            line = pa.struct([("line", pa.int64()), ("start", pa.int64()), ("body", pa.string())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(line))], [key, "lines"])
+
+    found = texts.select(key, text).mapInArrow(run, f"{key} {kind}, lines array<struct<line: bigint, start: bigint, body: string>>")
+    return found.select(key, F.inline("lines"))
 
 
-def segments(lines: DataFrame, notes: DataFrame, key: str = "id") -> DataFrame:
+def segments(lines: DataFrame, notes: DataFrame, key: str = "id", bin_size: int = 1024) -> DataFrame:
     """(key, line, begin, end, kind): annotated and plain stretches of each paragraph, positions within the line.
 
-    notes: key, start, end, kind. A note belongs to every paragraph that holds it whole; gaps before, between and after are plain.
+    notes: key, start, end, kind. A note belongs to every paragraph that holds it whole; gaps before, between and after are
+    plain. Lines go to every bin of positions that they reach, notes to the one where they start, so notes meet only lines
+    of their own stretch of the text.
     """
     n = notes.withColumnRenamed("start", "n_start").withColumnRenamed("end", "n_end")
     size = F.length("body").cast("long")
-    held = lines.join(n, key).where((F.col("n_start") >= F.col("start")) & (F.col("n_end") <= F.col("start") + size))
+    bin_of = lambda at: F.floor(at / bin_size)
+    spans = lines.select(key, "line", "start", (F.col("start") + size).alias("stop")).withColumn("bin", F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("stop")))))
+    held = spans.join(n.withColumn("bin", bin_of(F.col("n_start"))), [key, "bin"]).where((F.col("n_start") >= F.col("start")) & (F.col("n_end") <= F.col("stop")))
     w = Window.partitionBy(key, "line").orderBy("n_start", "n_end")
     at = held.withColumns({"begin": F.col("n_start") - F.col("start"), "end": F.col("n_end") - F.col("start")}).withColumn("before", F.lag("end", 1, 0).over(w))
-    own = at.select(key, "line", "begin", "end", "kind")
-    gaps = at.where("begin > before").select(key, "line", F.col("before").alias("begin"), F.col("begin").alias("end"), F.lit("normal").alias("kind"))
+    stretch = lambda begin, end, kind: F.struct(begin.alias("begin"), end.alias("end"), kind.alias("kind"))
+    plain = stretch(F.col("before"), F.col("begin"), F.lit("normal"))
+    own = at.select(key, "line", F.inline(F.filter(F.array(stretch(F.col("begin"), F.col("end"), F.col("kind")), F.when(F.col("begin") > F.col("before"), plain)), lambda x: x.isNotNull())))
     last = at.groupBy(key, "line").agg(F.max_by("end", F.struct("n_start", "n_end")).alias("reached"))
-    rest = lines.join(last, [key, "line"], "left").withColumn("begin", F.coalesce("reached", F.lit(0).cast("long"))).where(F.col("begin") < size)
-    return own.unionByName(gaps).unionByName(rest.select(key, "line", "begin", size.alias("end"), F.lit("normal").alias("kind")))
+    rest = lines.select(key, "line", size.alias("end")).join(last, [key, "line"], "left").withColumn("begin", F.coalesce("reached", F.lit(0).cast("long"))).where("begin < end")
+    return own.unionByName(rest.select(key, "line", "begin", "end", F.lit("normal").alias("kind")))
