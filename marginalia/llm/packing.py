@@ -4,8 +4,8 @@ Each source is a queue of its documents' tokens. A window takes its quantum from
 1 / 2**20, what the first i queues have given after w windows is floor(w * size * A[i] / 2**20), A being the shares'
 running sums. So a queue's deficit, the part of its due not yet served, is always under one token, is known for every
 window without stepping through those before, and is carried across windows and from any partition into the next. Where
-a queue would run dry, the schedule begins a new phase in which the queues that are left share anew; phases are as many
-as queues, not as windows. Documents are cut where a window's quantum ends. Only the last sequence can have padding.
+a queue would run dry, the schedule begins a new phase in which the queues that are left share anew; phases are two or three times as many
+as queues, whatever the windows. Documents are cut where a window's quantum ends. Only the last sequence can have padding.
 
 Targets are wanted token proportions by source, or `alpha`: each source's share is then in proportion to its tokens to
 the power alpha, so that below 1 small sources have more of the early windows than their size, until they are empty.
@@ -20,6 +20,7 @@ doc_ids are documents like others, one set of pieces for each row. No documents,
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from dataclasses import dataclass
 from fractions import Fraction
@@ -45,13 +46,23 @@ class Phase:
     served: tuple[int, ...]  # by queue, before this phase
 
 
-def _shares(weights: list[Fraction], least: int) -> list[int]:
-    """Whole units that sum to UNITS, at least `least` for each positive weight."""
-    total = sum(weights)
-    out = [max(least, int(w * UNITS / total)) if w else 0 for w in weights]
-    top = max(range(len(out)), key=lambda i: (out[i], -i))
-    out[top] += UNITS - sum(out)
-    return out
+def _shares(weights: list[int], least: int) -> list[int]:
+    """Whole units that sum to UNITS, at least `least` for each positive weight; what these have too much comes from all others in proportion."""
+    import numpy as np
+
+    shift = max(0, max(weights).bit_length() - 40)  # so that products stay within 63 bits
+    w = np.array([x and max(1, x >> shift) for x in weights], np.int64)
+    live = w > 0
+    if least * live.sum() > UNITS // 2:
+        raise ValueError("more queues than half a window's tokens")
+    free, total, low = UNITS, int(w.sum()), np.zeros(len(w), bool)
+    while (more := live & ~low & (w * free < least * total)).any():
+        low |= more
+        free -= least * int(more.sum())
+        total -= int(w[more].sum())
+    out = np.where(low, least, w * free // max(1, total))
+    out[out.argmax()] += UNITS - out.sum()
+    return out.tolist()
 
 
 def schedule(tokens: list[int], size: int, targets: list[float] | None = None) -> list[Phase]:
@@ -60,11 +71,12 @@ def schedule(tokens: list[int], size: int, targets: list[float] | None = None) -
     A share is at least one token a window, and a queue leaves when it is empty: then the others' shares grow alike.
     """
     left, phases, first = list(tokens), [], 0
-    wanted = None if targets is None else [Fraction(t) for t in targets]
+    if targets is not None:  # as whole numbers, the largest 2 ** 40
+        high = Fraction(max(targets, default=0)) or Fraction(1)
+        wanted = [max(1, int(Fraction(t) / high * 2**40)) for t in targets]
     least = -(-UNITS // size)
     while sum(left) >= size:
-        live = [bool(n) for n in left]
-        weights = [Fraction(n if wanted is None else max(wanted[i], Fraction(1, UNITS))) * live[i] for i, n in enumerate(left)]
+        weights = list(left) if targets is None else [w if n else 0 for w, n in zip(wanted, left)]
         units = _shares(weights, least)
         # a queue gives under w * size * units / UNITS + 1 tokens in w windows
         count = min(((n - 1) * UNITS // (size * u) for n, u in zip(left, units) if u), default=0)
@@ -78,11 +90,17 @@ def schedule(tokens: list[int], size: int, targets: list[float] | None = None) -
             left = [n - (b - a) for n, a, b in zip(left, bounds, bounds[1:])]
         else:  # one window: queues that would run dry give what they have, the rest fill up in turn
             due = [min(n, -(-size * u // UNITS)) for n, u in zip(left, units)]
+            over = sum(due) - size
             for i in sorted(range(len(due)), key=lambda i: left[i]):
-                over = sum(due) - size
-                due[i] -= min(max(0, over), due[i]) if left[i] > due[i] else 0
+                if over > 0 and left[i] > due[i]:
+                    cut = min(over, due[i])
+                    due[i] -= cut
+                    over -= cut
+            room = size - sum(due)
             for i in range(len(due)):
-                due[i] += min(left[i] - due[i], max(0, size - sum(due)))
+                more = min(left[i] - due[i], max(0, room))
+                due[i] += more
+                room -= more
             over = sum(due) - size
             for i in range(len(due) - 1, -1, -1):
                 cut = min(max(0, over), due[i])
@@ -109,7 +127,9 @@ def pieces(phases: list[Phase], queue: int, begin: int, n: int):
     import numpy as np
 
     parts, at, end = [], begin, begin + n
-    for k, p in enumerate(phases):
+    first = max(0, bisect.bisect_right(phases, begin, key=lambda p: p.served[queue]) - 1)
+    for k in range(first, len(phases)):
+        p = phases[k]
         low, high = p.share[queue], p.share[queue + 1]
         gives = p.count * p.size * high // p.units - p.count * p.size * low // p.units
         base = p.served[queue]
@@ -169,7 +189,7 @@ def tokenized(docs: DataFrame, path: str, close: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, *, path: str | None = None, close: int = 2, size: int = 4096, targets: dict[str | None, float] | None = None, alpha: float = 1.0, max_queues: int = 1000) -> DataFrame:
-    """One row for each piece: doc_id, source, where it lies in its document and in its sequence, and the CRC of its ids.
+    """One row for each piece: doc_id, where it lies in its document and in its sequence, the CRC of its ids, and its source.
 
     targets: wanted token proportion by source (others get the least share until the named ones are empty); without
     them, tokens ** alpha.
@@ -220,4 +240,5 @@ def pack(docs: DataFrame, *, path: str | None = None, close: int = 2, size: int
                     ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    return placed.mapInArrow(run, f"doc_id {kind}, source string, {PIECE}")
+    out = placed.mapInArrow(run, f"doc_id {kind}, source string, {PIECE}")
+    return out.select("doc_id", *[c for c in out.columns if c not in ("doc_id", "source")], "source")

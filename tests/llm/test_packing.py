@@ -96,3 +96,37 @@ def test_schedule_serves_every_queue_and_keeps_targets():
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_a_thousand_sources():
+    """Sizes from 10 ** 3 to 10 ** 9: three phases for a source at most, no share below a token a window, all tokens served
+    once, and every full window within one token of its target while all queues last."""
+    import time
+
+    r = random.Random(1)
+    tokens = [int(10 ** r.uniform(3, 9)) for _ in range(1000)]
+    began = time.time()
+    phases = P.schedule(tokens, 4096, [n**0.7 for n in tokens])
+    assert time.time() - began < 10 and len(phases) <= 3 * len(tokens)
+    assert sum(p.count * p.size for p in phases) == sum(tokens)
+    p = phases[0]
+    units = [b - a for a, b in zip(p.share, p.share[1:])]
+    assert min(units) >= P.UNITS // 4096 and sum(units) == P.UNITS
+    for w in (0, 1, p.count // 2, p.count - 1):
+        marks = [[v * p.size * a // p.units for a in p.share] for v in (w, w + 1)]
+        gives = [d - c - (b - a) for a, b, c, d in zip(marks[0], marks[0][1:], marks[1], marks[1][1:])]
+        assert sum(gives) == 4096 and all(abs(g - 4096 * u / p.units) <= 1 for g, u in zip(gives, units))
+    big = [u / n**0.7 for u, n in zip(units, tokens) if u > 50 * P.UNITS // 4096]
+    assert not big or max(big) / min(big) < 1.05
+    assert all(sum(b - a for p in phases for a, b in [(p.served[q], p.served[q] + p.count * p.size * p.share[q + 1] // p.units - p.count * p.size * p.share[q] // p.units)]) == n for q, n in list(enumerate(tokens))[::97])
+
+
+def test_pieces_begin_in_the_phase_that_holds_them():
+    tokens = [50_000, 9_000, 700, 12_345]
+    phases = P.schedule(tokens, 512, [1.0, 1.0, 1.0, 2.0])
+    for q, n in enumerate(tokens):
+        whole = [x.tolist() for x in P.pieces(phases, q, 0, n)]
+        for begin in (0, 1, n // 3, n - 1):
+            start, length, window, offset = (x.tolist() for x in P.pieces(phases, q, begin, n - begin))
+            assert sum(length) == n - begin and start[0] == 0
+            assert (window[1:], offset[1:]) == (whole[2][-len(window) + 1 :] if len(window) > 1 else [], whole[3][-len(window) + 1 :] if len(window) > 1 else [])
