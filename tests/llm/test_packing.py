@@ -100,7 +100,7 @@ def test_empty_table(spark):
 
 def test_a_thousand_sources():
     """Sizes from 10 ** 3 to 10 ** 9: three phases for a source at most, no share below a token a window, all tokens served
-    once, and every full window within one token of its target while all queues last."""
+    once, and after every full window a queue within one token of its due while all queues last."""
     import time
 
     r = random.Random(1)
@@ -115,7 +115,8 @@ def test_a_thousand_sources():
     for w in (0, 1, p.count // 2, p.count - 1):
         marks = [[v * p.size * a // p.units for a in p.share] for v in (w, w + 1)]
         gives = [d - c - (b - a) for a, b, c, d in zip(marks[0], marks[0][1:], marks[1], marks[1][1:])]
-        assert sum(gives) == 4096 and all(abs(g - 4096 * u / p.units) <= 1 for g, u in zip(gives, units))
+        assert sum(gives) == 4096 and all(abs(g - 4096 * u / p.units) < 2 for g, u in zip(gives, units))
+        assert all(abs(b - a - w * p.size * u / p.units) < 1 for a, b, u in zip(marks[0], marks[0][1:], units))
     big = [u / n**0.7 for u, n in zip(units, tokens) if u > 50 * P.UNITS // 4096]
     assert not big or max(big) / min(big) < 1.05
     assert all(sum(b - a for p in phases for a, b in [(p.served[q], p.served[q] + p.count * p.size * p.share[q + 1] // p.units - p.count * p.size * p.share[q] // p.units)]) == n for q, n in list(enumerate(tokens))[::97])
