@@ -237,6 +237,8 @@ def deep_page(d: Domain) -> DataFrame:
     """The twenty records after the forty-first newest one: a page by its last row instead of by its number."""
     rows = d.records().select("id", "total_score", "created_at")
     last = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(41).orderBy("created_at", "id").first()
+    if last is None:
+        return rows.select("id", "total_score")
     return views.after(rows, F.lit(last["created_at"]), F.lit(last["id"]), 20).select("id", "total_score")
 
 

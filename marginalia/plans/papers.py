@@ -270,8 +270,8 @@ def result_lookup(d: Domain) -> DataFrame:
 @query(sql("SELECT r.id, r.user_id, u.role FROM records r JOIN users u ON u.id = r.id % 5 WHERE u.role = 'admin' OR r.user_id = u.id"))
 def key_lookup(d: Domain) -> DataFrame:
     """Records asked for by a set of users: administrators see all, others their own."""
-    asked = d.users().select(F.col("id").alias("asker"), "role")
-    rows = d.records().select("id", "user_id").join(asked, F.col("id") % 5 == F.col("asker"))
+    asked = d.users().where("id between 0 and 4").select(F.col("id").alias("asker"), "role")  # ids are unique, so five askers at most
+    rows = d.records().select("id", "user_id").join(F.broadcast(asked), F.col("id") % 5 == F.col("asker"))
     return rows.where((F.col("role") == "admin") | (F.col("user_id") == F.col("asker"))).select("id", "user_id", "role")
 
 

@@ -141,7 +141,7 @@ def kp_fuzzy_tags(d: Domain) -> DataFrame:
     UNION ALL SELECT p_type, NULL, p_brand, 'category' FROM (SELECT DISTINCT p_type, p_brand FROM part)"""))
 def taxonomy_tree(d: Domain) -> DataFrame:
     category = d.read("part").groupBy(F.col("p_type").alias("subject"), "p_brand").agg(F.collect_set("p_name").alias("items"))  # few names, whatever the size
-    nested = category.groupBy("subject").agg(F.collect_list(F.struct(F.col("p_brand").alias("name"), "items")).alias("categories"))
+    nested = category.select("subject", F.array(F.struct(F.col("p_brand").alias("name"), "items")).alias("categories"))  # a row for each category
     return views.with_parent(views.seeded(nested)).select("subject", "parent_name", "name", "category")
 
 
