@@ -23,8 +23,11 @@ LABELS = {"month": month_label, "semester": semester_label, "year": year_label}
 
 
 def by_time(errors: DataFrame, period: str = "month") -> DataFrame:
-    return errors.groupBy("user_id", LABELS[period](F.col("created_at")).alias("time_label")).agg(
-        F.min("created_at").alias("start_ts"), F.max("created_at").alias("end_ts"), F.count("*").alias("error_count"),
+    """Mistakes are summed by paper first, so that the two distinct counts expand papers instead of mistakes."""
+    label = LABELS[period](F.col("created_at")).alias("time_label")
+    papers = errors.groupBy("user_id", label, "subject", "session_id").agg(F.min("created_at").alias("low"), F.max("created_at").alias("high"), F.count("*").alias("n"))
+    return papers.groupBy("user_id", "time_label").agg(
+        F.min("low").alias("start_ts"), F.max("high").alias("end_ts"), F.sum("n").alias("error_count"),
         F.countDistinct("subject").alias("subject_count"), F.countDistinct("session_id").alias("paper_count"),
     )
 
