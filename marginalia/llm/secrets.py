@@ -14,7 +14,8 @@ the expected share of false finds under q; tokens that the battery rejected are
 short tokens were looked at, a short one must show more. p-values are counted in quarter steps of their logarithm.
 
 Defined cases: a null text is empty and has no spans. A null doc_id passes through. Repeated rows come out once each
-and count as candidates once each. Ties at a threshold are found together. Only doc_id and text are read.
+and count as candidates once each. Ties at a threshold are found together. Only doc_id and text are read. Very long texts
+are read whole, in time linear in their length and spans (but for sorting the spans); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -150,19 +151,35 @@ def parts(text: str):
     """(start, end) of whole runs, each followed by its parts of 20 characters or more, if it falls into parts."""
     for m in CANDIDATE.finditer(text):
         yield m.span()
-        inner = [(m.start() + x.start(), m.start() + x.end()) for x in PART.finditer(m[0])]
-        yield from (x for x in inner if x[1] - x[0] >= 20 and x != (m.start(), m.start() + len(m[0].rstrip("="))))
+        start, end = m.start(), m.start() + len(m[0].rstrip("="))
+        for x in PART.finditer(m[0]):
+            if x.end() - x.start() >= 20 and (x.start(), start + x.end()) != (0, end):
+                yield start + x.start(), start + x.end()
+
+
+def joined(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """[start, end] of what the spans, sorted by start, cover together."""
+    out: list[list[int]] = []
+    for _, s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
 
 
-def candidates(text: str, base: list[tuple[int, int, int]], tried: Counter | None = None) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, family of the battery, step of its p-value, step of the bound on p of writing) of tokens outside base spans, but for decimal ones.
+def candidates(text: str, base: list[tuple[int, int, int]], tried: Counter | None = None) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, family of the battery, step of its p-value, step of the bound on p of writing, run) of tokens outside base spans, but for decimal ones.
 
-    Only tokens with some evidence are returned; tried counts all that were looked at, by family and step of the battery.
+    run: where the list has the whole run that a part is of, else -1. Only tokens with some evidence are returned; tried
+    counts all that were looked at, by family and step of the battery.
     """
-    out = []
-    for s, e in parts(text):
+    out, covered, at, run = [], joined(base), 0, -1
+    for s, e in parts(text):  # by start, so base spans are passed once
+        while at < len(covered) and covered[at][1] <= s:
+            at += 1
         token = text[s:e].rstrip("=")
-        if len(token) < 20 or any(a < e and s < b for _, a, b in base):
+        if len(token) < 20 or at < len(covered) and covered[at][0] < e:
             continue
         name = encoding(token)
         of = family(name, len(token))
@@ -171,7 +188,9 @@ def candidates(text: str, base: list[tuple[int, int, int]], tried: Counter | Non
         if tried is not None:
             tried[of, step] += 1
         if name != "decimal" and (high := surprise(token, ENCODINGS[name])) > 0:
-            out.append((s, e, of, step, min(TOP, int(high / STEP))))
+            inside = run >= 0 and e <= out[run][1]
+            out.append((s, e, of, step, min(TOP, int(high / STEP)), run if inside else -1))
+            run = run if inside else len(out) - 1
     return out
 
 
@@ -182,10 +201,10 @@ def family(name: str, n: int) -> int:
 
 def found(text: str, bars: Bars) -> list[tuple[int, int, int]]:
     """All spans of a text, added ones where a candidate passes the bars."""
-    base, more = base_spans(text), []
-    for s, e, of, step, evidence in candidates(text, base):
-        if bars.passes(of, step, evidence) and not (more and s < more[-1][2]):  # a part of a found run is found with it
-            more.append((3, s, e))
+    base = base_spans(text)
+    some = candidates(text, base)
+    passed = [bars.passes(*x[2:5]) for x in some]
+    more = [(3, x[0], x[1]) for x, own in zip(some, passed) if own and not (x[5] >= 0 and passed[x[5]])]  # a part of a found run is found with it
     return sorted(base + more, key=lambda s: (s[1], s[0]))
 
 
@@ -193,7 +212,7 @@ def said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-RAW = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<k:int,s:long,e:long>>, more array<struct<s:long,e:long,of:int,step:int,evidence:int>>, tried array<struct<of:int,step:int,n:long>>"
+RAW = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<k:int,s:long,e:long>>, more array<struct<s:long,e:long,of:int,step:int,evidence:int,run:int>>, tried array<struct<of:int,step:int,n:long>>"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -206,7 +225,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         def structs(longs, ints):
             return pa.list_(pa.struct([(n, pa.int64()) for n in longs] + [(n, pa.int32()) for n in ints]))
 
-        types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])), structs("se", ("of", "step", "evidence")), pa.list_(pa.struct([("of", pa.int32()), ("step", pa.int32()), ("n", pa.int64())]))]
+        types = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int64()), ("e", pa.int64())])), structs("se", ("of", "step", "evidence", "run")), pa.list_(pa.struct([("of", pa.int32()), ("step", pa.int32()), ("n", pa.int64())]))]
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more", "tried"]
         for batch in batches:
             rows = []
@@ -215,7 +234,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 n = [sum(k == i for k, _, _ in base) for i in range(3)]
                 more = candidates(text, base, tried := Counter())
-                rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), [dict(zip("kse", x)) for x in base], [dict(zip(("s", "e", "of", "step", "evidence"), x)) for x in more], [{"of": of, "step": step, "n": m} for (of, step), m in tried.items()]))
+                rows.append((*n, hashlib.sha256(said(base).encode()).hexdigest(), [dict(zip("kse", x)) for x in base], [dict(zip(("s", "e", "of", "step", "evidence", "run"), x)) for x in more], [{"of": of, "step": step, "n": m} for (of, step), m in tried.items()]))
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names)
 
@@ -269,8 +288,11 @@ def secrets(docs: DataFrame, q: float = 0.01, alpha: float = 1e-3) -> DataFrame:
     """For each document its counts, the digest of its base spans, and all spans as kind:start:end."""
     scans = kept(scanned(docs), "secrets")
     limits = bars(scans, q, alpha)
-    passed = F.filter("more", lambda x: limits.column(x["of"], x["step"], x["evidence"]))
-    passed = F.filter(passed, lambda x: ~F.exists(passed, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (x["e"] - x["s"] < y["e"] - y["s"])))  # a part of a found run is found with it
+
+    def passes(x: Column) -> Column:
+        return F.coalesce(limits.column(x["of"], x["step"], x["evidence"]), F.lit(False))
+
+    passed = F.filter("more", lambda x: passes(x) & ~passes(F.get("more", x["run"])))  # a part of a found run is found with it
     every = F.sort_array(
         F.concat(
             F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))),
