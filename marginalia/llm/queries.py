@@ -33,7 +33,7 @@ def op5_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -437,11 +437,11 @@ def repeats(docs: DataFrame, hot: int = 20_000, shard_rows: int = 25_000) -> Dat
     return found.where("later").select("doc_id", "rid", "start", "last").union(_sorted(spread, shards))
 
 
-OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
+OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(batch, texts: list[bytes], runs: list):
-    """The result for each text, without its runs of strings."""
+def _cut(batch, texts: list[bytes], runs: list, keep_text: bool):
+    """The result for each text, without its runs of strings; kept_text only on demand."""
     import pyarrow as pa
 
     out: list[list] = [[], [], [], [], []]
@@ -459,12 +459,13 @@ def _cut(batch, texts: list[bytes], runs: list):
         text = b"".join(left)
         for column, v in zip(out, (len(raw), removed, n, hashlib.sha256(text).hexdigest(), text)):
             column.append(v)
-    columns = (pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))
-    return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+    n = len(out) if keep_text else len(out) - 1
+    columns = (pa.array(c, t) for c, t in zip(out[:n], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))
+    return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: n + 1])
 
 
-def without_repeats(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (bytes) for each document."""
+def without_repeats(docs: DataFrame, keep_text: bool = True, **settings) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept_text (bytes) for each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = kept(repeats(docs, **settings).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "last")).alias("runs")), "repeat-runs")  # bounded by a text's length
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select("rid")))
@@ -474,7 +475,7 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
 
         for batch in batches:
             for part, texts in text_batches([batch.filter(pa.array(~marked(batch.column(1).to_numpy(), shared.value)))]):
-                yield _cut(part, texts, [None] * len(texts))
+                yield _cut(part, texts, [None] * len(texts), keep_text)
 
     def touched(batches):
         import pyarrow as pa
@@ -484,11 +485,11 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
 
     def cut(batches):
         for batch, texts in text_batches(batches):
-            yield _cut(batch, texts, batch.column(2).to_pylist())
+            yield _cut(batch, texts, batch.column(2).to_pylist(), keep_text)
 
     rows = _identified(docs)
     some = rows.mapInArrow(touched, rows.schema).alias("a")
     same = (F.col("a.rid") == F.col("b.rid")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
     joined = some.join(found.alias("b"), same, "left").select("a.doc_id", "a.text", "b.runs")
-    schema = f"doc_id {kind}, {OUT}"
+    schema = f"doc_id {kind}, {OUT}" + (", kept_text binary" if keep_text else "")
     return rows.mapInArrow(whole, schema).union(joined.mapInArrow(cut, schema))

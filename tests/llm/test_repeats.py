@@ -52,6 +52,8 @@ def test_equals_brute_force(spark, hot):
     got = D.without_repeats(df, hot=hot, shard_rows=300).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == brute(rows())
     assert all(hashlib.sha256(r.kept_text).hexdigest() == r.kept_sha256 for r in got)
+    short = D.without_repeats(df, keep_text=False, hot=hot, shard_rows=300)
+    assert short.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and sorted(map(tuple, short.collect()), key=str) == brute(rows())
 
 
 def test_texts_longer_than_a_chunk(spark):
