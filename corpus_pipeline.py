@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, near_copies, packing, quality_rules, secrets
-from marginalia.llm.common import kept, table
+from marginalia.llm.common import forget, kept, table
 from marginalia.llm.queries import MIXTURE
 
 
@@ -58,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(*before)  # the next stage's rows are written; the last ones stay, the result reads them
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
