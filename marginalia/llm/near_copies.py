@@ -12,7 +12,8 @@ pair which overlaps enough can miss. Only sets of pairs that are left travel.
 
 A shingle of very many near copies would make a pair of each two: besides the trie's, a first round therefore tries only
 the text whose fingerprint is nearest to the group's majority and the neighbour in order of fingerprints; a second one
-tries all pairs that the first has left in different components.
+tries all pairs that the first has left in different components. A shingle of many texts is dealt over a triangle of
+cells there, each of two parts of its texts, so no task gathers all of them.
 
 Defined cases: texts of equal sets are one node; a text of fewer words than a shingle is one shingle; null and blank
 texts have the empty set and stay together. Very long texts are whole: a set is one row. Only doc_id and text are read;
@@ -197,17 +198,18 @@ def star_pairs(group, fp):
     return np.r_[row[star], row[before]], np.r_[centre[star], row[before] - 1]
 
 
-def all_pairs(group, label):
-    """Rows (i, j) of each group whose labels differ, by growing distance; rows are sorted by group."""
+def all_pairs(group, label, side, n, percent: int):
+    """Rows (i, j) of each group whose labels and sides differ (side -1: any), by growing distance; rows are sorted by group and
+    size n, and a row is done once the next one's size is too large for an overlap of percent."""
     import numpy as np
 
     row = np.arange(len(group))
     for d in range(1, len(group)):
         row = row[row + d < len(group)]
-        row = row[group[row] == group[row + d]]
+        row = row[(group[row] == group[row + d]) & (percent * n[row + d] <= 100 * n[row])]
         if not len(row):
             return
-        apart = row[label[row] != label[row + d]]
+        apart = row[(label[row] != label[row + d]) & ((side[row] < 0) | (side[row] != side[row + d]))]
         yield apart, apart + d
 
 
@@ -229,40 +231,48 @@ def trie_pairs(live: DataFrame, budget: int) -> DataFrame:
     return stars.union(across).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 200_000, hot: int = 50_000) -> DataFrame:
+def candidates(nodes: DataFrame, percent: int, first: bool, shard_rows: int = 200_000, hot: int = 50_000, deal: int = 1000) -> DataFrame:
     """(u, v): pairs of nodes that share a shingle of their prefixes and whose sizes allow the overlap; u > v.
 
     In the first round a shingle of more than `hot` nodes is dealt out at random; the second one has only shingles whose
     nodes are in several components by then, and tries all pairs across these. Its rows carry the counts by bucket, so
-    that of a large group only pairs that may overlap enough come out.
+    that of a large group only pairs that may overlap enough come out. A shingle of more than `deal` nodes is cut into
+    parts there, as many as grow with the root of its nodes: each node goes to the cells of its part with every part, so
+    cells and copies of a row both grow with the root, and each two nodes meet in one cell.
     """
     own, salt = ["node", "n", "fp", "label", *([] if first else ["buckets"])], F.lit(0)
+    side, total = F.lit(-1).cast("long"), nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     rows = nodes.select(*own, F.explode("prefix").alias("p")).select(*own, "p.h", "p.at")
     sizes = rows.groupBy("h").agg(F.count("*").alias("of_h"), F.min("label").alias("low"), F.max("label").alias("high"))
     if not first:
-        rows = rows.join(sizes.where("low <> high").select("h"), "h", "left_semi")
+        parts = F.when(F.col("of_h") > deal, F.ceil(4 * F.sqrt(F.col("of_h") / deal))).otherwise(1).cast("long")
+        cut = kept(sizes.where("low <> high").select("h", "of_h", parts.alias("parts")), "near-cut")
+        total = cut.agg(F.sum(F.col("of_h") * F.col("parts"))).first()[0] or 0
+        part = F.pmod(F.xxhash64("h", "node"), F.col("parts")).alias("part")
+        rows = rows.join(cut.drop("of_h"), "h").select("*", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        side = F.when(F.col("part") == F.col("other"), side).otherwise(F.col("part"))
+        salt = F.when(F.col("parts") == 1, 0).otherwise(F.xxhash64(F.least("part", "other"), F.greatest("part", "other")))
     elif not (wide := kept(sizes.where(F.col("of_h") > hot).select("h", "of_h"), "near-hot")).isEmpty():
         rows = rows.join(wide, "h", "left")
         salt = F.coalesce(F.pmod(F.xxhash64("h", "node"), F.floor(F.col("of_h") / hot) + 1), F.lit(0))
-    rows = rows.withColumn("h", F.when(salt == 0, F.col("h")).otherwise(F.xxhash64("h", salt))).select(*own, "h", "at")
-    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    rows = rows.withColumn("h", F.when(salt == 0, F.col("h")).otherwise(F.xxhash64("h", salt))).select(*own, "h", "at", side.alias("side"))
     shards = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // shard_rows + 1)
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        h, node, n, fp, label, at = (table.column(c).to_numpy() for c in ("h", "node", "n", "fp", "label", "at"))
+        h, node, n, fp, label, at, side = (table.column(c).to_numpy() for c in ("h", "node", "n", "fp", "label", "at", "side"))
         fp = np.ascontiguousarray(fp).view(np.uint64)
-        order = np.lexsort((fp, h))
+        order = np.lexsort((fp if first else n, h))
         h = h[order]
         twin = np.r_[False, h[1:] == h[:-1]]
         twin[:-1] |= twin[1:]
         order, h = order[twin], h[twin]
-        node, n, fp, label, at = node[order], n[order], fp[order], label[order], at[order]
+        node, n, fp, label, at, side = (x[order] for x in (node, n, fp, label, at, side))
         counts = None if first or not len(order) else counts_of(table.column("buckets").take(pa.array(order)))
         found = [np.zeros((0, 2), np.int64)]
-        for i, j in [star_pairs(h, fp)] if first else all_pairs(h, label):
+        for i, j in [star_pairs(h, fp)] if first else all_pairs(h, label, side, n, percent):
             # at the first shingle that they share, all that they share is still to come
             fit = (100 + percent) * np.minimum(n[i] - at[i], n[j] - at[j]) >= percent * (n[i] + n[j])
             i, j = i[fit], j[fit]

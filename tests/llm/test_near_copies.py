@@ -72,7 +72,7 @@ def test_hot_shingles_lose_no_link(spark):
     rows = texts()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     whole = N.candidates
-    N.candidates = functools.partial(whole, hot=3, shard_rows=50)
+    N.candidates = functools.partial(whole, hot=3, shard_rows=50, deal=3)
     try:
         assert sorted(r.doc_id for r in N.representatives(df).collect()) == brute(rows)
     finally:
@@ -98,3 +98,25 @@ def test_counts_of_small_and_large_sets():
     got = N.counts_of(pa.array([N.bucket_counts(small), N.bucket_counts(large)], pa.binary()))
     assert got.sum(axis=1).tolist() == [50, 300] and got[1, 0] == 300
     assert N.may_overlap(got[:1], got[:1], np.array([100]), 80).tolist() == [True] and N.may_overlap(got[:1], got[1:], np.array([350]), 80).tolist() == [False]
+
+
+def test_second_round_dealt_over_cells_is_all_pairs(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    base = [r.integers(1, 2**62, 40, dtype=np.uint64) for _ in range(6)]
+    sets = []
+    for k in range(90):
+        own = base[k % 6].copy()
+        own[r.choice(40, k % 5, replace=False)] = r.integers(1, 2**62, k % 5, dtype=np.uint64)
+        sets.append(np.unique(np.r_[own[: 40 - k % 9], np.uint64(7)]))
+    n = np.array([len(x) for x in sets])
+    rows = [(k, len(x), 0, k % 40, [(7, 0), (1000 + k, 1)], N.bucket_counts(x)) for k, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, n long, fp long, label long, prefix array<struct<h:long,at:long>>, buckets binary")
+    counts = np.stack([np.frombuffer(x[5], "u1") for x in rows])
+    i, j = np.triu_indices(90, 1)
+    fit = (i % 40 != j % 40) & (180 * np.minimum(n[i], n[j]) >= 80 * (n[i] + n[j])) & N.may_overlap(counts[i], counts[j], n[i] + n[j], 80)
+    want = sorted(zip(j[fit].tolist(), i[fit].tolist()))
+    for deal in (1, 20, 10**9):
+        got = N.candidates(nodes, 80, False, shard_rows=100, deal=deal)
+        assert sorted(map(tuple, got.collect())) == want and 50 < len(want) < 2000
