@@ -11,8 +11,7 @@ Perplexities are compared within a language. A short text tells little, so its l
 median as if `prior` more symbols of that had been read. The threshold of a language is the `quantile` of its trusted
 documents of the half that the model never reads; languages with none use that of all of that half.
 
-Bound, a parameter: `sample` trusted documents of the other half train the model, the least hashes of their ids. Quantiles
-use all of theirs. Defined cases: null and empty texts have no symbols, their perplexity is null and they are kept (there
+All trusted documents of the other half train the model; quantiles use all of theirs. Defined cases: null and empty texts have no symbols, their perplexity is null and they are kept (there
 is no evidence against them); a null lang is a language of its own; null doc_ids are never trusted; a document labelled
 both ways isn't trusted; repeated rows come out once each; a perplexity equal to the threshold is kept; very long texts
 are scored whole; without trusted documents everything is kept. Extra columns are ignored.
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, forget, kept, text_batches
+from .common import arrays, bitmap, forget, kept, marked, text_batches
 from .symbols import ngram_keys, summed
 
 SIZE, BITS, ORDER = 256, 8, 5
@@ -182,11 +181,26 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit("quantile")), F.lit(2)) == 0
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, quality: str = "quality", sample: int = 20_000, prior: int = 400, quantile: float = 0.99, broadcast_rows: int = 4_000_000) -> DataFrame:
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """text of the rows of docs whose doc_id is in ids, distinct ones. A bitmap finds them in the scan, a join settles it, so that no other text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h"))))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            some = batch.filter(pa.array(marked(batch.column(0).to_numpy(), shared.value)))
+            yield pa.RecordBatch.from_arrays([some.column(1), some.column(2)], ["doc_id", "text"])
+
+    near = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string")
+    return near.join(ids, "doc_id").select("text")
+
+
+def judged(docs: DataFrame, labels: DataFrame, *, quality: str = "quality", prior: int = 400, quantile: float = 0.99, broadcast_rows: int = 4_000_000) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity (of a symbol), threshold, kept."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col(quality).isNotNull()).groupBy("doc_id").agg(F.min(quality).alias("q")).where("q = 1").select("doc_id")
-    chosen = good.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    trusted = kept(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text"), "kn-trusted")
+    trusted = kept(_of(docs, good.where(~held_out(F.col("doc_id")))), "kn-trusted")
     tables = model(trusted)
     if sum(t.count() for t in tables) <= broadcast_rows:
         got = [arrays(t) for t in tables]

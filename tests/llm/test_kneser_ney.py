@@ -123,3 +123,17 @@ def test_no_trusted_documents_keep_everything(spark):
     docs, labels = frames(spark)
     assert K.judged(docs, labels.limit(0)).where("not kept").count() == 0
     assert K.judged(docs.limit(0), labels).count() == 0
+
+
+def test_every_trusted_document_trains_the_model(spark):
+    """Half of 42,000 trusted documents train; the words of those whose ids have the greatest hashes count like all others."""
+    ids = spark.range(42_000).withColumn("last", F.xxhash64("id") > F.lit(int(0.99 * 2**63)))
+    docs = ids.select(F.col("id").alias("doc_id"), F.when(F.col("last"), "zq zq zq").otherwise("ab ab ab").alias("text"), F.lit("en").alias("lang"))
+    probe = spark.createDataFrame([(-1, "zq zq zq", "en"), (None, "zq zq zq", "en")], "doc_id long, text string, lang string")
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = {r.doc_id: r.perplexity for r in K.judged(docs.unionByName(probe), labels).where("coalesce(doc_id, -1) = -1").collect()}
+    texts = docs.where(~K.held_out(F.col("doc_id"))).select("text")
+    assert texts.count() > 20_000 and texts.where("text like 'z%'").count()
+    table = looked_up([t.toPandas() for t in K.model(texts)])
+    want = 2 ** -table.log2(K._keys([b"zq zq zq"])[0]).mean()
+    assert all(math.isclose(got[i], want, rel_tol=1e-9) for i in (-1, None)) and len(got) == 2
