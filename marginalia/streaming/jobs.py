@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from marginalia.operators.admission import window_hits_by_key
+from marginalia.operators.runs import key_text
 from marginalia.sources.tables import latest, merge
 
 
@@ -59,11 +61,12 @@ def with_late(on_time: str, late: str, ts: str, minutes: int, run: str = "first"
     return apply
 
 
-def rate_limited(stream: DataFrame, window_ms: int = 60_000, most: int = 20, key: str = "ip") -> DataFrame:
+def rate_limited(stream: DataFrame, window_ms: int = 60_000, most: int = 20, key: str = "ip", buckets: int = 256) -> DataFrame:
     """event_id and rate_ok of each request; the state of a key is two numbers, dropped when its window is over.
 
-    Rows of a key are taken in order of time within each micro-batch, as in the batch form over the whole; what a task
-    holds of a key is bounded by the source's files for each micro-batch.
+    Keys go through in buckets, by hash, so that a step in Python folds many of them at once. Rows of a key are taken in
+    order of time within each micro-batch, as in the batch form over the whole; what a task holds of a bucket is bounded by
+    the source's files for each micro-batch. buckets: stays as long as the stream's checkpoint does.
     """
     import pandas as pd
 
@@ -71,18 +74,18 @@ def rate_limited(stream: DataFrame, window_ms: int = 60_000, most: int = 20, key
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
-        start, n = state.get if state.exists else (None, 0)
-        ok = []
-        for ms in rows["ms"].tolist():
-            start, n = (ms, 1) if start is None or ms - start > window_ms else (start, n + 1)
-            ok.append(n <= most)
-        state.update((start, n))
-        state.setTimeoutTimestamp(max(start + window_ms + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "rate_ok": ok})
-
-    rows = stream.withWatermark("ts", "1 hour").select(key, "event_id", F.unix_millis("ts").alias("ms"), "ts")
-    return rows.groupBy(key).applyInPandasWithState(step, "event_id long, rate_ok boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+        rows, watermark = pd.concat(list(frames)).sort_values(["ms", "event_id"]), state.getCurrentWatermarkMs()
+        hits, after = window_hits_by_key(rows["key"].to_numpy(object), rows["ms"].to_numpy(), state.get if state.exists else ([], [], []), window_ms, watermark)
+        state.update(after)
+        state.setTimeoutTimestamp(max([x + window_ms for x in after[1]] + [watermark]) + 1)
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "rate_ok": hits <= most})
+
+    rows = stream.withWatermark("ts", "1 hour").select(bucket(F.col(key), buckets).alias("bucket"), key_text(F.col(key)).alias("key"), "event_id", F.unix_millis("ts").alias("ms"), "ts")
+    return rows.groupBy("bucket").applyInPandasWithState(step, "event_id long, rate_ok boolean", "keys array<string>, starts array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets))
 
 
 def run_once(stream: DataFrame, checkpoint: str, *, to: str | None = None, each=None) -> None:
