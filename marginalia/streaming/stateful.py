@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from marginalia.operators.runs import key_text
+from marginalia.streaming import jobs
+
 DAY_MS = 86_400_000
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -69,28 +72,27 @@ def _ordered(frames):
 
 
 class Rate(_Processor):
-    """State: the window's start and its requests so far; it goes when the window is over."""
+    """State of a bucket of addresses: for each one, the window's start and its requests so far; it goes when the window is over."""
 
-    schema = "start long, n long"
+    schema = "keys array<string>, starts array<long>, counts array<long>"
 
     def __init__(self, window_ms: int, most: int):
         self.window_ms, self.most = window_ms, most
 
     def step(self, key, rows: Iterator, timers) -> Iterator:
-        from marginalia.operators.admission import window_hits
+        from marginalia.operators.admission import window_hits_by_key
 
         rows, ms = _ordered(rows)
-        start, n = self.get((None, 0))
-        hits, _, start, n = window_hits(ms, start, n, self.window_ms)
-        self.state.update((int(start), int(n)))
-        self.wake_at(int(start) + self.window_ms + 1, timers)
-        yield rows.drop(columns=["ip"]).assign(rate_ok=hits <= self.most)
+        hits, after = window_hits_by_key(rows["ip"].to_numpy(object), ms, self.get(([], [], [])), self.window_ms, timers.getCurrentWatermarkInMs())
+        self.state.update(after)
+        self.wake_at(max(after[1], default=0) + self.window_ms + 1, timers)
+        yield rows.drop(columns=["bucket", "ip"], errors="ignore").assign(rate_ok=hits <= self.most)
 
 
 class Budget(_Processor):
-    """State: the day and its tokens; it goes when the day is over. Requests that need no budget pass, without a state."""
+    """State of a bucket of users: for each user and day, the day's tokens; it goes when the day is over. Requests that need no budget pass, without a state."""
 
-    schema = "day long, used long"
+    schema = "users array<string>, days array<long>, used array<long>"
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -99,34 +101,40 @@ class Budget(_Processor):
         import numpy as np
         import pandas as pd
 
-        if key[1] >= 0:
+        if key[0] < 0:
             for frame in rows:
                 yield frame[["event_id", "ts"]].assign(reason=np.where(~frame["rate_ok"].astype(bool), "rate", np.where(frame["is_admin"].astype(bool), "admin", "ok")))
             return
         rows, ms = _ordered(rows)
-        day, tokens = ms // DAY_MS, rows["tokens"].to_numpy()
-        known, used = self.get((-1, 0))
-        same = pd.Series(tokens).groupby(np.r_[0, np.cumsum(day[1:] != day[:-1])]).cumsum().to_numpy() + np.where(np.minimum.accumulate(day == known), used, 0)
-        first = np.r_[day[0] != known, day[1:] != day[:-1]]
-        self.state.update((int(day[-1]), int(same[-1])))
-        self.wake_at((int(day[-1]) + 1) * DAY_MS, timers)
-        yield rows[["event_id", "ts"]].assign(reason=np.where(first | (same <= self.limit), "ok", "budget"))
-
-
-def admitted(stream: DataFrame, window_ms: int, most: int, limit: int, late: str = "1 hour", spread: int = 64) -> DataFrame:
+        used = {(user, day): n for user, day, n in zip(*self.get(([], [], [])))}
+        code, own = pd.MultiIndex.from_arrays([rows["spender"], ms // DAY_MS]).factorize()
+        before = np.array([used.get(k, 0) for k in own], np.int64)
+        spent = pd.Series(rows["tokens"].to_numpy()).groupby(code).cumsum().to_numpy() + before[code]
+        first = ~pd.Series(code).duplicated().to_numpy() & np.array([k not in used for k in own])[code]
+        used.update(zip(own, (before + np.bincount(code, rows["tokens"].to_numpy(), len(own)).astype(np.int64)).tolist()))
+        watermark = timers.getCurrentWatermarkInMs()
+        left = [(user, int(day), n) for (user, day), n in used.items() if (day + 1) * DAY_MS > watermark]
+        self.state.update(tuple(map(list, zip(*left))) if left else ([], [], []))
+        self.wake_at((max((day for _, day, _ in left), default=0) + 1) * DAY_MS, timers)
+        yield rows[["event_id", "ts"]].assign(reason=np.where(first | (spent <= self.limit), "ok", "budget"))
+
+
+def admitted(stream: DataFrame, window_ms: int, most: int, limit: int, late: str = "1 hour", spread: int = 64, buckets: int = 256) -> DataFrame:
     """event_id, ts and reason of each request, by two chained processors: the rate by address, then the budget by user.
 
-    The second one's state sees only what the first lets through, is no administrator's and has a user; all other rows
-    pass it under `spread` keys of their own, so that guests are no hot key.
+    Addresses and users go through in buckets, by hash, so that a step in Python folds many of them at once; `buckets` and
+    `spread` stay as long as the stream's checkpoint does. The second one's state sees only what the first lets through, is no administrator's
+    and has a user; all other rows pass it under `spread` keys of their own, so that guests are no hot key.
     """
-    rows = stream.withWatermark("ts", late).select("ip", "event_id", "ts", "user_id", "is_admin", "tokens")
+    rows = stream.withWatermark("ts", late).select(jobs.bucket(F.col("ip"), buckets).alias("bucket"), key_text(F.col("ip")).alias("ip"), "event_id", "ts", "user_id", "is_admin", "tokens")
     user = stream.schema["user_id"].dataType.simpleString()
-    rated = rows.groupBy("ip").transformWithStateInPandas(
+    rated = rows.groupBy("bucket").transformWithStateInPandas(
         Rate(window_ms, most), f"event_id long, ts timestamp, user_id {user}, is_admin boolean, tokens long, rate_ok boolean", "append", "eventtime", eventTimeColumnName="ts"
     )
     spends = F.col("rate_ok") & ~F.col("is_admin")
-    keyed = rated.withColumn("spender", F.when(spends, F.col("user_id").cast("string"))).withColumn("salt", F.when(F.col("spender").isNull(), F.pmod("event_id", F.lit(spread))).otherwise(-1))
-    return keyed.groupBy("spender", "salt").transformWithStateInPandas(Budget(limit), "event_id long, ts timestamp, reason string", "append", "eventtime", eventTimeColumnName="ts")
+    keyed = rated.withColumn("spender", F.when(spends, F.col("user_id").cast("string")))
+    keyed = keyed.withColumn("bucket", F.when(F.col("spender").isNull(), -1 - F.pmod("event_id", F.lit(spread))).otherwise(jobs.bucket(F.col("spender"), buckets)))
+    return keyed.groupBy("bucket").transformWithStateInPandas(Budget(limit), "event_id long, ts timestamp, reason string", "append", "eventtime", eventTimeColumnName="ts")
 
 
 class Expiry(_Processor):

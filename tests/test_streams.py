@@ -59,3 +59,31 @@ def test_depths_count_late_rows_where_they_arrive(spark, tmp_path):
     path = str(tmp_path)
     got = run(spark, stateful.depths(stream(spark, path, [first, second], schema), 2), path).collect()
     assert sorted((x.event_id, x.pending, x.rejected) for x in got) == [(1, 1, False), (2, 2, True), (3, 0, False), (4, 0, False), (5, 3, True), (6, 4, False), (7, 0, False)]
+
+
+def test_windows_of_many_keys_equal_those_of_each(spark):
+    """Found together, over three batches with late rows and windows that end in between."""
+    import numpy as np
+
+    r, state, each = random.Random(5), ([], [], []), {}
+    for batch in range(3):
+        rows = sorted((batch * 5_000 + r.randrange(-500, 6_000), r.choice("aaaaabcdefgh") + r.choice(["", "x"])) for _ in range(400))
+        ms, keys = np.array([m for m, _ in rows]), np.array([k for _, k in rows], object)
+        hits, state = admission.window_hits_by_key(keys, ms, state, 700, batch * 5_000 - 500)
+        for k in set(keys):
+            want, _, start, n = admission.window_hits(ms[keys == k], *each.get(k, (None, 0)), 700)
+            each[k] = start, n
+            assert hits[keys == k].tolist() == want.tolist()
+        assert {k: (s, n) for k, s, n in zip(*state)} == {k: v for k, v in each.items() if v[0] + 700 >= batch * 5_000 - 500}
+
+
+def test_a_step_folds_many_keys(spark, tmp_path):
+    """3,000 addresses and users in 8 buckets, equal to the batch forms."""
+    schema = "ip string, event_id long, ts timestamp, user_id long, is_admin boolean, tokens long"
+    rows = [(f"{i % 3_000}", i, START + dt.timedelta(seconds=20 * i), i % 3_000, False, 30_000) for i in range(12_000)]
+    path, whole = str(tmp_path), spark.createDataFrame(rows, schema)
+    halves = stream(spark, path, [rows[:6_000], rows[6_000:]], schema)
+    got = {x.event_id: x.reason for x in run(spark, stateful.admitted(halves, 86_400_000, 2, 50_000, buckets=8), path).collect()}
+    assert got == {x.event_id: x.reason for x in admission.admitted(whole, 86_400_000, 2, 50_000).collect()}
+    rates = {x.event_id: x.rate_ok for x in run(spark, jobs.rate_limited(halves, 86_400_000, 2, buckets=8), path, "rates").collect()}
+    assert rates == {x.event_id: x.rate_ok for x in admission.rate_limited(whole, 86_400_000, 2).collect()}
