@@ -22,13 +22,19 @@ def by_paper(sessions: DataFrame, errors: DataFrame) -> DataFrame:
 LABELS = {"month": month_label, "semester": semester_label, "year": year_label}
 
 
-def by_time(errors: DataFrame, period: str = "month") -> DataFrame:
-    """Mistakes are summed by paper first, so that the two distinct counts expand papers instead of mistakes."""
+def by_time(times: DataFrame, sessions: DataFrame, period: str = "month") -> DataFrame:
+    """times: session_id and created_at of each mistake. These are summed by paper before they meet their sessions, so that wide rows are never grouped.
+
+    Papers are counted where a session's rows of one user begin, so that subjects alone are counted as distinct ones and no row is expanded.
+    """
     label = LABELS[period](F.col("created_at")).alias("time_label")
-    papers = errors.groupBy("user_id", label, "subject", "session_id").agg(F.min("created_at").alias("low"), F.max("created_at").alias("high"), F.count("*").alias("n"))
-    return papers.groupBy("user_id", "time_label").agg(
+    papers = times.groupBy("session_id", label).agg(F.min("created_at").alias("low"), F.max("created_at").alias("high"), F.count("*").alias("n"))
+    before = F.lag(F.struct("user_id")).over(Window.partitionBy("session_id").orderBy("user_id", "subject"))
+    owners = sessions.select(F.col("id").alias("session_id"), "user_id", "subject").where("session_id is not null")
+    owners = owners.withColumn("paper", (~before.eqNullSafe(F.struct("user_id"))).cast("long"))
+    return papers.join(owners, "session_id").groupBy("user_id", "time_label").agg(
         F.min("low").alias("start_ts"), F.max("high").alias("end_ts"), F.sum("n").alias("error_count"),
-        F.countDistinct("subject").alias("subject_count"), F.countDistinct("session_id").alias("paper_count"),
+        F.countDistinct("subject").alias("subject_count"), F.sum("paper").alias("paper_count"),
     )
 
 

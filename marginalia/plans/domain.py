@@ -52,6 +52,10 @@ class Domain:
         """The stored mistakes: the last version of each key with the defaults of the store."""
         return self.owned(latest(self.versions(), ["session_id", "number"], ["created_at", "part", "supplier", "price"]))
 
+    def times(self) -> DataFrame:
+        """session_id, number and created_at of the stored mistakes: the last version of a key is one of its greatest time."""
+        return self.versions().groupBy("session_id", "number").agg(F.max("created_at").alias("created_at"))
+
     def knowledge(self) -> DataFrame:
         return self.read("part").groupBy(F.col("p_type").alias("subject"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"), F.min_by("p_brand", "p_partkey").alias("parent"))
 

@@ -25,7 +25,7 @@ def _time_sql(label: str) -> str:
 
 
 def _time(d: Domain, period: str) -> DataFrame:
-    return views.by_time(d.errors(), period).withColumns({"start_ts": F.date_format("start_ts", FMT), "end_ts": F.date_format("end_ts", FMT)})
+    return views.by_time(d.times(), d.sessions(), period).withColumns({"start_ts": F.date_format("start_ts", FMT), "end_ts": F.date_format("end_ts", FMT)})
 
 
 @query(_time_sql("strftime(created_at, '%Y-%m')"))
@@ -157,8 +157,8 @@ def paging_totals(d: Domain) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, label) = 1) g ON g.user_id = e.user_id AND e.created_at BETWEEN g.lo AND g.hi"""))
 def drilldown(d: Domain) -> DataFrame:
     """The mistakes of each user's fullest month, by the group row's own range."""
-    errors = d.errors()
-    top = views.page(views.by_time(errors, "month"), ["user_id"], [F.desc("error_count"), F.col("time_label")], 1, 1).select(F.col("user_id").alias("u"), "start_ts", "end_ts")
+    errors = d.times().join(d.sessions().select(F.col("id").alias("session_id"), "user_id"), "session_id")
+    top = views.page(views.by_time(d.times(), d.sessions(), "month"), ["user_id"], [F.desc("error_count"), F.col("time_label")], 1, 1).select(F.col("user_id").alias("u"), "start_ts", "end_ts")
     return errors.join(top, (F.col("user_id") == F.col("u")) & F.col("created_at").between(F.col("start_ts"), F.col("end_ts")), "left_semi").select("user_id", "session_id", "number")
 
 
