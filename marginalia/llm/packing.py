@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept
-from .tokens import WordTokenizer, default_path
+from .tokens import default_path, shared
 
 UNITS = 1 << 20
 
@@ -170,7 +170,7 @@ def tokenized(docs: DataFrame, path: str, close: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, sums, part = WordTokenizer(path), {}, TaskContext.get().partitionId()
+        words, sums, part = shared(path), {}, TaskContext.get().partitionId()
         end = close.to_bytes(2, "little")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):  # few texts at a time: the ids of one batch may be large

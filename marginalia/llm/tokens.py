@@ -26,6 +26,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(0x100 + rest.index(b)) for b in range(256)]
 
 
+class _Known(dict):
+    """What find gives for a key, kept: looked up once, whether known or not."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        found = self[key] = self.find(key)
+        return found
+
+
+_SHARED: dict[str, "WordTokenizer"] = {}
+
+
+def shared(path: str) -> "WordTokenizer":
+    """One tokenizer for each process, so that a task begins with the runs that those before it in the same worker have met."""
+    if path not in _SHARED:
+        _SHARED[path] = WordTokenizer(path)
+    return _SHARED[path]
+
+
 class WordTokenizer:
     """Ids as unsigned 16-bit bytes, for tokenizers that fold case, drop white space and never look across it.
 
@@ -43,8 +65,7 @@ class WordTokenizer:
         self.letters = byte_letters()
         self.latin_pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.limit = limit
-        self.runs: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.runs, self.pieces = _Known(self._run), _Known(self._piece)
 
     def encode_whole(self, text: str) -> bytes:
         import numpy as np
@@ -65,23 +86,15 @@ class WordTokenizer:
             own = self.latin_pieces.findall("".join(map(str.lower, unicodedata.normalize("NFC", run))))
         else:
             return self.encode_whole(run)
-        pieces = self.pieces
-        for p in own:
-            if p not in pieces:
-                pieces[p] = self._piece(p)
-        return pieces[own[0]] if len(own) == 1 else b"".join(map(pieces.__getitem__, own))
+        return self.pieces[own[0]] if len(own) == 1 else b"".join(map(self.pieces.__getitem__, own))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.runs) > self.limit or len(self.pieces) > self.limit:
-            self.runs, self.pieces = {}, {}
+            self.runs, self.pieces = _Known(self._run), _Known(self._piece)
         runs, out = self.runs, []
         for text in texts:
             if CONTROLS.search(text):
                 out.append(self.encode_whole(text))
                 continue
-            own = text.split()
-            for r in own:
-                if r not in runs:
-                    runs[r] = self._run(r)
-            out.append(b"".join(map(runs.__getitem__, own)))
+            out.append(b"".join(map(runs.__getitem__, text.split())))
         return out

@@ -131,3 +131,12 @@ def test_pieces_begin_in_the_phase_that_holds_them():
             start, length, window, offset = (x.tolist() for x in P.pieces(phases, q, begin, n - begin))
             assert sum(length) == n - begin and start[0] == 0
             assert (window[1:], offset[1:]) == (whole[2][-len(window) + 1 :] if len(window) > 1 else [], whole[3][-len(window) + 1 :] if len(window) > 1 else [])
+
+
+def test_a_later_task_of_a_worker_tokenizes_no_run_again(monkeypatch):
+    from marginalia.llm import tokens
+
+    first = tokens.shared(PATH)
+    want = first.encode(["plain words, and naïve ones"])
+    monkeypatch.setattr(first.runs, "find", None)  # would raise
+    assert tokens.shared(PATH) is first and tokens.shared(PATH).encode(["and plain words, and naïve ones"])[0].endswith(want[0][-4:])
