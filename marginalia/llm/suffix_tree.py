@@ -5,8 +5,7 @@ how they are written. A word has the probability of its class after what stands
 class: absolute discounting by class, the freed share being that of a word never seen. Contexts are of two kinds, kept
 where they pass a divergence test: G = sum n(c, s) ln(P(s | c) / P(s | parent)) must beat the chi-squared bound of its
 degrees. One, two and three classes are states of a tree of SIZE ** 3 leaves at most, whose next-class distributions are
-smoothed towards the parent's. Below them stand words: any word that training has often enough to be tested is a context
-of its own, with the class it belongs to as parent, so these contexts grow with the input. A position is scored in the
+smoothed towards the parent's. Below them stand words: any word that passes the test is a context of its own, with the class it belongs to as parent, so these contexts grow with the input. A position is scored in the
 state of its longest retained suffix of classes, and where its last word is retained in that word's state, smoothed
 towards it.
 
@@ -178,8 +177,13 @@ def _retained_words(pairs: DataFrame, counts: DataFrame, after_class) -> DataFra
     return tested.where(F.col("g") > BOUND).select("h", "next")
 
 
-def scored(docs: DataFrame, block_bytes: int = 16 << 20, least_word: int = 200) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. least_word: training counts from which a word may be a context."""
+def least_count(after_class) -> int:
+    """Training counts under which no word can pass the test: n of them give G <= 2 n ln(1 / least P of a class after a class)."""
+    return math.floor(BOUND / (-2 * math.log(float(after_class.min())))) + 1
+
+
+def scored(docs: DataFrame, block_bytes: int = 16 << 20, least_word: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. least_word: training counts from which a word may be a context; None: all that can pass."""
     import numpy as np
 
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
@@ -194,6 +198,7 @@ def scored(docs: DataFrame, block_bytes: int = 16 << 20, least_word: int = 200)
     singles = {r["h"]: SINGLE + i for i, r in enumerate(top)}
     grams = arrays(_class_ngrams(docs, singles))  # at most SIZE ** 4 rows
     log, after_class, _ = tree(grams["key"], grams["n"])
+    least_word = least_count(after_class) if least_word is None else least_word
     frequent = bitmap(counts.where(F.col("c") >= least_word).select("h"))
     words = kept(_retained_words(_word_pairs(docs, singles, frequent), counts.where(F.col("c") >= least_word), after_class), "lm-words")
 

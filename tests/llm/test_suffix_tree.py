@@ -151,3 +151,24 @@ def test_scores_equal_brute_force(spark):
     have, want = sorted(((str(x.doc_id), x.score) for x in got)), sorted((str(d), s) for d, s in want)
     assert [x[0] for x in have] == [x[0] for x in want]
     assert all(math.isclose(a[1], b[1], rel_tol=1e-4) for a, b in zip(have, want)), [(a, b) for a, b in zip(have, want) if not math.isclose(a[1], b[1], rel_tol=1e-4)][:3]
+
+
+def test_no_word_that_can_pass_goes_untested(spark):
+    """200 counts were needed before: scores are now those of testing every word, and fewer than the least count can't pass."""
+    r = random.Random(11)
+    pairs = {f"x{i}": r.choice(["Alpha,", "beta9", "gammé"]) for i in range(12)}
+    docs = [(d, x) for d, x in rows() if len(x or "") < 5000][:150]
+    for i in range(80):
+        ws = []
+        for _ in range(25):
+            w = r.choice([*pairs, "plain", "w3", "the"])
+            ws += [w, pairs[w] + str(r.randrange(9))] if w in pairs else [w]
+        docs.append((5000 + i, " ".join(ws)))
+    want, words = brute_scores(docs, 1)
+    assert words
+    got = S.scored(spark.createDataFrame(docs, "doc_id long, text string"), 20_000).collect()
+    have, want = sorted(((str(x.doc_id), x.score) for x in got)), sorted((str(d), s) for d, s in want)
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-4) for a, b in zip(have, want))
+    after = np.full((S.SIZE, S.SIZE), 1 / S.SIZE)
+    n = S.least_count(after)
+    assert 2 * (n - 1) * math.log(S.SIZE) <= S.BOUND < 2 * n * math.log(S.SIZE)
