@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lineage ends there, and a lost executor loses nothing."""
+def kept(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lineage ends there, and a lost executor loses nothing. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out

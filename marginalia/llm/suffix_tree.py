@@ -9,9 +9,11 @@ smoothed towards the parent's. Below them stand words: any word that passes the
 state of its longest retained suffix of classes, and where its last word is retained in that word's state, smoothed
 towards it.
 
-Word counts cover all training documents. A block of documents (by hash, about block_bytes of text) asks for the counts
-of its distinct words once; asked counts, with the retained words' distributions, are joined by word hash and go back to
-the block. Hot words are one row for each block, and no vocabulary is ever held in one place.
+Word counts cover all training documents. Texts are split into words once, where they are read, and kept as blocks: texts
+that follow each other in a task, about block_bytes of them, as numbers of the block's distinct words. Every later step reads the numbers; texts
+are never shuffled. A block asks for the counts of its distinct words once; asked counts, with the retained words' distributions, are joined by
+word hash and go back to the block. Hot words are one row for each block, and no vocabulary is ever held in one place. A task holds the words of
+PART bytes of text as strings at a time, or of one longer text, and a block's as numbers.
 
 Words are told apart by XXH64. Defined cases: a null text is empty, with the end as its only token. A null doc_id is not
 held out. Repeated rows come out once each. Very long texts are scored whole, in one block. Ties between the commonest
@@ -22,10 +24,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, bitmap, forget, kept, marked, text_batches
+from .common import arrays, bitmap, kept, marked
 from .symbols import ngram_keys, summed
 
 SIZE, DEPTH = 48, 3
@@ -35,6 +37,8 @@ END, WRITTEN, SINGLE = 1, 2, 18
 PSEUDO = 50.0
 #: 1 in 1000 beyond chance for SIZE - 1 degrees, by the normal approximation of chi-squared.
 BOUND = (SIZE - 1) + 3.1 * math.sqrt(2 * (SIZE - 1))
+#: Bytes of text whose words are held as strings at a time.
+PART = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,97 +53,174 @@ def written_class(word: bytes) -> int:
     return WRITTEN + 8 * (len(core) < len(word)) + 4 * (not word.isascii()) + kind
 
 
-class Batch:
-    """Distinct words of some texts: their hashes, and the texts as numbers of words."""
+def spans(ends, most: int):
+    """(first, end) of some things at a time, of about so much together; ends: running sums of their sizes."""
+    import numpy as np
+
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+class Gathered:
+    """A block in the making."""
+
+    def __init__(self):
+        self.ids, self.out, self.sizes, self.tokens, self.hashes, self.cls = ([] for _ in range(6))
+        self.size = self.words = 0
 
-    def __init__(self, raws: list[bytes]):
+    def add(self, ids, out, raws: list[bytes]) -> None:
         import numpy as np
         import xxhash
 
         number: dict[bytes, int] = {}
         texts = [np.array([number.setdefault(w, len(number)) for w in x.lower().split()], np.int32) for x in raws]
-        self.words = list(number)
-        self.sizes = np.array([len(t) + 1 for t in texts], np.int64)  # with the end
-        self.begin = np.cumsum(self.sizes) - self.sizes
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64).view(np.int64)
-        self.tokens = np.full(int(self.sizes.sum()), len(self.words), np.int32)  # the end has the number after the last
-        for b, t in zip(self.begin, texts):
-            self.tokens[b : b + len(t)] = t
-
-    def parts(self, most: int = 1 << 18):
-        """(first text, end, first token, end) of some texts at a time, of about so many tokens together."""
+        self.ids.append(ids)
+        self.out.append(out)
+        self.sizes.append(np.array([len(t) + 1 for t in texts], np.int64))  # with the end
+        end = np.array([-1], np.int32)
+        self.tokens.append(np.concatenate([x for t in texts for x in (t + self.words, end)]).astype(np.int32))
+        self.hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)).view(np.int64))
+        self.cls.append(np.fromiter(map(written_class, number), np.int8, len(number)))
+        self.size += sum(map(len, raws))
+        self.words += len(number)
+
+    def row(self, block: int):
+        """One row of _blocks(); commoner words have smaller numbers, the end has the number after the last."""
         import numpy as np
+        import pyarrow as pa
 
-        ends = np.cumsum(self.sizes)
-        lo = 0
-        while lo < len(ends):
-            hi = max(lo + 1, int(np.searchsorted(ends, self.begin[lo] + most, "right")))
-            yield lo, hi, int(self.begin[lo]), int(ends[hi - 1])
-            lo = hi
+        h, first, at = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        self.hashes, cls = [], np.concatenate(self.cls)[first]
+        tokens, sizes = np.append(at, len(h)).astype(np.int32)[np.concatenate(self.tokens)], np.concatenate(self.sizes)
+        self.tokens = []
+        order = np.argsort(-np.bincount(tokens, minlength=len(h) + 1)[:-1], kind="stable")
+        number = np.full(len(h) + 1, len(h), np.int32)
+        number[order] = np.arange(len(h))
+        tokens = number[tokens]
+        ids, out = pa.concat_arrays(self.ids), pa.concat_arrays(self.out)
+        n = np.bincount(tokens[np.repeat(~out.to_numpy(zero_copy_only=False), sizes)], minlength=len(h) + 1)[:-1]
+        lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        binary = lambda x: pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), pa.py_buffer(x)])
+        columns = {
+            "block": pa.array([block], pa.int64()), "doc_id": lists(ids), "out": lists(out), "sizes": binary(sizes),
+            "tokens": binary(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).ravel()),  # all first bytes, then all second ones: smaller on disk
+            "h": lists(pa.array(h[order])), "cls": binary(cls[order]), "n": lists(pa.array(n.astype(np.int64))),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, doc_id, out, sizes, tokens, h, cls, n): a row for each block, its texts and its distinct words with how often its training texts have them."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        block, made = TaskContext.get().partitionId() << 32, Gathered()
+        for batch in batches:
+            ids, texts, out = (batch.column(i) for i in range(3))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            for lo, hi in spans(ends, min(PART, block_bytes)):
+                raws = texts.slice(lo, hi - lo).cast(pa.large_binary()).to_pylist()
+                made.add(ids.slice(lo, hi - lo), out.slice(lo, hi - lo), [b"" if x is None else x for x in raws])
+                if made.size >= block_bytes:
+                    yield made.row(block)
+                    block, made = block + 1, Gathered()
+        if made.sizes:
+            yield made.row(block)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("out"))
+    return rows.mapInArrow(run, f"block long, doc_id array<{kind}>, out array<boolean>, sizes binary, tokens binary, h array<long>, cls binary, n array<long>")
+
+
+class Block:
+    """A row of _blocks() in a task, of those columns that it has."""
+
+    def __init__(self, table, i: int = 0):
+        import numpy as np
 
-    def classes(self, singles: dict[int, int]):
-        """Class of each number."""
+        value = {c: table.column(c)[i] for c in table.schema.names}
+        flat = lambda c: value[c].values.to_numpy(zero_copy_only=False)
+        self.h, self.n = (flat(c) if c in value else None for c in ("h", "n"))
+        self.cls = np.append(np.frombuffer(value["cls"].as_buffer(), np.int8), np.int8(END))  # class of each number
+        for k, at in enumerate(flat("single") if "single" in value else ()):
+            if at:
+                self.cls[at - 1] = SINGLE + k
+        if "tokens" in value:
+            planes = np.frombuffer(value["tokens"].as_buffer(), np.uint8).reshape(4, -1)
+            self.tokens = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+            self.sizes = np.frombuffer(value["sizes"].as_buffer(), np.int64)
+            self.begin = np.cumsum(self.sizes) - self.sizes
+            self.learn = ~flat("out")
+
+    def parts(self, most: int = 1 << 16):
+        """(first text, end, first token, end) of some texts at a time, of about so many tokens together."""
         import numpy as np
 
-        own = [singles.get(h) or written_class(w) for h, w in zip(self.hashes.tolist(), self.words)]
-        return np.array([*own, END], np.int64)
+        ends = np.cumsum(self.sizes)
+        for lo, hi in spans(ends, most):
+            yield lo, hi, int(self.begin[lo]), int(ends[hi - 1])
 
 
-def _requests(blocked: DataFrame) -> DataFrame:
-    """(block, h, n, cls): distinct words of a block and how often its training documents have them."""
+def _word_counts(blocks: DataFrame) -> DataFrame:
+    """(h, c, cls): how often training texts have each word."""
 
-    def run(table):
-        import numpy as np
+    def run(batches):
         import pyarrow as pa
 
-        raws = [b"" if x is None else x for x in table.column("text").cast(pa.large_binary()).to_pylist()]
-        batch = Batch(raws)
-        learn = np.repeat(~table.column("out").to_numpy(zero_copy_only=False).astype(bool), batch.sizes)
-        n = np.bincount(batch.tokens[learn], minlength=len(batch.words) + 1)[: len(batch.words)]
-        cls = np.array([written_class(w) for w in batch.words], np.int8)
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array(np.full(len(n), block, np.int64)), "h": pa.array(batch.hashes), "n": pa.array(n.astype(np.int64)), "cls": pa.array(cls)})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = Block(batch, i)
+                on = b.n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(b.h[on]), pa.array(b.n[on]), pa.array(b.cls[:-1][on])], ["h", "n", "cls"])
 
-    return blocked.groupBy("block").applyInArrow(run, "block long, h long, n long, cls byte")
+    rows = blocks.select("h", "n", "cls").mapInArrow(run, "h long, n long, cls byte")
+    return rows.groupBy("h").agg(F.sum("n").alias("c"), F.first("cls").alias("cls"))
 
 
-def _class_ngrams(docs: DataFrame, singles: dict[int, int]) -> DataFrame:
+def _class_ngrams(blocks: DataFrame) -> DataFrame:
     """(key, n): 4-grams of classes in training texts, at most SIZE ** 4 rows."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for _, raws in text_batches(batches):
-            for lo in range(0, len(raws), 1000):
-                batch = Batch(raws[lo : lo + 1000])
-                key = ngram_keys(batch.classes(singles)[batch.tokens], batch.begin, DEPTH + 1, SIZE)
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = Block(batch, i)
+                for lo, hi, first, end in b.parts():
+                    key = ngram_keys(b.cls[b.tokens[first:end]], b.begin[lo:hi] - first, DEPTH + 1, SIZE)
+                    key, n = np.unique(key[np.repeat(b.learn[lo:hi], b.sizes[lo:hi])], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return summed(docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "key long, n long"))
+    return summed(blocks.select("out", "sizes", "tokens", "cls", "single").mapInArrow(run, "key long, n long"))
 
 
-def _word_pairs(docs: DataFrame, singles: dict[int, int], frequent) -> DataFrame:
+def _word_pairs(blocks: DataFrame, frequent) -> DataFrame:
     """(h, cls, n): how often a class follows a word of the bitmap `frequent` in training texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = blocks.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for _, raws in text_batches(batches):
-            for lo in range(0, len(raws), 1000):
-                batch = Batch(raws[lo : lo + 1000])
-                cls = batch.classes(singles)
-                own = np.r_[marked(batch.hashes, shared.value) & (cls[:-1] < SINGLE), False]
-                before, after = batch.tokens[:-1].astype(np.int64), cls[batch.tokens[1:]]
-                pair = np.delete(before * SIZE + after, batch.begin[1:] - 1)  # not across texts
-                pair, n = np.unique(pair[own[pair // SIZE]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.hashes[pair // SIZE]), pa.array((pair % SIZE).astype(np.int8)), pa.array(n.astype(np.int64))], ["h", "cls", "n"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = Block(batch, i)
+                own = np.append(marked(b.h, shared.value) & (b.cls[:-1] < SINGLE), False)  # not after an end: no pair goes across texts
+                before, after = b.tokens[:-1], b.tokens[1:]
+                on = own[before] & np.repeat(b.learn, b.sizes)[:-1]
+                pair, n = np.unique(before[on].astype(np.int64) * SIZE + b.cls[after[on]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b.h[pair // SIZE]), pa.array((pair % SIZE).astype(np.int8)), pa.array(n.astype(np.int64))], ["h", "cls", "n"])
 
-    rows = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "h long, cls byte, n long")
-    return rows.groupBy("h", "cls").agg(F.sum("n").alias("n"))
+    rows = blocks.select("out", "sizes", "tokens", "h", "cls", "single").mapInArrow(run, "h long, cls byte, n long")
+    return rows.repartition("h").groupBy("h", "cls").agg(F.sum("n").alias("n"))  # dealt once, for what follows too; a word's rows come together
 
 
 def tree(key, n, pseudo: float = PSEUDO, least: int = 20):
@@ -167,14 +248,13 @@ def tree(key, n, pseudo: float = PSEUDO, least: int = 20):
 
 
 def _retained_words(pairs: DataFrame, counts: DataFrame, after_class) -> DataFrame:
-    """(h, next): the words whose next classes differ from those after their class, with the counts of these."""
+    """(h, next, times): the words whose next classes differ from those after their class, with the counts of these."""
     spark = pairs.sparkSession
     parents = spark.createDataFrame([(a, b, float(after_class[a, b])) for a in range(SIZE) for b in range(SIZE)], "of byte, cls byte, parent double")
-    rows = pairs.join(counts.select("h", F.col("cls").alias("of")), "h").join(parents, ["of", "cls"])
-    rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy("h")))
+    rows = pairs.join(counts.select("h", F.col("cls").alias("of"), F.col("c").alias("total")), "h").join(parents, ["of", "cls"])  # something follows each word
     g = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("parent")))
     tested = rows.groupBy("h").agg((2 * g).alias("g"), F.collect_list(F.struct("cls", "n")).alias("next"))  # SIZE of them at most
-    return tested.where(F.col("g") > BOUND).select("h", "next")
+    return tested.where(F.col("g") > BOUND).select("h", F.col("next.cls").alias("next"), F.col("next.n").alias("times"))
 
 
 def least_count(after_class) -> int:
@@ -187,20 +267,19 @@ def scored(docs: DataFrame, block_bytes: int = 16 << 20, least_word: int | None
     import numpy as np
 
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    size, ends = docs.agg(F.sum(F.octet_length("text")), F.sum((~held_out(F.col("doc_id"))).cast("long"))).first()
-    blocks, ends = (size or 0) // block_bytes + 1, ends or 0
-    blocked = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    asked = kept(_requests(blocked), "lm-requests")
-    counts = kept(asked.groupBy("h").agg(F.sum("n").alias("c"), F.first("cls").alias("cls")).where("c > 0"), "lm-counts")
+    # a row group for each block: a reader holds one at a time
+    blocks = kept(_blocks(docs, block_bytes), "lm-blocks", {"parquet.block.size": block_bytes, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+    ends = blocks.agg(F.sum(F.size(F.filter("out", lambda x: ~x)).cast("long"))).first()[0] or 0
+    counts = kept(_word_counts(blocks), "lm-counts")
     whole = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = (whole[0] or 0) + ends, whole[1] + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(SIZE - SINGLE).collect()
-    singles = {r["h"]: SINGLE + i for i, r in enumerate(top)}
-    grams = arrays(_class_ngrams(docs, singles))  # at most SIZE ** 4 rows
+    singles = [r["h"] for r in counts.orderBy(F.desc("c"), "h").limit(SIZE - SINGLE).collect()]
+    blocks = blocks.withColumn("single", F.array(*[F.array_position("h", F.lit(h).cast("long")) for h in singles]).cast("array<long>"))
+    grams = arrays(_class_ngrams(blocks))  # at most SIZE ** 4 rows
     log, after_class, _ = tree(grams["key"], grams["n"])
     least_word = least_count(after_class) if least_word is None else least_word
     frequent = bitmap(counts.where(F.col("c") >= least_word).select("h"))
-    words = kept(_retained_words(_word_pairs(docs, singles, frequent), counts.where(F.col("c") >= least_word), after_class), "lm-words")
+    words = kept(_retained_words(_word_pairs(blocks, frequent), counts.where(F.col("c") >= least_word), after_class), "lm-words")
 
     # within a class: tokens, words, words seen once and twice
     named = F.when(F.col("h").isin(*singles), F.lit(0)).otherwise(F.col("cls")) if singles else F.col("cls")
@@ -213,46 +292,35 @@ def scored(docs: DataFrame, block_bytes: int = 16 << 20, least_word: int | None
             mass[k], cut[k], fresh[k] = r["c"], d, d * r["v"] / r["c"]
         else:
             fresh[k] = 1.0
-    shared = spark.sparkContext.broadcast((log, singles, mass, cut, fresh))
+    shared = spark.sparkContext.broadcast((log, mass, cut, fresh))
 
     def run(table, replies):
         import pyarrow as pa
-
-        log, singles, mass, cut, fresh = shared.value
-        raws = [b"" if x is None else x for x in table.column("text").cast(pa.large_binary()).to_pylist()]
-        batch = Batch(raws)
-        key = replies.column("h").to_numpy()
-        order = np.argsort(key)
-        key, value = key[order], replies.column("c").to_numpy()[order]
-        at = np.searchsorted(key, batch.hashes)
-        c = np.zeros(len(batch.words) + 1)
-        state = np.full(len(batch.words) + 1, -1)
-        after = np.zeros((0, SIZE), np.float32)
-        if len(key):
-            at = np.minimum(at, len(key) - 1)
-            hit = key[at] == batch.hashes
-            c[:-1] = np.where(hit, value[at], 0)
-            row, follows = order[at], replies.column("next").combine_chunks()
+        import pyarrow.compute as pc
+
+        log, mass, cut, fresh = shared.value
+        b = Block(table)
+        cls, after = b.cls, np.zeros((0, SIZE), np.float32)
+        c, state = np.zeros(len(cls)), np.full(len(cls), -1, np.int32)
+        if len(replies):
+            at = replies.column("at").to_numpy()
+            c[at] = replies.column("c").to_numpy()
+            follows, times = (replies.column(x).combine_chunks() for x in ("next", "times"))
             known = np.flatnonzero(follows.is_valid().to_numpy(zero_copy_only=False))
-            of_row = np.full(len(key), -1)
-            of_row[known] = np.arange(len(known))
-            state[:-1] = np.where(hit, of_row[row], -1)
-            flat = follows.take(pa.array(known)).flatten() if len(known) else None
+            state[at[known]] = np.arange(len(known))
             after = np.zeros((len(known), SIZE), np.float32)
-            if flat is not None:
-                size = np.array([len(follows[k]) for k in known.tolist()])
-                after[np.repeat(np.arange(len(known)), size), flat.field("cls").to_numpy()] = flat.field("n").to_numpy()
+            size = pc.list_value_length(follows).drop_null().to_numpy()
+            after[np.repeat(np.arange(len(known), dtype=np.int32), size), follows.flatten().to_numpy()] = times.flatten().to_numpy()
         c[-1] = ends
-        cls = batch.classes(singles)
         with np.errstate(divide="ignore"):
             own = np.where(c > 0, (c - cut[cls]) / mass[cls], fresh[cls])
             own[(cls == END) | (cls >= SINGLE)] = 1.0
             inside = np.log10(np.maximum(own, 1e-12))
         base = np.log10((c + 1) / (total + distinct + 1))
-        sums, known = after.sum(axis=1, dtype=np.float64), np.zeros(len(raws), np.int64)
-        scores = np.zeros((2, len(raws)))
-        for lo, hi, first, end in batch.parts():  # the arrays by position are many
-            tokens, begin = batch.tokens[first:end], batch.begin[lo:hi] - first
+        sums, known = after.sum(axis=1, dtype=np.float64), np.zeros(len(b.sizes), np.int64)
+        scores = np.zeros((2, len(b.sizes)))
+        for lo, hi, first, end in b.parts():  # the arrays by position are many
+            tokens, begin = b.tokens[first:end], b.begin[lo:hi] - first
             chain = log[ngram_keys(cls[tokens], begin, DEPTH + 1, SIZE)].astype(np.float64)
             last = np.r_[-1, state[tokens[:-1]]]
             last[begin] = -1
@@ -260,14 +328,16 @@ def scored(docs: DataFrame, block_bytes: int = 16 << 20, least_word: int | None
             chain[at] = np.log10((after[last[at], cls[tokens[at]]] + PSEUDO * 10 ** chain[at]) / (sums[last[at]] + PSEUDO))
             known[lo:hi] = np.add.reduceat((c > 0)[tokens].astype(np.int64), begin)
             scores[:, lo:hi] = np.add.reduceat(base[tokens], begin), np.add.reduceat(chain + inside[tokens], begin)
-        n = len(raws)
+        n = len(b.sizes)
         return pa.table(
             {
-                "doc_id": table.column("doc_id"), "held_out": table.column("out"), "n_tokens": pa.array(batch.sizes),
+                "doc_id": table.column("doc_id").combine_chunks().flatten(), "held_out": pa.array(~b.learn), "n_tokens": pa.array(b.sizes),
                 "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(scores[0]), "score": pa.array(scores[1]),
             }
         )
 
-    replies = asked.select("block", "h").join(counts.select("h", "c").join(words, "h", "left"), "h")
+    # a word of a block is told by its number there
+    replies = blocks.select(F.col("block").alias("asker"), F.posexplode("h").alias("at", "h")).join(counts.select("h", "c").join(words, "h", "left"), "h").drop("h")
+    texts = blocks.select("block", "doc_id", "out", "sizes", "tokens", "cls", "single")
     # blocks without a known word still need their texts scored: cogroup keeps them
-    return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("block").cogroup(replies.groupBy("asker")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

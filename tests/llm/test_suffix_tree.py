@@ -172,3 +172,38 @@ def test_no_word_that_can_pass_goes_untested(spark):
     after = np.full((S.SIZE, S.SIZE), 1 / S.SIZE)
     n = S.least_count(after)
     assert 2 * (n - 1) * math.log(S.SIZE) <= S.BOUND < 2 * n * math.log(S.SIZE)
+
+
+def test_texts_stay_where_they_are_read(spark):
+    """Whole texts went through a shuffle twice, in groups of 16 MB: executors were stopped over 3,000 MB. Now only numbers leave the task that reads."""
+    got = S.scored(spark.createDataFrame(rows(), "doc_id long, text string"), 2000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "text#" not in plan
+    assert got.count() == len(rows())
+
+
+def test_memory_of_a_block_is_bounded_by_its_numbers():
+    """2 MB at a time, 8 MB in a block: distinct words were strings of one dictionary for the whole block, over 20 bytes for each of text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = [" ".join(f"{r.randrange(1 << 28):x}" for _ in range(250)).encode() for _ in range(4000)]
+    whole = sum(map(len, texts))
+    tracemalloc.start()
+    made = S.Gathered()
+    for lo in range(0, len(texts), 1000):
+        made.add(pa.array(range(lo, lo + 1000)), pa.array([False] * 1000), texts[lo : lo + 1000])
+    row = made.row(7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 13 * whole, peak / whole
+    b = S.Block(row)
+    words = [w for x in texts for w in [*x.split(), None]]
+    assert list(b.sizes) == [251] * 4000 and len(b.h) == len(b.n) == len({w for w in words if w}) and b.n.sum() == len(words) - 4000
+    at = dict(zip(b.h.tolist(), range(len(b.h))))
+    import xxhash
+
+    assert b.tokens.tolist() == [len(b.h) if w is None else at[np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64).item()] for w in words]
+    assert row.column("doc_id")[0].as_py() == list(range(4000)) and all(b.cls[at[h]] == S.written_class(w) for w in words[:2000] if w for h in [np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64).item()])
