@@ -108,12 +108,25 @@ def words_of(text: Column) -> Column:
 
 
 def text_batches(batches: Iterator, column: str = "text"):
-    """(batch, list of UTF-8 byte strings) for each Arrow batch; null is empty."""
+    """(batch, list of UTF-8 byte strings) for each Arrow batch; null is empty. At the end freed memory is given back."""
     import pyarrow as pa
 
     for batch in batches:
         raw = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
         yield batch, [b"" if x is None else x for x in raw.to_pylist()]
+    batch = raw = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: a Python worker goes on to other stages and counts in the executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
 
 
 def arrays(df: DataFrame) -> dict:

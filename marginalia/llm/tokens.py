@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import threading
+import time
 import unicodedata
 
+from .common import give_back
+
 #: Python's split() also cuts at these four control characters; the tokenizer's white space lacks them.
 CONTROLS = re.compile("[\x1c-\x1f]")
 ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -41,11 +46,26 @@ class _Known(dict):
 _SHARED: dict[str, "WordTokenizer"] = {}
 
 
-def shared(path: str) -> "WordTokenizer":
-    """One tokenizer for each process, so that a task begins with the runs that those before it in the same worker have met."""
-    if path not in _SHARED:
-        _SHARED[path] = WordTokenizer(path)
-    return _SHARED[path]
+def shared(path: str, idle: float = 5) -> "WordTokenizer":
+    """One tokenizer for each process, so that a task begins with the runs that those before it in the same worker have met.
+
+    Spark's workers go on to later stages and jobs; so what a tokenizer holds, some 200 MB at its limit, is given back once
+    it hasn't been used for `idle` seconds.
+    """
+    found = _SHARED.get(path)
+    if found is None:
+        found = _SHARED[path] = WordTokenizer(path)
+        threading.Thread(target=_expire, args=(path, idle), daemon=True).start()
+    found.used = time.monotonic()
+    return found
+
+
+def _expire(path: str, idle: float) -> None:
+    while (left := _SHARED[path].used + idle - time.monotonic()) > 0:
+        time.sleep(left)
+    del _SHARED[path]  # a task that still holds it goes on with it
+    gc.collect()
+    give_back()
 
 
 class WordTokenizer:
@@ -64,7 +84,7 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.latin_pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.limit = limit
+        self.limit, self.used = limit, time.monotonic()
         self.runs, self.pieces = _Known(self._run), _Known(self._piece)
 
     def encode_whole(self, text: str) -> bytes:
@@ -89,6 +109,7 @@ class WordTokenizer:
         return self.pieces[own[0]] if len(own) == 1 else b"".join(map(self.pieces.__getitem__, own))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        self.used = time.monotonic()
         if len(self.runs) > self.limit or len(self.pieces) > self.limit:
             self.runs, self.pieces = _Known(self._run), _Known(self._piece)
         runs, out = self.runs, []

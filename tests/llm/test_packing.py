@@ -140,3 +140,25 @@ def test_a_later_task_of_a_worker_tokenizes_no_run_again(monkeypatch):
     want = first.encode(["plain words, and naïve ones"])
     monkeypatch.setattr(first.runs, "find", None)  # would raise
     assert tokens.shared(PATH) is first and tokens.shared(PATH).encode(["and plain words, and naïve ones"])[0].endswith(want[0][-4:])
+
+
+def test_a_worker_that_goes_on_to_other_stages_gives_its_tokenizer_back(monkeypatch):
+    import time
+    import weakref
+
+    from marginalia.llm import tokens
+
+    monkeypatch.setattr(tokens, "_SHARED", {})
+    first = tokens.shared(PATH, 0.3)
+    for _ in range(3):  # in use it stays
+        time.sleep(0.15)
+        first.encode(["plain words"])
+    assert tokens.shared(PATH, 0.3) is first
+    gone, want = weakref.ref(first), first.encode(["plain words, and naïve ones"])
+    del first
+    for _ in range(100):
+        if gone() is None:
+            break
+        time.sleep(0.1)
+    assert gone() is None and not tokens._SHARED
+    assert tokens.shared(PATH, 0.3).encode(["plain words, and naïve ones"]) == want
